@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact
+from . import exact, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,56 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    found = mixing.mix_sources(_table(spark, sf_dir, "documents")).taken()
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE sid % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+         2.0::DOUBLE * source_size AS cap FROM s
+), r AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
+  FROM w
+), l AS (SELECT min(lev) FILTER (WHERE rn = 1) AS lev FROM (
+  SELECT lev, row_number() OVER (ORDER BY cap / weight, sid) AS rn FROM r WHERE lev <= cap / weight)
+), t AS (
+  SELECT source, source_size, least(cap, coalesce(l.lev * weight, cap)) AS target FROM r CROSS JOIN l
+), p AS (
+  SELECT doc_id, size, source_size, target, least(CAST(round(target) AS BIGINT), 2 * source_size) AS lim,
+         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       greatest(least(a + size, lim) - a, 0) + greatest(least(source_size + a + size, lim) - source_size - a, 0) AS taken
+FROM p
+"""
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components over all documents."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {
+        "op7_mix_sources": op7_mix_sources,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_simhash_dedup": op9_simhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}
