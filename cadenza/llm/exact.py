@@ -106,10 +106,11 @@ def confirmed(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", te
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"))
     wanted = candidates.select("digest", F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("new_id").alias("doc_id")), F.struct(F.lit(False).alias("new"), F.col("old_id").alias("doc_id")))).alias("x")).select("digest", "x.new", "x.doc_id")
-    read = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("digest", "new", "norm")
+    # texts are dealt by id at every size: a broadcast below some size would only hide their cost
+    read = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("digest", "new", "norm")
     read = read.where(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)) == F.col("digest"))
     new, old = (read.where(F.col("new") == side).select("digest", "norm") for side in (True, False))
-    return new.join(old, ["digest", "norm"]).select("digest").distinct()
+    return new.join(old.hint("merge"), ["digest", "norm"]).select("digest").distinct()
 
 
 def against_snapshot(docs: DataFrame, batch: DataFrame, frozen: Snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
