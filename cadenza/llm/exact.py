@@ -157,9 +157,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the documents that stay, with all their columns.
 
-    Rows that repeat both id and text stay once each id: of equal rows one is kept.
+    Of rows that repeat both the id and the text one stays.
     """
-    stay = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay_id"), F.col("digest").alias("__stay_digest")).distinct()
+    kept = exact_duplicates(docs, id_col, text_col).where("kept")
+    stay = materialize(kept.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "stay")
     marked = docs.withColumn("__digest", F.unhex(F.sha2(normalized(F.col(text_col)).cast("binary"), 256)))
-    out = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__digest") == F.col("__stay_digest")), "left_semi")
-    return out.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    named = stay.select(F.col("doc_id").alias("__stay_id"), F.col("digest").alias("__stay_digest")).hint("merge")
+    out = marked.join(named, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__digest") == F.col("__stay_digest")), "left_semi")
+    if not stay.where("n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__digest"])
+    return out.drop("__digest")

@@ -28,7 +28,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 4096
-RANGE_DOCS = 2000
+RANGE_DOCS = 500
 RANGE_SLOTS = 4096
 
 
@@ -153,19 +153,23 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each pass that reaches their first word.
 
-    Documents without words are in no block and go. Columns are those of ``docs``.
+    A document is taken whole: what a target cuts off at the end of a source's stream belongs
+    to a document that is in, too. Documents without words are in no block and go. Columns
+    are those of ``docs``. Where ids repeat, rows are told apart by source, size and text.
     """
-    nth = Window.partitionBy("__id").orderBy("__source", "__size", "__nth")
-    passes = F.expr("size(filter(sequence(0L, 1L), p -> p * source_size + start < limit))") if MOST == 2 else None
-    chosen = mix.taken().where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.greatest(passes, F.lit(1)).alias("__passes"), F.col("start").alias("__nth")
+    passes = F.ceil((F.col("limit") - F.col("start")) / F.col("source_size")).cast("int")
+    chosen = materialize(
+        mix.taken().where("taken > 0").select(
+            F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("start").alias("__start"), passes.alias("__passes")
+        ),
+        "chosen",
     )
-    chosen = chosen.withColumn("__n", F.row_number().over(nth)).select("__id", "__source", "__size", "__n", "__passes")
-    same = Window.partitionBy(F.col(id_col)).orderBy(F.col(source_col), "__words", F.xxhash64(F.col(text_col)))
-    numbered = docs.withColumn("__words", word_count(F.col(text_col))).where("__words > 0").withColumn("__row", F.row_number().over(same))
-    joined = numbered.join(
-        chosen,
-        F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__row") == F.col("__n")),
-    )
-    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
+    found = docs.where(word_count(F.col(text_col)) > 0)
+    match = F.col(id_col).eqNullSafe(F.col("__id"))
+    if not chosen.groupBy("__id").count().where("count > 1").isEmpty():
+        chosen = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("__start")))
+        same = Window.partitionBy(id_col, source_col, "__words").orderBy(F.xxhash64(F.col(text_col)))
+        found = found.withColumn("__words", word_count(F.col(text_col))).withColumn("__row", F.row_number().over(same))
+        match &= F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__row") == F.col("__n"))
+    copies = found.join(chosen.hint("merge"), match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
     return copies.select(*docs.columns)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, mixing, simhash
+from ..sources.scratch import new_path
+from . import exact, langid, mixing, packing, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,55 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the vocabulary file of a public tokenizer lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages to archives and read the archives back."""
+    path = new_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    found = warc.read_archives(spark, path, with_payload=False).where("gap is null")
+    return found.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
+), b AS (
+  SELECT page_id, h, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1, 1)), 'string_agg', '') AS d
+  FROM p
+), m AS (SELECT h, max(page_id) AS top FROM b GROUP BY h)
+SELECT page_id, CAST(strlen(b.h) AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM b JOIN m ON b.h = m.h
+"""
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     found = mixing.mix_sources(_table(spark, sf_dir, "documents")).taken()
@@ -71,13 +121,24 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op4_pack_sequences": op4_pack_sequences,
+        "op5_warc": op5_warc,
         "op7_mix_sources": op7_mix_sources,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash_dedup": op9_simhash_dedup,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_warc": OP5_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}

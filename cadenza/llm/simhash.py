@@ -272,7 +272,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of their component; all columns of ``docs``."""
+    """The rows whose id is the least of their component, one for each id; all columns of ``docs``."""
     found = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi").dropDuplicates([id_col])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
+    out = docs.join(stay.select(F.col("doc_id").alias("__stay")).hint("merge"), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    return out if stay.where("n > 1").isEmpty() else out.dropDuplicates([id_col])
