@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     pre-aggregated before the shuffle for its least neighbour, and joins its neighbours by
     a sort-merge join that adaptive execution can split. An empty table gives no row.
     """
-    pairs = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna()
+    pairs = materialize(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna(), "pairs")
     loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     now = materialize(
         pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
