@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
-from . import exact, langid, mixing, packing, simhash, warc
+from . import covers, exact, langid, mixing, packing, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,31 @@ FROM b JOIN m ON b.h = m.h
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no document with a smaller id repeats in 13-word windows."""
+    return covers.without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), f AS (SELECT s, min(doc_id) AS first_doc FROM g GROUP BY s),
+c AS (
+  SELECT DISTINCT doc_id, k FROM (
+    SELECT g.doc_id, unnest(range(i, i + 13)) AS k FROM g JOIN f ON g.s = f.s WHERE first_doc < g.doc_id)
+), x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+k AS (
+  SELECT x.doc_id, count(*) AS kept, string_agg(w[x.k], ' ' ORDER BY x.k) AS t
+  FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.k = c.k WHERE c.k IS NULL GROUP BY x.doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     found = mixing.mix_sources(_table(spark, sf_dir, "documents")).taken()
@@ -133,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op4_pack_sequences": op4_pack_sequences,
         "op5_warc": op5_warc,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_mix_sources": op7_mix_sources,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash_dedup": op9_simhash_dedup,
@@ -141,4 +167,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
 from ..sources.scratch import materialize
-from .words import Texts, ragged, slices
+from .words import Texts, joined, ragged, slices
 
 SHINGLE = 3
 SEED = 42
@@ -112,25 +112,12 @@ def fingerprints_of(texts: Texts, shingle: int = SHINGLE, seed: int = SEED) -> n
     counts = np.diff(upto)
     if not len(starts):
         return np.zeros(len(counts), np.uint64)
-    apart = np.empty(len(starts), np.int64)  # one space after each word but a document's last
-    apart[:] = 1
-    apart[upto[1:][counts > 0] - 1] = 0
     size = ends - starts
-    new = np.cumsum(size + apart) - size - apart
-    joined = np.full(int(new[-1] + size[-1]), 0x20, np.uint8)
-    space_after = np.zeros(len(data) + 1, bool)
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[starts] += 1
-    inside[ends] -= 1
-    kept = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    space_after[ends[apart == 1]] = True
-    keep = kept | space_after[:-1]
-    flat = np.where(kept, data, np.uint8(0x20))
-    joined[:] = flat[keep]
+    text, new, _ = joined(Texts(data, texts.offsets), starts, ends, upto)
     per = np.where(counts >= shingle, counts - shingle + 1, (counts > 0).astype(np.int64))
     first = ragged(upto[:-1], per)
     last = first + np.repeat(np.minimum(counts, shingle), per) - 1
-    return majority(xxh64(joined, new[first], new[last] + size[last], seed), per)
+    return majority(xxh64(text, new[first], new[last] + size[last], seed), per)
 
 
 def _fingerprint_batches(shingle: int, seed: int):

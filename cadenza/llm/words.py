@@ -122,3 +122,32 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
+
+
+def joined(texts: Texts, starts: np.ndarray, ends: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words joined by one space within each document.
+
+    Word ``i`` is ``starts[i]:ends[i]``, in order; ``upto`` counts words up to each document.
+    Gives the new bytes, where each word starts in them, and each document's offsets.
+    """
+    size = ends - starts
+    apart = np.ones(len(size), np.int64)
+    counts = np.diff(upto)
+    apart[upto[1:][counts > 0] - 1] = 0
+    new = np.cumsum(size + apart) - size - apart
+    total = int(new[-1] + size[-1]) if len(size) else 0
+    out = np.full(total, 0x20, np.uint8)
+    if total:
+        out[_inside(new, new + size, total)] = texts.data[_inside(starts, ends, len(texts.data))]
+    edges = np.append(new, total)[upto]
+    last = np.zeros(len(upto), np.int64)
+    last[1:][counts > 0] = (new + size)[upto[1:][counts > 0] - 1]
+    return out, new, np.stack([edges[:-1], np.maximum(last[1:], edges[:-1])])
+
+
+def _inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges (which don't overlap)."""
+    step = np.zeros(n + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
