@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
-from . import covers, exact, langid, mixing, packing, simhash, warc
+from . import covers, exact, forest, langid, mixing, packing, resampling, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that stand in more than one document."""
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors over all embeddings."""
+    return forest.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -146,6 +156,11 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and sampling decision of every document."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -156,12 +171,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_pack_sequences": op4_pack_sequences,
         "op5_warc": op5_warc,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_mix_sources": op7_mix_sources,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash_dedup": op9_simhash_dedup,
+        "op10_quality_resampling": op10_quality_resampling,
         "pipeline": pipeline,
     }
 
