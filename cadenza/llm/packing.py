@@ -17,6 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,20 +32,39 @@ from .words import Texts, mixed, ragged, slices
 CAPACITY = 4096
 END_ID = 1
 PART_PIECES = 2000
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 20
 
 
-class WordTokens:
-    """Token ids of blank-separated words, remembered per worker by a hash of the word.
+#: Kinds of bytes: 0 blank, 1 ASCII letter, 2 ASCII digit or mark, 3 all others, which join
+#: their neighbours: bytes of longer characters, apostrophes (they start contractions) and
+#: the characters of special tokens.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[c for c in range(33, 127) if not chr(c).isalpha() and chr(c) not in "'<|>"]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_JOINED = 2000
+
 
-    The tokenizer's splits never join characters across a blank, so a text's ids are those of
-    its words in order. At most ``KNOWN_WORDS`` words are remembered, then all are dropped.
+class WordTokens:
+    """Token ids of pieces of text, remembered per worker by a hash of the piece.
+
+    Texts are cut at blanks and between an ASCII letter and an ASCII digit or mark: the
+    tokenizer's own splits always fall there, so a text's ids are those of its pieces in
+    order. It lower-cases, so pieces are known by their lower case. Pieces of letters only are
+    one word of the tokenizer each and are encoded many at a time, told apart by the ids that
+    end a word; other pieces are encoded one by one. At most ``KNOWN_WORDS`` pieces are
+    remembered, then all are dropped.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -67,11 +87,34 @@ class WordTokens:
             left, at = left[go], (at[go] + 1) & (len(self.slots) - 1)
         return out
 
-    def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each piece, one after the other, and how many each has."""
+        plain = np.array([p.isalpha() and unicodedata.is_normalized("NFC", p) for p in pieces], bool)
+        sizes = np.zeros(len(pieces), np.int64)
+        found: dict[bool, np.ndarray] = {}
+        at = np.flatnonzero(plain)
+        joined = [" ".join([pieces[i] for i in at[k : k + _JOINED].tolist()]) for k in range(0, len(at), _JOINED)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        found[True] = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends_word[found[True]])
+        if len(ends) == len(at):
+            sizes[at] = np.diff(np.concatenate([[-1], ends]))
+        else:  # some letter isn't one to the tokenizer
+            plain[:] = False
+            found[True] = found[True][:0]
+        at = np.flatnonzero(~plain)
+        ids = [e.ids for k in range(0, len(at), _JOINED) for e in self.tokenizer.encode_batch_fast([pieces[i] for i in at[k : k + _JOINED].tolist()], add_special_tokens=False)]
+        sizes[at] = [len(i) for i in ids]
+        found[False] = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes[at].sum()))
+        begin = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        for kind in (True, False):
+            own = plain if kind else ~plain
+            out[ragged(begin[own], sizes[own])] = found[kind]
+        return out, sizes
+
+    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        flat, sizes = self._encoded(pieces)
         lo, n = self.first[self.count], len(keys)
         while lo + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
@@ -89,7 +132,11 @@ class WordTokens:
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a slice and the number of ids up to each document."""
-        starts, ends, upto = texts.words()
+        if not len(texts.data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts.offsets), np.int64)
+        if not (texts.data == 60).any():  # "<" may begin a special token, whose case counts
+            texts = Texts(_LOWER[texts.data], texts.offsets)
+        starts, ends, upto = pieces(texts)
         keys = texts.hashes(starts, ends)
         at = self._find(keys)
         missing = np.flatnonzero(at < 0)
@@ -97,23 +144,36 @@ class WordTokens:
             new, first = np.unique(keys[missing], return_index=True)
             if self.count + len(new) > KNOWN_WORDS:
                 self.forget()
-                new, first, missing = *np.unique(keys, return_index=True), np.arange(len(keys))
+                missing = np.arange(len(keys))
+                new, first = np.unique(keys, return_index=True)
             text = texts.data.tobytes()
             words = [text[a:b].decode() for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
-            if len(new) > KNOWN_WORDS:  # a slice of nothing but different words
-                sizes, ids = [], []
-                for k in range(0, len(starts), 10_000):
-                    part = [text[a:b].decode() for a, b in zip(starts[k : k + 10_000].tolist(), ends[k : k + 10_000].tolist(), strict=True)]
-                    got = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-                    sizes += map(len, got)
-                    ids.append(np.fromiter((i for x in got for i in x), np.uint32))
-                return np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)])[upto]
+            if len(new) > KNOWN_WORDS:  # one huge text of nothing but different words
+                flat, sizes = self._encoded(words)
+                back = np.searchsorted(new, keys)
+                begin = np.cumsum(sizes) - sizes
+                return flat[ragged(begin[back], sizes[back])], np.concatenate([[0], np.cumsum(sizes[back])])[upto]
             self._add(new, words)
             at[missing] = self._find(keys[missing])
         first, sizes = self.first[at], self.first[at + 1] - self.first[at]
         return self.ids[ragged(first, sizes)], np.concatenate([[0], np.cumsum(sizes)])[upto]
 
 
+def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces that are encoded apart, and their number up to each document."""
+    kind = _KIND[texts.data]
+    inner = texts.offsets[(texts.offsets > 0) & (texts.offsets < len(kind))]
+    edge = np.empty(len(kind), bool)
+    edge[0] = True
+    edge[1:] = (kind[1:] + kind[:-1] == 3) & (kind[1:] != 3) & (kind[:-1] != 3) | (kind[:-1] == 0)
+    edge[inner] = True
+    starts = np.flatnonzero(edge & (kind > 0))
+    stop = np.empty(len(kind), bool)
+    stop[-1] = True
+    stop[:-1] = edge[1:] | (kind[1:] == 0)
+    return starts, np.flatnonzero(stop & (kind > 0)) + 1, np.searchsorted(starts, texts.offsets)
+
+
 _TOKENS: dict[str, WordTokens] = {}
 
 
