@@ -75,7 +75,8 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = "1970-
     rows = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
     groups = rows.groupBy("sha1", "bytes").agg(F.max("id").alias("first_id"), F.count("*").alias("n"))
     groups = materialize(groups.where((F.col("n") > 1) & (F.col("bytes") >= least_bytes)).select("sha1", "first_id"), "repeated")
-    rows = rows.join(groups.hint("merge"), "sha1", "left")
+    # the repeated digests are few; Spark broadcasts them only below its size limit
+    rows = rows.join(groups, "sha1", "left")
     again = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     block = F.when(again, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
