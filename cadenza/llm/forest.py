@@ -113,7 +113,7 @@ def _deal(spill: float):
             return kind.empty_table()
         x = _matrix(left["vec"])
         places = right["places"][0].as_py()
-        ways = np.array(right["ways"][0].as_py()).reshape(len(places), -1)
+        ways = np.array(right["ways"][0].as_py()).reshape(len(places), x.shape[1])
         cuts = right["cuts"][0].as_py()
         at = {p: k for k, p in enumerate(places)}
         todo, rows, ends = [(1, np.arange(len(x)))], [], []
