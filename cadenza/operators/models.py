@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import finite_or, relu, sigmoid
+from ..sources.scratch import materialize
 from . import metrics, thresholds
 
 SIGMA_TINY = 1e-8
@@ -64,7 +65,9 @@ def mlp_score(features: Column, layers: list[tuple[list[list[float]], list[float
 
     def layer(x: Column, weights: list[list[float]], bias: list[float], last: bool) -> Column:
         units = F.array(*[F.struct(_literal(w).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, bias, strict=True)])
-        return F.transform(units, lambda u: dot(u["w"], x) + u["b"] if last else relu(dot(u["w"], x) + u["b"]))
+        # x is bound by a lambda of its own, else every unit would compute all layers below it
+        unit = lambda u, v: dot(u["w"], v) + u["b"] if last else relu(dot(u["w"], v) + u["b"])
+        return F.get(F.transform(F.array(x), lambda v: F.transform(units, lambda u: unit(u, v))), F.lit(0))
 
     x = features
     for k, (weights, bias) in enumerate(layers):
@@ -214,8 +217,9 @@ def fit_mlp(df: DataFrame, features: Column, label: str, size: int, hidden: tupl
     widths = (size, *hidden, 1)
     layers = [[rng.normal(size=(b, a)) * np.sqrt(2 / a), np.zeros(b)] for a, b in zip(widths, widths[1:], strict=False)]
     speed = [[np.zeros_like(w), np.zeros_like(b)] for w, b in layers]
-    rows = df.select(features.alias("x"), F.col(label).cast("double").alias("y")).persist()
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    rows = materialize(df.select(features.alias("x"), F.col(label).cast("double").alias("y")), "mlp-rows")
+    sc = spark.sparkContext
     for turn in range(epochs):
         state = sc.broadcast(layers)
         sums = rows.mapInArrow(_gradients(state, drop, seed + turn), "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas().sort_values("i")["g"].to_numpy()
@@ -228,7 +232,6 @@ def fit_mlp(df: DataFrame, features: Column, label: str, size: int, hidden: tupl
             at += w.size + b.size
             speed[k] = [momentum * speed[k][0] - now * gw, momentum * speed[k][1] - now * gb]
             layers[k] = [w + speed[k][0], b + speed[k][1]]
-    rows.unpersist()
     return {"layers": [[w.tolist(), b.tolist()] for w, b in layers]}
 
 

@@ -24,11 +24,34 @@ def mirrored(k: int, n: int) -> int:
     return -k if k < 0 else 2 * (n - 1) - k if k >= n else k
 
 
-def gaussian(radius: int, sigma: float) -> dict[tuple[int, int], float]:
-    """A normalised two-dimensional Gaussian kernel."""
+def gaussian(radius: int, sigma: float) -> list[float]:
+    """A normalised one-dimensional Gaussian kernel."""
     one = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    total = sum(one)
-    return {(r - radius, c - radius): one[r] * one[c] / total**2 for r in range(2 * radius + 1) for c in range(2 * radius + 1)}
+    return [x / sum(one) for x in one]
+
+
+def blurred(df: DataFrame, patch: str, out: str, kernel: list[float], side: int = 8) -> DataFrame:
+    """Adds the patch under a separable kernel: along rows, then along columns.
+
+    Each pass multiplies by a fixed matrix of mirrored weights, held as one array of rows.
+    """
+    radius = len(kernel) // 2
+    band = [[0.0] * side for _ in range(side)]
+    for i in range(side):
+        for k, w in enumerate(kernel):
+            j = i + k - radius
+            while not 0 <= j < side:
+                j = mirrored(j, side)
+            band[i][j] += w
+    rows = F.array(*[F.array(*[F.lit(x) for x in row]) for row in band])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    def lines(name):
+        return F.array(*[F.slice(F.col(name), r * side + 1, side) for r in range(side)])
+
+    first = F.flatten(F.transform(rows, lambda w: F.transform(F.col("__lines"), lambda line: dot(w, line))))
+    # the first pass leaves columns as lines, so the second gives rows again
+    step = df.withColumn("__lines", lines(patch)).withColumn("__half", first).withColumn("__lines", lines("__half"))
+    return step.withColumn(out, first).drop("__lines", "__half")
 
 
 def convolved(pixels: Column, kernel: dict[tuple[int, int], float], side: int = 8) -> Column:
@@ -172,8 +195,9 @@ def affine_residual(df: DataFrame, keys: list[str], patch: str, step: int = 3, s
     return rows.groupBy(*keys).agg((F.median(F.abs(F.col("x") - F.col("fit"))) / (F.median(F.abs("x")) + 0.08)).alias("affine_residual"))
 
 
-def detail_ratio(xs: Column, side: int = 8) -> Column:
-    """Fine over coarse detail of a blur pyramid."""
-    fine, coarse = convolved(xs, gaussian(2, 1.0), side), convolved(xs, gaussian(5, 2.0), side)
+def detail_ratio(df: DataFrame, patch: str, out: str, side: int = 8) -> DataFrame:
+    """Adds fine over coarse detail of a blur pyramid."""
+    rows = blurred(blurred(df, patch, "__fine", gaussian(2, 1.0), side), patch, "__coarse", gaussian(5, 2.0), side)
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x) / float(side * side)
-    return square(xs, fine) / (square(fine, coarse) + TINY)
+    ratio = square(F.col(patch), F.col("__fine")) / (square(F.col("__fine"), F.col("__coarse")) + TINY)
+    return rows.withColumn(out, ratio).drop("__fine", "__coarse")

@@ -25,6 +25,11 @@ def _conv(kernel: dict, e: str = "e") -> str:
     return "[" + ", ".join(out) + "]"
 
 
+def _square(radius: int, sigma: float) -> dict[tuple[int, int], float]:
+    one = patches.gaussian(radius, sigma)
+    return {(r - radius, c - radius): one[r] * one[c] for r in range(len(one)) for c in range(len(one))}
+
+
 def _pixels_of(name: str, source: str, array: str) -> str:
     return f"{name} AS (SELECT vec_id, label, k, k // 8 AS r, k % 8 AS c, {array}[k + 1] AS x FROM {source}, range(0, 64) q(k))"
 
@@ -113,11 +118,11 @@ def patch_affine_residual(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {EV}, g AS (SELECT vec_id, e, {_conv(patches.gaussian(2, 1.0))} AS f, {_conv(patches.gaussian(5, 2.0))} AS h FROM ev) SELECT vec_id, round(avg((e[k + 1] - f[k + 1]) * (e[k + 1] - f[k + 1])) / (avg((f[k + 1] - h[k + 1]) * (f[k + 1] - h[k + 1])) + 1e-6), 6) AS detail_ratio FROM g, range(0, 64) q(k) GROUP BY vec_id"
+    f"WITH {EV}, g AS (SELECT vec_id, e, {_conv(_square(2, 1.0))} AS f, {_conv(_square(5, 2.0))} AS h FROM ev) SELECT vec_id, round(avg((e[k + 1] - f[k + 1]) * (e[k + 1] - f[k + 1])) / (avg((f[k + 1] - h[k + 1]) * (f[k + 1] - h[k + 1])) + 1e-6), 6) AS detail_ratio FROM g, range(0, 64) q(k) GROUP BY vec_id"
 )
 def patch_detail_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Fine over coarse detail of a blur pyramid."""
-    return rounded(vectors(spark, d).select("vec_id", patches.detail_ratio(F.col("e")).alias("detail_ratio")))
+    return rounded(patches.detail_ratio(vectors(spark, d), "e", "detail_ratio").select("vec_id", "detail_ratio"))
 
 
 @query(
