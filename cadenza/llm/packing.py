@@ -32,7 +32,7 @@ from .words import Texts, mixed, ragged, slices
 CAPACITY = 4096
 END_ID = 1
 PART_PIECES = 2000
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18
 
 
 #: Kinds of bytes: 0 blank, 1 ASCII letter, 2 ASCII digit or mark, 3 all others, which join
