@@ -246,7 +246,7 @@ def _labelled(model, keep: int, size: int, switch: float, names: list[str]):
 
 
 def _slice_bytes(model: Model) -> int:
-    return max(1 << 14, (1 << 22) // max(4, len(model.langs)))
+    return max(1 << 14, (1 << 21) // max(4, len(model.langs)))
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
