@@ -95,7 +95,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of rows ``lo, hi`` with about ``size`` bytes each, and their texts."""
+    """Runs of rows ``lo, hi`` with about ``size`` bytes each, and their texts.
+
+    What Arrow keeps of earlier batches goes back first, so a worker holds one batch.
+    """
+    pa.default_memory_pool().release_unused()
     data, offsets = buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
