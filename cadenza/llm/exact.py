@@ -16,7 +16,6 @@ table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import materialize
 from . import fuse
+from .frames import positional, restored
 
 SHARD_KEYS = 100_000
 LEAST_SHARDS = 96
@@ -161,9 +161,11 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     kept = exact_duplicates(docs, id_col, text_col).where("kept")
     stay = materialize(kept.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "stay")
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(normalized(F.col(text_col)).cast("binary"), 256)))
-    named = stay.select(F.col("doc_id").alias("__stay_id"), F.col("digest").alias("__stay_digest")).hint("merge")
-    out = marked.join(named, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__digest") == F.col("__stay_digest")), "left_semi")
+    rows, names = positional(docs)
+    marked = rows.withColumn("digest", F.unhex(F.sha2(normalized(F.col(names[text_col])).cast("binary"), 256)))
+    named = stay.select(F.col("doc_id").alias("stay_id"), F.col("digest").alias("stay_digest")).hint("merge")
+    match = F.col(names[id_col]).eqNullSafe(F.col("stay_id")) & (F.col("digest") == F.col("stay_digest"))
+    out = marked.join(named, match, "left_semi")
     if not stay.where("n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__digest"])
-    return out.drop("__digest")
+        out = out.dropDuplicates([names[id_col], "digest"])
+    return restored(out, names)

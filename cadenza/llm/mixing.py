@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
+from .frames import positional, restored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -160,16 +161,18 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_co
     passes = F.ceil((F.col("limit") - F.col("start")) / F.col("source_size")).cast("int")
     chosen = materialize(
         mix.taken().where("taken > 0").select(
-            F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("start").alias("__start"), passes.alias("__passes")
+            F.col("doc_id").alias("id"), F.col("source").alias("its_source"), F.col("size").alias("its_size"), F.col("start").alias("its_start"), passes.alias("passes")
         ),
         "chosen",
     )
-    found = docs.where(word_count(F.col(text_col)) > 0)
-    match = F.col(id_col).eqNullSafe(F.col("__id"))
-    if not chosen.groupBy("__id").count().where("count > 1").isEmpty():
-        chosen = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy("__start")))
-        same = Window.partitionBy(id_col, source_col, "__words").orderBy(F.xxhash64(F.col(text_col)))
-        found = found.withColumn("__words", word_count(F.col(text_col))).withColumn("__row", F.row_number().over(same))
-        match &= F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__row") == F.col("__n"))
-    copies = found.join(chosen.hint("merge"), match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
-    return copies.select(*docs.columns)
+    rows, names = positional(docs)
+    own, origin, text = (F.col(names[c]) for c in (id_col, source_col, text_col))
+    rows = rows.where(word_count(text) > 0)
+    match = own.eqNullSafe(F.col("id"))
+    if not chosen.groupBy("id").count().where("count > 1").isEmpty():
+        chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("id", "its_source", "its_size").orderBy("its_start")))
+        same = Window.partitionBy(own, origin, "words").orderBy(F.xxhash64(text))
+        rows = rows.withColumn("words", word_count(text)).withColumn("row", F.row_number().over(same))
+        match &= origin.eqNullSafe(F.col("its_source")) & (F.col("words") == F.col("its_size")) & (F.col("row") == F.col("nth"))
+    copies = rows.join(chosen.hint("merge"), match).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    return restored(copies, names)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
 from ..sources.scratch import materialize
+from .frames import positional, restored
 from .words import Texts, joined, ragged, slices
 
 SHINGLE = 3
@@ -263,5 +264,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "d
     found = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    out = docs.join(stay.select(F.col("doc_id").alias("__stay")).hint("merge"), F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
-    return out if stay.where("n > 1").isEmpty() else out.dropDuplicates([id_col])
+    rows, names = positional(docs)
+    own = F.col(names[id_col])
+    out = rows.join(stay.select(F.col("doc_id").alias("stay")).hint("merge"), own.eqNullSafe(F.col("stay")), "left_semi")
+    if not stay.where("n > 1").isEmpty():
+        out = out.dropDuplicates([names[id_col]])
+    return restored(out, names)
