@@ -7,11 +7,14 @@ document, not on the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: The call of the C library that hands free memory back to the system, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SLICE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -94,18 +97,27 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Hand back the memory that earlier work freed, so that a worker holds what it uses."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, Texts]]:
     """Runs of rows ``lo, hi`` with about ``size`` bytes each, and their texts.
 
-    What Arrow keeps of earlier batches goes back first, so a worker holds one batch.
+    Freed memory goes back before the first and after the last run, so a worker that waits
+    for its next task holds little, and one that works holds one batch.
     """
-    pa.default_memory_pool().release_unused()
+    release()
     data, offsets = buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         yield lo, hi, Texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
+    release()
 
 
 def windows(hashes: np.ndarray, length: int, step: int = 0x9E3779B97F4A7C15) -> np.ndarray:
