@@ -1,8 +1,11 @@
-"""Columns by position, so that helper columns can't clash with those of a table."""
+"""Columns by position, so that helper columns can't clash with those of a table, and batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Rows of whole texts that a Python worker gets at once.
+TEXT_ROWS = 1000
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -14,3 +17,12 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """The old columns under their old names, and no others."""
     return df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Send texts to Python workers by so many rows at once, from now on in this session.
+
+    For jobs, not for operators: a batch of Spark's default size holds tens of megabytes of
+    text, once in the executor and once in its worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
