@@ -1,16 +1,13 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by windows at shared minimisers.
 
-Suffixes are kept only at content-selected positions: of every ``WINDOW`` runs of ``GRAM``
-consecutive words the one with the least hash (a minimiser). A passage of at least
-``WINDOW + GRAM - 1`` words holds the same minimisers wherever it stands. Suffixes whose run
-no other document holds are put aside; the others are sorted over the cluster by the words
-to their right, then by those to their left (range partitions, so equal suffixes may lie in
-several tasks), and each is compared with its neighbours: the match is extended right and
-left by up to ``REACH`` words. A second order, by the left words first, finds pairs that the
-first order parts. Matches of at least ``LEAST_WORDS`` words are joined to passages.
-
-The first and last rows of each partition are compared once more in a table of their own,
-which holds 2 * NEIGHBOURS rows per partition.
+Of every ``WINDOW`` runs of ``GRAM`` consecutive words the one with the least hash (a
+minimiser) is an anchor. A window of ``LEAST_WORDS`` words holds the same minimiser wherever
+it stands, so a window that two documents hold has an anchor that both hold. Every window
+whose minimiser several documents hold is hashed with 128 bits; each bucket of documents asks
+once for each different window, with the two least documents that hold it there, and the
+bucket of the window answers those that several documents hold with the two least of all.
+Runs of such windows make up the passages. No window is left out: how often a document or the
+table holds a passage, and what stands around it, makes no difference.
 
 Nulls: a null text has no words; a row with a null id takes no part. Passages that repeat
 only inside one document, or under one id, aren't reported. An empty table, or one without
@@ -19,24 +16,22 @@ repeats, gives no rows. Other columns are ignored. Ids are integers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
 from ..sources.scratch import materialize
 from . import repeats
-from .covers import _member, _runs, _texts
-from .words import Texts
+from .covers import _least, _member, _runs, _texts
+from .words import Texts, mixed, spans
 
 LEAST_WORDS = 50
 GRAM = 10
 WINDOW = LEAST_WORDS - GRAM + 1
-REACH = 50
-NEIGHBOURS = 4
 
-SUFFIX = "right binary, left binary, doc long, pos int, n_right int, n_left int"
+#: One row: different windows of a bucket of documents (home) and the two least that hold each.
+ASKED = "bucket int, home int, hashes binary, docs binary"
+RESULT = "doc_id long, start_word int, end_word int, n_words int, other_doc_id long, repeats_earlier boolean"
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -63,149 +58,131 @@ def minimisers(hashes: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.
 def anchors(gram: int, window: int):
     """Hashes at minimisers and the document of each, of a slice of texts."""
 
-    def found(texts: Texts):
+    def run(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, upto = texts.words()
-        words = texts.hashes(starts, ends)
         counts = np.diff(upto)
         doc = np.repeat(np.arange(len(counts)), counts)
-        hashes, at = _runs(words, upto, gram)
+        hashes, at = _runs(texts.hashes(starts, ends), upto, gram)
         pick = minimisers(hashes, doc[at], window)
-        return hashes[pick], at[pick], doc, upto, words
+        return hashes[pick], doc[at[pick]]
 
-    def run(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        hashes, at, doc, _, _ = found(texts)
-        return hashes, doc[at]
-
-    run.found = found
     return run
 
 
-def _suffixes(gram: int, window: int, reach: int):
-    """Cogroup: texts and shared minimisers of a document bucket to suffixes with their words."""
-    find = anchors(gram, window).found
-    schema = pa.schema([("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("pos", pa.int32()), ("n_right", pa.int32()), ("n_left", pa.int32())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        shared = np.sort(repeats.tagged(repeats.unpacked(right, "hashes", "<u8"), repeats.unpacked(right, "docs", "<i8")))
-        out = []
-        for ids, texts in _texts(left) if len(shared) else ():
-            hashes, at, doc, upto, words = find(texts)
-            at = at[_member(shared, repeats.tagged(hashes, ids[doc[at]]))]
-            short = np.concatenate([np.zeros(reach, ">u4"), (words >> np.uint64(32)).astype(">u4"), np.zeros(reach, ">u4")])
-            own = doc[at]
-            n_right, n_left = np.minimum(reach, upto[own + 1] - at), np.minimum(reach, at - upto[own])
-            span = np.arange(reach)
-            ahead = np.where(span < n_right[:, None], short[at[:, None] + reach + span], 0).astype(">u4")
-            back = np.where(span < n_left[:, None], short[at[:, None] + reach - 1 - span], 0).astype(">u4")
-            out.append(
-                pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r.tobytes() for r in ahead], pa.binary()),
-                        pa.array([r.tobytes() for r in back], pa.binary()),
-                        pa.array(ids[own]),
-                        pa.array((at - upto[own]).astype(np.int32)),
-                        pa.array(n_right.astype(np.int32)),
-                        pa.array(n_left.astype(np.int32)),
-                    ],
-                    schema=schema,
-                )
-            )
-        return pa.Table.from_batches(out, schema)
+def _candidates(left: pa.Table, shared: np.ndarray, gram: int, least_words: int):
+    """By slices: hashes of the windows whose minimiser is shared, the id and the first word of each."""
+    window = least_words - gram + 1
+    for ids, texts in _texts(left) if len(shared) else ():
+        starts, ends, upto = texts.words()
+        words = texts.hashes(starts, ends)
+        counts = np.diff(upto)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        hashes, at = _runs(words, upto, gram)
+        if len(hashes) < window:
+            continue
+        least = _sliding(hashes, window, np.minimum)
+        own = doc[at[: len(least)]]
+        change = np.ones(len(least), bool)
+        change[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
+        first = np.flatnonzero(change)
+        hit = np.repeat(_member(shared, repeats.tagged(least[first], ids[own[first]])), np.diff(np.append(first, len(least))))
+        pick = np.flatnonzero(hit & (own == doc[at[window - 1 :]]))
+        if not len(pick):
+            continue
+        begin, own = at[pick], own[pick]
+        pairs = np.stack([spans(words, begin, least_words), spans(texts.hashes(starts, ends, 1), begin, least_words, 1)], axis=1)
+        yield pairs, ids[own], begin - upto[own]
+
+
+def _anchors_in(table: pa.Table) -> np.ndarray:
+    """Sorted keys of the shared minimisers in the settled rows."""
+    table = table.filter(table["settled"])
+    return np.sort(repeats.tagged(repeats.unpacked(table, "hashes", "<u8"), repeats.unpacked(table, "docs", "<i8")))
+
+
+def _two_least(pairs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different windows in order, and the two least documents of each (one twice if there is no other)."""
+    pairs, docs, first, _ = _least(pairs, docs)
+    start = np.flatnonzero(first)
+    ends = np.append(start[1:], len(docs))[: len(start)]
+    return pairs[start], np.stack([docs[start], docs[np.minimum(start + 1, ends - 1)]], axis=1)
+
+
+def _key(pairs: np.ndarray) -> np.ndarray:
+    return pairs[:, 0] ^ mixed(pairs[:, 1])
+
+
+def _asked(gram: int, least_words: int, buckets: int):
+    """Cogroup: texts and shared minimisers of a document bucket to its different windows."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = list(_candidates(left, _anchors_in(right), gram, least_words))
+        pairs = np.concatenate([np.zeros((0, 2), np.uint64), *(p for p, _, _ in found)])
+        pairs, docs = _two_least(pairs, np.concatenate([np.zeros(0, np.int64), *(d for _, d, _ in found)]))
+        rows = repeats.packed_rows((pairs[:, 0] % np.uint64(buckets)).astype(np.int64), [pairs, docs], False)
+        home = pa.array(np.full(rows.num_rows, key[0].as_py(), np.int32))
+        return pa.table([rows["bucket"], home, rows["hashes"], rows["docs"]], ["bucket", "home", "hashes", "docs"])
 
     return run
 
 
-def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many leading words are equal, at most ``most``."""
-    differ = a != b
-    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
-
-
-def _neighbours(reach: int, least: int, steps: int, edges: bool):
-    """Sorted suffixes to matches: doc, begin, end, other; and the rows at both ends."""
-    names = ["doc", "begin", "end", "other", "right", "left", "pos", "n_right", "n_left"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        first: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if first is None or first.num_rows < steps:
-                first = (table if first is None else pa.concat_tables([first, table])).slice(0, steps)
-            old = held.num_rows if held is not None else 0
-            table = pa.concat_tables([held, table]) if held is not None else table
-            yield from compare(table, old)
-            held = table.slice(max(0, table.num_rows - steps))
-        if edges and first is not None:
-            ends = pa.concat_tables([first, held])
-            none = pa.nulls(ends.num_rows, pa.int32())
-            for b in pa.table([ends["doc"], none, none, pa.nulls(ends.num_rows, pa.int64()), *(ends[c] for c in names[4:])], names).combine_chunks().to_batches():
-                yield b
-
-    def compare(table: pa.Table, old: int) -> Iterator[pa.RecordBatch]:
-        n = table.num_rows
-        ahead, back = (np.frombuffer(b"".join(table[c].to_pylist()), ">u4").reshape(n, reach) for c in ("right", "left"))
-        doc, pos, n_right, n_left = (table[c].to_numpy().astype(np.int64) for c in ("doc", "pos", "n_right", "n_left"))
-        far_right, far_left = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        other = np.full(n, np.iinfo(np.int64).max)
-        for k in range(1, steps + 1):
-            i = np.arange(max(0, old - k), n - k)
-            i = i[doc[i] != doc[i + k]]
-            if not len(i):
-                continue
-            j = i + k
-            r = _common(ahead[i], ahead[j], np.minimum(n_right[i], n_right[j]))
-            m = _common(back[i], back[j], np.minimum(n_left[i], n_left[j]))
-            hit = (r + m >= least) & (r > 0)
-            i, j, r, m = i[hit], j[hit], r[hit], m[hit]
-            for a, b in ((i, j), (j, i)):
-                far_right[a] = np.maximum(far_right[a], r)
-                far_left[a] = np.maximum(far_left[a], m)
-                other[a] = np.minimum(other[a], doc[b])
-        hit = np.flatnonzero(far_right + far_left)
-        if len(hit):
-            gone = [pa.nulls(len(hit), pa.binary())] * 2 + [pa.nulls(len(hit), pa.int32())] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[hit]), pa.array((pos - far_left)[hit].astype(np.int32)), pa.array((pos + far_right)[hit].astype(np.int32)), pa.array(other[hit]), *gone], names
-            )
-
-    return run
+def _answered(table: pa.Table) -> pa.Table:
+    """Windows of a bucket to those of several documents, for each that asked."""
+    pairs, docs = repeats.unpacked(table, "hashes", "<u8", 2), repeats.unpacked(table, "docs", "<i8", 2)
+    sizes = np.array([len(x) // 16 for x in table["hashes"].to_pylist()], np.int64)
+    home = np.repeat(table["home"].to_numpy().astype(np.int64), sizes)
+    _, two = _two_least(np.concatenate([pairs, pairs]), docs.T.ravel())
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs, home = pairs[order], home[order]
+    two = two[np.cumsum(np.concatenate([[False], (pairs[1:] != pairs[:-1]).any(axis=1)]))]
+    many = two[:, 0] != two[:, 1]
+    return pa.Table.from_batches([repeats.packed_rows(home[many], [_key(pairs[many]), two[many]], False)])
 
 
-MATCH = "doc long, begin int, end int, other long, right binary, left binary, pos int, n_right int, n_left int"
+def _passages(gram: int, least_words: int):
+    """Cogroup: texts, shared minimisers (settled) and answers of a document bucket to passages."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers = right.filter(pa.compute.invert(right["settled"]))
+        keys, two = repeats.unpacked(answers, "hashes", "<u8"), repeats.unpacked(answers, "docs", "<i8", 2)
+        order = np.argsort(keys)
+        keys, two = keys[order], two[order]
+        docs, begins, others = ([np.zeros(0, np.int64)] for _ in range(3))
+        for pairs, ids, begin in _candidates(left, _anchors_in(right), gram, least_words) if len(keys) else ():
+            asked = _key(pairs)
+            hit = _member(keys, asked)
+            ids, of = ids[hit], two[np.searchsorted(keys, asked[hit])]
+            docs.append(ids)
+            begins.append(begin[hit])
+            others.append(np.where(of[:, 0] == ids, of[:, 1], of[:, 0]))
+        doc, begin, other = np.concatenate(docs), np.concatenate(begins), np.concatenate(others)
+        order = np.lexsort((begin, doc))
+        doc, begin, other = doc[order], begin[order], other[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + least_words)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc))[: len(first)] - 1
+        doc, start, end = doc[first], begin[first], begin[last] + least_words
+        other = np.minimum.reduceat(other, first) if len(first) else other
+        return pa.table(
+            [pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (start, end, end - start)), pa.array(other), pa.array(other < doc)],
+            ["doc_id", "start_word", "end_word", "n_words", "other_doc_id", "repeats_earlier"],
+        )
 
-def _matches(suffixes: DataFrame, order: list[str], reach: int, least: int) -> DataFrame:
-    """``doc, begin, end, other`` of all matches that neighbours in the order show."""
-    ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialize(ordered.mapInArrow(_neighbours(reach, least, NEIGHBOURS, True), MATCH), "matches")
-    edges = found.where("begin is null").select(*(c.split()[0] for c in SUFFIX.split(", ")))
-    again = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours(reach, least, NEIGHBOURS, False), MATCH)
-    return found.where("begin is not null").unionByName(again).select("doc", "begin", "end", "other")
+    return run
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, gram: int = GRAM, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per maximal run of matched words: doc_id, start_word, end_word (exclusive),
-    n_words, other_doc_id (the least document seen with a part of it), repeats_earlier (that
-    one has a smaller id)."""
+    n_words, other_doc_id (the least other document that holds a window of it), repeats_earlier
+    (that one has a smaller id)."""
     window = least_words - gram + 1
-    if window < 1 or reach < least_words:
-        raise ValueError("a passage must hold a whole run, and the reach a whole passage")
+    if window < 1:
+        raise ValueError("a passage must hold a whole run")
     buckets = repeats.buckets_for(docs, text_col)
     shared = materialize(repeats.shared_anchors(docs, anchors(gram, window), buckets, id_col, text_col), "anchors")
     texts = repeats.by_document(docs, buckets, id_col, text_col).where("doc_id is not null")
-    found = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_suffixes(gram, window, reach), SUFFIX)
-    suffixes = materialize(found, "suffixes")
-    matches = _matches(suffixes, ["right", "left", "doc", "pos"], reach, least_words).unionByName(
-        _matches(suffixes, ["left", "right", "doc", "pos"], reach, least_words)
-    )
-    matches = materialize(matches, "all-matches")
-    by_doc = Window.partitionBy("doc").orderBy("begin", "end")
-    ahead = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = matches.withColumn("new", F.when(F.col("begin") <= ahead, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("doc", "run").agg(F.min("begin").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other_doc_id"))
-    return out.select(
-        F.col("doc").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id", (F.col("other_doc_id") < F.col("doc")).alias("repeats_earlier")
-    )
+    asked = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_asked(gram, least_words, buckets), ASKED)
+    answers = materialize(asked.groupBy("bucket").applyInArrow(_answered, repeats.PACKED), "answers")
+    told = shared.unionByName(answers)
+    return texts.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_passages(gram, least_words), RESULT)

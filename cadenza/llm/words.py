@@ -131,6 +131,14 @@ def windows(hashes: np.ndarray, length: int, step: int = 0x9E3779B97F4A7C15) ->
     return mixed(out)
 
 
+def spans(hashes: np.ndarray, begin: np.ndarray, length: int, family: int = 0) -> np.ndarray:
+    """A hash of the ``length`` word hashes from each place on; the cost doesn't depend on the length."""
+    up, down = _FAMILIES[family].upto(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:-1], out=sums[1:])
+    return mixed((sums[begin + length] - sums[begin]) * down[begin])
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The indices ``starts[i] .. starts[i] + counts[i] - 1`` of all i, in one array."""
     total = int(counts.sum())

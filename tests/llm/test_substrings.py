@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -54,6 +55,39 @@ def test_suffixes_against_brute_force(docs, corpus):
     assert want and all(r["n_words"] >= 50 and r["other_doc_id"] != r["doc_id"] for r in found)
 
 
+def _hidden_passages():
+    rng = random.Random(5)
+    word = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
+    block, passage = word(60), word(90)
+    rows = [block * 200, word(20) + block + word(20)]
+    for _ in range(60):
+        lo, hi = rng.randint(0, 60), rng.randint(30, 90)
+        rows.append(word(rng.randint(0, 60)) + passage[lo : max(hi, lo + 12)] + word(rng.randint(0, 60)))
+    return [(k, " ".join(w)) for k, w in enumerate(rows)]
+
+
+def test_suffixes_find_passages_among_many_holders(spark):
+    """A text that one document repeats 200 times, and a passage that many hold in part."""
+    rows = _hidden_passages()
+    where = defaultdict(set)
+    split = {k: t.split() for k, t in rows}
+    for k, w in split.items():
+        for i in range(len(w) - 49):
+            where[tuple(w[i : i + 50])].add(k)
+    want, others = set(), {}
+    for k, w in split.items():
+        for i in range(len(w) - 49):
+            if len(s := where[tuple(w[i : i + 50])] - {k}):
+                for j in range(i, i + 50):
+                    want.add((k, j))
+                    others[k, j] = min(others.get((k, j), 10**9), *s)
+    found = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], j) for r in found for j in range(r["start_word"], r["end_word"])} == want
+    assert len({w for k, w in want if k == 0}) > 11_000
+    for r in found:
+        assert r["other_doc_id"] == min(others[r["doc_id"], j] for j in range(r["start_word"], r["end_word"]))
+
+
 def test_suffixes_of_odd_tables(spark, none):
     assert suffixes.repeated_passages(none).count() == 0
     text = " ".join(f"w{k}" for k in range(60))
