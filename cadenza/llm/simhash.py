@@ -249,24 +249,49 @@ def linked(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> D
     return rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_links(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, bits, component_id (the least id it is linked with, itself included)."""
+def _components(docs: DataFrame, radius: int, shingle: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, bits`` of each row, and ``bits, component_id, keep_bits`` of each fingerprint:
+    the least id of its component and, of the fingerprints of that id in it, the least."""
     rows = materialize(fingerprints(docs, shingle, seed, id_col, text_col), "bits")
     distinct = materialize(rows.groupBy("bits").agg(F.min("doc_id").alias("rep")), "distinct")
-    parts = connected_components(linked(distinct, radius))
-    named = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("bits", F.coalesce("component", "rep").alias("component_id"))
-    named = materialize(named, "components")
+    # fingerprints are the nodes: ids can be null or stand for unlike texts
+    parts = connected_components(linked(distinct.select("bits", F.col("bits").alias("rep")), radius))
+    named = distinct.join(parts, distinct["bits"] == parts["node"], "left").select("bits", "rep", F.coalesce("component", "bits").alias("part"))
+    named = materialize(named, "parts")
+    keep = named.groupBy("part").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "bits")).alias("keep"))
+    named = named.join(keep, "part").select("bits", F.col("keep.rep").alias("component_id"), F.col("keep.bits").alias("keep_bits"))
+    return rows, materialize(named, "components")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, bits, component_id (the least id it is linked with, itself included)."""
+    rows, named = _components(docs, radius, shingle, seed, id_col, text_col)
     return rows.join(named, "bits").select("doc_id", "bits", "component_id")
 
 
+def _bits(column: pa.Array) -> pa.Array:
+    found = [fingerprints_of(t, SHINGLE, SEED) for _, _, t in slices(column)]
+    return pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64))
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of their component, one for each id; all columns of ``docs``."""
-    found = near_duplicates(docs, radius, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
+    """One row of each component, one with its least id; all columns of ``docs``.
+
+    A component without ids keeps one row too. Unlike texts under one id, or without one, are
+    rows of several components and stay. If an id has several fingerprints, they are computed
+    once more beside the columns; otherwise the id tells the fingerprint.
+    """
+    found, named = _components(docs, radius, SHINGLE, SEED, id_col, text_col)
+    stay = named.where(F.col("bits") == F.col("keep_bits")).select(F.col("component_id").alias("stay_id"), F.col("bits").alias("stay_bits"))
+    kept = found.join(stay, (F.col("bits") == F.col("stay_bits")) & F.col("doc_id").eqNullSafe(F.col("stay_id")))
+    stay = materialize(kept.groupBy("stay_id", "stay_bits").agg(F.count("*").alias("n")), "stay")
     rows, names = positional(docs)
-    own = F.col(names[id_col])
-    out = rows.join(stay.select(F.col("doc_id").alias("stay")).hint("merge"), own.eqNullSafe(F.col("stay")), "left_semi")
+    key = [names[id_col]]
+    match = F.col(names[id_col]).eqNullSafe(F.col("stay_id"))
+    if not found.groupBy("doc_id").agg(F.min("bits").alias("a"), F.max("bits").alias("b")).where("a < b").isEmpty():
+        rows = rows.withColumn("bits", F.arrow_udf(_bits, "long")(F.col(names[text_col]).cast("string")))
+        key, match = [*key, "bits"], match & (F.col("bits") == F.col("stay_bits"))
+    out = rows.join(stay.hint("merge"), match, "left_semi")
     if not stay.where("n > 1").isEmpty():
-        out = out.dropDuplicates([names[id_col]])
+        out = out.dropDuplicates(key)
     return restored(out, names)

@@ -91,6 +91,28 @@ def test_fingerprints_and_components(docs, corpus):
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == sorted({find(k) for k in prints})
 
 
+def test_near_copies_under_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k * k % 97}" for k in range(60)) for x in "abcde")
+    rows = [(None, a), (None, a + " "), (None, b), (None, None), (1, c), (1, d), (2, d), (3, d), (1, d), (4, e), (None, e), (5, a + "\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], norm(r["text"]).strip()) for r in simhash.drop_near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(5, a), (None, b), (None, ""), (1, c), (1, d), (4, e)], key=repr)
+    links = {(r["doc_id"], r["bits"]): r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert links[None, simhash._signed(fingerprint(a))] == 5 and links[2, simhash._signed(fingerprint(d))] == 1
+
+
+def test_near_copies_without_ids_are_linked(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(3000)]
+    first = fingerprint(" ".join(base))
+    # the first change at the end that turns a bit
+    close = next(t for n in range(1, 200) if fingerprint(t := " ".join([*base, *(f"more{k}" for k in range(n))])) != first)
+    assert bin(fingerprint(close) ^ first).count("1") <= 3
+    texts = [" ".join(base), close, " ".join(base[::-1])]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert simhash.drop_near_duplicates(df).count() == 2
+
+
 def test_every_close_pair_shares_a_mask():
     masks = simhash.covering_masks(3)
     rng = random.Random(0)
