@@ -32,6 +32,8 @@ VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
+#: Two of these in one head are the heads of two records, the first of them cut.
+ONCE = ("warc-type", "warc-record-id", "content-length")
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORDS_A_FILE = 2000
@@ -112,24 +114,31 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()  # noqa: S324 (the format's digest)
 
 
-def _record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
+def _record(data: bytes, at: int) -> tuple[dict, int]:
     """The valid record that starts at ``at`` and the position after it."""
-    head_end = bytes(data[at : at + 65536]).find(b"\r\n\r\n")
-    if head_end < 0:
-        raise _Broken("headers don't end")
-    lines = bytes(data[at : at + head_end]).split(b"\r\n")
-    if not lines[0].startswith(b"WARC/1."):
+    if not data.startswith(b"WARC/1.", at):
         raise _Broken("no version line")
     head = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
+    pos = data.find(b"\r\n", at) + 2
+    while True:
+        # line by line, so that headers may be of any length and a bad one ends the search
+        stop = data.find(b"\r\n", pos) if pos > 1 else -1
+        if stop < 0:
+            raise _Broken("headers don't end")
+        if stop == pos:
+            break
+        name, colon, value = data[pos:stop].partition(b":")
         if not colon:
             raise _Broken("bad header line")
-        head[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        name = name.strip().lower().decode("utf-8", "replace")
+        if name in head and name in ONCE:
+            raise _Broken("header repeated")
+        head[name] = value.strip().decode("utf-8", "replace")
+        pos = stop + 2
     size = head.get("content-length", "")
     if not size.isdecimal():
         raise _Broken("no content length")
-    start = at + head_end + 4
+    start = pos + 2
     end = start + int(size)
     if end + 4 > len(data) or bytes(data[end : end + 4]) != b"\r\n\r\n":
         raise _Broken("block is cut or has no end mark")
@@ -156,46 +165,87 @@ def _record(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and the position after it."""
-    unzip = zlib.decompressobj(31)
-    out = []
-    for lo in range(at, len(data), 1 << 20):
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, the position after it, and what is wrong with
+    it; of a member that is cut or broken the content up to there."""
+    unzip, out, lo, step = zlib.decompressobj(31), [], at, 1 << 20
+    while lo < len(data):
+        before = unzip.copy()
         try:
-            out.append(unzip.decompress(data[lo : lo + (1 << 20)]))
+            out.append(unzip.decompress(data[lo : lo + step]))
         except zlib.error as e:
-            raise _Broken(f"gzip: {e}") from None
+            if step == 1:
+                return b"".join(out), lo, f"gzip: {e}"
+            unzip, step = before, step >> 5
+            continue
         if unzip.eof:
-            return b"".join(out), min(lo + (1 << 20), len(data)) - len(unzip.unused_data)
-    raise _Broken("gzip member is cut")
+            return b"".join(out), min(lo + step, len(data)) - len(unzip.unused_data), ""
+        lo += step
+    return b"".join(out), len(data), "gzip member is cut"
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Valid records of an archive in order, and its gaps (``gap`` has the reason)."""
-    view, at, lost, why = memoryview(data), 0, None, ""
+def _next(data: bytes, at: int, marks: tuple[bytes, ...]) -> int:
+    return min((p for mark in marks if (p := data.find(mark, at)) >= 0), default=len(data))
+
+
+def _inside(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
+    """Begin and end of each valid record of a member's content, and of each gap with its reason."""
+    at, lost, why = 0, None, ""
     while at < len(data):
         try:
-            if data[at : at + 3] == b"\x1f\x8b\x08":
-                inner, after = _member(view, at)
-                found, pos = [], 0
-                while pos < len(inner):
-                    row, pos = _record(inner, pos)
-                    found.append(row)
-            else:
-                row, after = _record(view, at)
-                found = [row]
+            row, after = _record(data, at)
         except _Broken as e:
             if lost is None:
                 lost, why = at, str(e)
-            next_at = [p for mark in (b"WARC/1.", b"\x1f\x8b\x08") if (p := data.find(mark, at + 1)) >= 0]
-            at = min(next_at, default=len(data))
+            at = _next(data, at + 1, (b"WARC/1.",))
             continue
         if lost is not None:
+            yield lost, at, why
+            lost = None
+        yield at, after, row
+        at = after
+    if lost is not None:
+        yield lost, at, why
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """Valid records of an archive in order, and its gaps (``gap`` has the reason).
+
+    Records of a gzip member stand at the member's place, and so do the gaps inside it. Of a
+    member that is cut or broken only records before its last bytes count, as its own check
+    is missing; the member is a gap besides.
+    """
+    view, at, lost, why = memoryview(data), 0, None, ""
+    while at < len(data):
+        found: list[dict] = []
+        wrong = ""
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            inner, after, wrong = _member(view, at)
+            for lo, hi, part in _inside(inner):
+                if isinstance(part, dict):
+                    if not wrong or hi < len(inner):
+                        found.append(part)
+                elif not wrong:
+                    found.append({"gap": f"{part} (bytes {lo} to {hi} of the member's content)"})
+            if found and all("gap" in row for row in found):
+                found = [{"gap": found[0]["gap"]}]
+        else:
+            try:
+                row, after = _record(data, at)
+                found = [row]
+            except _Broken as e:
+                wrong = str(e)
+        if lost is not None and (found or not wrong):
             yield {"position": lost, "length": at - lost, "gap": why}
             lost = None
         for row in found:
             yield row | {"position": at, "length": after - at}
-        at = after
+        if wrong:
+            if lost is None:
+                lost, why = at, wrong
+            at = _next(data, at + 1, (b"WARC/1.", b"\x1f\x8b\x08"))
+        else:
+            at = after
     if lost is not None:
         yield {"position": lost, "length": len(data) - lost, "gap": why}
 

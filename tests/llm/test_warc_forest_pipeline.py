@@ -42,6 +42,29 @@ def test_salvage_of_gzip_members():
     assert found(b"".join(parts[:4]) + parts[4][:-3])[0] == list("0123")
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    path = f"file://{tmp_path}/long"
+    url = "data:text/html," + "y" * 200_000
+    warc.write_archives(spark.createDataFrame([(1, url, "a", "", 1), (2, "u", "b", "", 1)], PAGES), path)
+    got = warc.read_archives(spark, path).collect()
+    assert sorted((r["record_id"], r["target_uri"], r["gap"]) for r in got) == [("<urn:page:1>", url, None), ("<urn:page:2>", "u", None)]
+
+
+def test_salvage_inside_gzip_members():
+    rng = np.random.default_rng(1)
+    many = [record("response", k, rng.integers(0, 256, 3000, np.uint8).tobytes()) for k in range(6)]
+    hurt = bytearray(many[2])
+    hurt[-30] ^= 1
+    whole = gzip.compress(b"".join([*many[:2], bytes(hurt), *many[3:]]))
+    assert found(whole) == (list("01345"), [(0, len(whole))])
+    last = gzip.compress(record("response", 9, b"z"))
+    cut = gzip.compress(b"".join(many))[:-4000]
+    assert found(cut)[0] == list("0123")
+    broken = bytearray(gzip.compress(b"".join(many)))
+    broken[len(broken) * 2 // 3] ^= 255
+    assert found(bytes(broken) + last)[0][:3] == list("012") and found(bytes(broken) + last)[0][-1] == "9"
+
+
 PAGES = "page_id long, url string, html string, sha1 string, n long"
 
 
