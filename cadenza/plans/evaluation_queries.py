@@ -448,7 +448,7 @@ def fit_logistic(spark: SparkSession, d: str) -> DataFrame:
 def fit_gbt(spark: SparkSession, d: str) -> DataFrame:
     rows = leveled(spark, d)
     x = models.feature_array([f"f{k}" for k in range(16)])
-    model = models.fit_gbt(rows, x, "y", rounds=10)
+    model = models.fit_gbt(rows, x, "y")
     return _report(models.gbt_scored(model, rows, x, "probability"), "gbm")
 
 
@@ -456,7 +456,7 @@ def fit_gbt(spark: SparkSession, d: str) -> DataFrame:
 def fit_mlp(spark: SparkSession, d: str) -> DataFrame:
     rows = leveled(spark, d)
     x = models.feature_array([f"f{k}" for k in range(16)])
-    model = models.fit_mlp(rows, x, "y", 16, epochs=10)
+    model = models.fit_mlp(rows, x, "y", 16)
     return _report(rows.withColumn("probability", models.mlp_score(x, [tuple(p) for p in model["layers"]])), "mlp")
 
 

@@ -145,3 +145,24 @@ def test_bundle_round_trip_and_scores(spark, tmp_path):
         acts = np.maximum(acts, 0) if k < 2 else 1 / (1 + np.exp(-acts))
     got = [r[0] for r in again.score(df, "mlp").select("probability").collect()]
     assert got == pytest.approx(acts[:, 0].tolist(), abs=1e-9)
+
+
+def test_registered_fits_keep_the_defaults(monkeypatch):
+    from cadenza.plans import evaluation_queries as q
+
+    class Called(Exception):
+        pass
+
+    for name in ("fit_gbt", "fit_mlp"):
+        said = {}
+
+        def fit(*args, said=said, **more):
+            said.update(more)
+            raise Called
+
+        for other in ("feature_array", "leveled"):
+            monkeypatch.setattr(q.models if other == "feature_array" else q, other, lambda *a: None)
+        monkeypatch.setattr(q.models, name, fit)
+        with pytest.raises(Called):
+            getattr(q, name)(None, "")
+        assert not {"rounds", "epochs"} & set(said)
