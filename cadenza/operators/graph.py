@@ -1,56 +1,97 @@
-"""Connected components of an edge table by alternating star contraction."""
+"""Connected components of an edge table by contraction in tasks and pointer jumping."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..sources.scratch import materialize
 
+#: Edges that a task contracts at once, and edges of a round's table that a task gets.
+HELD = 1 << 20
+ROWS_A_TASK = 100_000
+LEAST_TASKS = 8
 
-def _contract(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over ``u, v`` with ``v < u``.
 
-    large: every neighbour above a node is hung below the least node of its neighbourhood.
-    small: every neighbour below a node, and the node, are hung below the least of them.
-    """
-    if large:
-        edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    least = materialize(least, "least")
-    joined = edges.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-    return out.where("u <> v").distinct()
+def least_of_parts(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least place of the component of each of n places, for edges between places a and b."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not (label == (up := label[label])).all():
+            label = up
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node that isn't the least of its component, with that least node; a node that has
+    self edges only with itself."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = least_of_parts(place[: len(u)], place[len(u) :], len(nodes))
+    told = (label != np.arange(len(nodes))) | (np.bincount(label, minlength=len(nodes)) == 1)
+    return nodes[told], nodes[label[told]]
+
+
+def star_batches(found: Iterator[tuple[np.ndarray, np.ndarray]], names: tuple[str, str] = ("u", "v")) -> Iterator[pa.RecordBatch]:
+    """Edges, array by array, as stars of up to ``HELD`` edges at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for u, v in found:
+        held.append((u, v))
+        size += len(u)
+        if size >= HELD:
+            u, v = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            if len(u) > HELD // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
+                u, v = u[:0], v[:0]
+            held, size = [(u, v)], len(u)
+    if size:
+        u, v = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The edges ``u, v`` of each task as stars below the least node of each component there."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return star_batches(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)) for b in batches)
+
+    return edges.mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """``node, component`` for every node with an edge; component is its least node.
 
-    Edges that are null on a side are left out; a self edge is a component of its own.
-    Each round is written to the shared folder, so lineage stays one round long. A hub is
-    pre-aggregated before the shuffle for its least neighbour, and joins its neighbours by
-    a sort-merge join that adaptive execution can split. An empty table gives no row.
+    Every task first reduces its edges to stars, so a node, a hub too, has one edge per task at
+    most when edges are dealt by their larger end. In a round the parents of a node meet
+    and are joined below the least of them, then every parent is replaced with its own parent
+    by a sort-merge join that adaptive execution can split where many nodes share one. Rounds
+    end when every parent is a root. Each is written to the shared folder, so lineage stays
+    one round long. Edges that are null on a side are left out; a self edge is a component of
+    its own. An empty table gives no row.
     """
-    pairs = materialize(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna(), "pairs")
-    loops = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
-    now = materialize(
-        pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
-    before = None
+    pairs = materialize(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).dropna(), "pairs")
+    now, rows = contracted(pairs.where("u <> v")), pairs.count()
     while True:
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == before or not sign[0]:
+        told, tasks = Observation(), max(LEAST_TASKS, -(-rows // ROWS_A_TASK))
+        met = materialize(contracted(now.repartition("u").coalesce(tasks)), "met")
+        parents = met.groupBy("u").agg(F.min("v").alias("up")).select(F.col("u").alias("node"), "up")
+        jumped = met.join(parents.hint("merge"), F.col("v") == F.col("node"), "left").select("u", "v", F.coalesce("up", "v").alias("up"))
+        jumped = jumped.observe(told, F.count("*").alias("n"), F.count_if(F.col("up") != F.col("v")).alias("moved"))
+        now = contracted(jumped.select("u", F.col("up").alias("v")).coalesce(tasks))
+        now = materialize(now, "jumped")
+        rows = told.get["n"]
+        if not told.get["moved"] and now.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").isEmpty():
             break
-        before = sign
-        now = materialize(_contract(materialize(_contract(now, True), "large"), False), "small")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    alone = loops.join(stars.unionByName(roots), "node", "left_anti").select(
-        "node", F.col("node").alias("component")
-    )
-    return stars.unionByName(roots).unionByName(alone)
+    below = now.distinct()
+    nodes = below.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = below.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    loops = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
+    alone = loops.join(nodes.unionByName(roots), "node", "left_anti").select("node", F.col("node").alias("component"))
+    return nodes.unionByName(roots).unionByName(alone)
