@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, star_batches
 from ..sources.scratch import materialize
 from .frames import positional, restored
 from .words import Texts, joined, ragged, slices
@@ -146,12 +146,6 @@ def covering_masks(radius: int = RADIUS, width: int = 64) -> list[int]:
     return [sum(1 << i for i in range(width) if bin(vector[i] & v).count("1") % 2) for v in range(1, top)]
 
 
-def _finer(mask: int, parts: int) -> list[int]:
-    """The mask with each of so many parts of its open bits added."""
-    open_bits = [i for i in range(64) if not mask >> i & 1]
-    return [mask | sum(1 << i for i in open_bits[k::parts]) for k in range(parts)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -174,7 +168,8 @@ def _forest(bits: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _links(radius: int):
-    """Edges between representatives within each run of equal ``mask, key`` of sorted rows."""
+    """Edges between representatives within each run of equal ``mask, key`` of sorted rows, as
+    stars of all edges of a task."""
 
     def edges(run: np.ndarray, bits: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(np.diff(run)) + 1
@@ -198,13 +193,12 @@ def _links(radius: int):
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *left]), np.concatenate([none, *right])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held: list[np.ndarray] = []
 
-        def put(rows: np.ndarray) -> pa.RecordBatch:
+        def put(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             group = np.cumsum(np.concatenate([[False], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)]))
-            u, v = edges(group, rows[2].view(np.uint64), rows[3])
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            return edges(group, rows[2].view(np.uint64), rows[3])
 
         for batch in batches:
             if not batch.num_rows:
@@ -219,34 +213,56 @@ def _links(radius: int):
         if held and held[0].shape[1]:
             yield put(held[0])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return star_batches(found(batches))
+
+    return run
+
+
+def finer_masks(masks: np.ndarray, parts: int) -> np.ndarray:
+    """Of each mask, in a row, the mask with each of so many parts of its open bits added."""
+    open_bits = np.unpackbits(~masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    part = (np.cumsum(open_bits, axis=1) - 1) % parts
+    added = [np.packbits(open_bits & (part == k), axis=1, bitorder="little").view(np.uint64).ravel() for k in range(parts)]
+    return masks[:, None] | np.stack(added, axis=1)
+
+
+def _dealt_again(parts: int):
+    """Rows ``mask, key, bits, rep`` under each of the finer masks of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks, bits, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            finer = finer_masks(masks.view(np.uint64), parts).ravel().view(np.int64)
+            bits = np.repeat(bits, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(finer & bits), pa.array(bits), pa.array(np.repeat(rep, parts))], batch.schema.names)
+
     return run
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges ``u, v`` between ids that join exactly the linked fingerprints of ``bits, rep``.
 
-    Not every pair is an edge, but the edges' components are those of all linked pairs.
+    Not every pair is an edge, but the edges' components are those of all linked pairs. The
+    masks stand in the rows: those of heavy buckets are made finer in tasks, from these rows
+    alone, until no bucket is heavy or a mask leaves no more open bits than parts.
     """
-    masks = covering_masks(radius)
-    keyed = distinct.where("rep is not null").select("bits", "rep", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
-    keyed = keyed.withColumn("key", F.col("bits").bitwiseAND(F.col("mask")))
-    ready = []
+    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
+    keyed = distinct.where("rep is not null").select("bits", F.col("rep").cast("long").alias("rep"), F.explode(masks).alias("mask"))
+    keyed = keyed.select("mask", F.col("bits").bitwiseAND(F.col("mask")).alias("key"), "bits", "rep")
+    parts, ready = radius + 1, None
     while True:
-        heavy = materialize(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("mask", "key"), "heavy")
-        finer = {m: f for m in masks if len(set(f := _finer(m, radius + 1))) > 1}
-        if heavy.isEmpty() or not finer:
-            ready.append(keyed)
+        open_bits = F.lit(64) - F.bit_count("mask")
+        heavy = keyed.where(open_bits > parts).groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+        heavy = materialize(heavy.select("mask", "key"), "heavy")
+        done = heavy.isEmpty()
+        light = keyed if done else keyed.join(heavy, ["mask", "key"], "left_anti")
+        ready = light if ready is None else ready.unionByName(light)
+        if done:
             break
-        ready.append(keyed.join(heavy, ["mask", "key"], "left_anti"))
-        table = F.create_map(*[x for m, f in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in f]))])
-        split = keyed.join(heavy, ["mask", "key"]).select("bits", "rep", F.explode(table[F.col("mask")]).alias("mask"))
-        keyed = materialize(split.withColumn("key", F.col("bits").bitwiseAND(F.col("mask"))), "finer")
-        masks = sorted({y for f in finer.values() for y in f})
-    rows = ready[0]
-    for more in ready[1:]:
-        rows = rows.unionByName(more)
-    rows = rows.select("mask", "key", "bits", F.col("rep").cast("long").alias("rep"))
-    return rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_links(radius), "u long, v long")
+        again = keyed.join(heavy, ["mask", "key"]).select("mask", "key", "bits", "rep")
+        keyed = materialize(again.mapInArrow(_dealt_again(parts), "mask long, key long, bits long, rep long"), "finer")
+    return ready.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_links(radius), "u long, v long")
 
 
 def _components(docs: DataFrame, radius: int, shingle: int, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
