@@ -17,6 +17,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
-from .words import Texts, mixed, ragged, slices
+from .words import SLICE, Texts, mixed, ragged, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -44,21 +45,31 @@ _KIND[[*range(65, 91), *range(97, 123)]] = 1
 _KIND[[c for c in range(33, 127) if not chr(c).isalpha() and chr(c) not in "'<|>"]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_JOINED = 2000
+#: The low n bytes of a 64-bit word, for n from 0 to 8.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of one string, and strings of one call, for the tokenizer.
+_JOINED = 500
+_STRINGS = 8
+#: Longer pieces are encoded anew in each slice.
+_LONGEST = 64
 
 
 class WordTokens:
-    """Token ids of pieces of text, remembered per worker by a hash of the piece.
+    """Token ids of pieces of text, remembered per worker.
 
     Texts are cut at blanks and between an ASCII letter and an ASCII digit or mark: the
     tokenizer's own splits always fall there, so a text's ids are those of its pieces in
-    order. It lower-cases, so pieces are known by their lower case. Pieces of letters only are
-    one word of the tokenizer each and are encoded many at a time, told apart by the ids that
-    end a word; other pieces are encoded one by one. At most ``KNOWN_WORDS`` pieces are
+    order. It lower-cases, so pieces are known by their lower case. A piece of up to 16 bytes
+    is known by two 64-bit words that hold its bytes, and its length; a longer one by its
+    bytes in a dictionary. So pieces are told apart exactly. Pieces of letters only are one
+    word of the tokenizer each and are encoded many at a time, told apart by the ids that end
+    a word; other pieces are encoded one by one. At most ``KNOWN_WORDS`` pieces are
     remembered, then all are dropped.
     """
 
     def __init__(self, path: str) -> None:
+        # Spark runs a task per core: threads of the tokenizer's own would only add their heaps
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,19 +80,25 @@ class WordTokens:
 
     def forget(self) -> None:
         self.slots = np.full(KNOWN_WORDS * 4, -1, np.int32)
-        self.known = np.zeros(KNOWN_WORDS, np.uint64)
+        self.known = np.zeros((3, KNOWN_WORDS), np.uint64)
         self.first = np.zeros(KNOWN_WORDS + 1, np.int64)
         self.count = 0
         self.ids = np.zeros(1 << 16, np.uint32)
+        self.long: dict[bytes, int] = {}
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys[0] ^ mixed(keys[1] + keys[2])) & np.uint64(len(self.slots) - 1)).astype(np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each known key, else -1 (open addressing)."""
-        out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
-        at = (keys & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        """Index of each known short piece, else -1 (open addressing)."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        left = np.arange(keys.shape[1])
+        at = self._slot(keys)
         while len(left):
             held = self.slots[at]
-            hit = (held >= 0) & (self.known[held] == keys[left])
+            hit = held >= 0
+            for own, asked in zip(self.known, keys, strict=True):
+                hit &= own[held] == asked[left]
             out[left[hit]] = held[hit]
             go = (held >= 0) & ~hit
             left, at = left[go], (at[go] + 1) & (len(self.slots) - 1)
@@ -93,8 +110,11 @@ class WordTokens:
         sizes = np.zeros(len(pieces), np.int64)
         found: dict[bool, np.ndarray] = {}
         at = np.flatnonzero(plain)
-        joined = [" ".join([pieces[i] for i in at[k : k + _JOINED].tolist()]) for k in range(0, len(at), _JOINED)]
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = []
+        for k in range(0, len(at), _JOINED * _STRINGS):
+            part = at[k : k + _JOINED * _STRINGS].tolist()
+            joined = [" ".join([pieces[i] for i in part[j : j + _JOINED]]) for j in range(0, len(part), _JOINED)]
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         found[True] = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         ends = np.flatnonzero(self.ends_word[found[True]])
         if len(ends) == len(at):
@@ -103,9 +123,11 @@ class WordTokens:
             plain[:] = False
             found[True] = found[True][:0]
         at = np.flatnonzero(~plain)
-        ids = [e.ids for k in range(0, len(at), _JOINED) for e in self.tokenizer.encode_batch_fast([pieces[i] for i in at[k : k + _JOINED].tolist()], add_special_tokens=False)]
-        sizes[at] = [len(i) for i in ids]
-        found[False] = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes[at].sum()))
+        each = []
+        for k in range(0, len(at), _JOINED):
+            each += [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in at[k : k + _JOINED].tolist()], add_special_tokens=False)]
+        sizes[at] = [len(i) for i in each]
+        found[False] = np.fromiter((x for i in each for x in i), np.uint32, int(sizes[at].sum()))
         begin = np.cumsum(sizes) - sizes
         out = np.zeros(int(sizes.sum()), np.uint32)
         for kind in (True, False):
@@ -114,49 +136,89 @@ class WordTokens:
         return out, sizes
 
     def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Remember short pieces (one column of ``keys`` each), then long ones."""
         flat, sizes = self._encoded(pieces)
-        lo, n = self.first[self.count], len(keys)
+        lo, n = self.first[self.count], len(pieces)
         while lo + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[lo : lo + len(flat)] = flat
-        self.known[self.count : self.count + n] = keys
         self.first[self.count + 1 : self.count + n + 1] = lo + np.cumsum(sizes)
-        new = np.arange(self.count, self.count + n)
-        at = (keys & np.uint64(len(self.slots) - 1)).astype(np.int64)
+        short = keys.shape[1]
+        self.known[:, self.count : self.count + short] = keys
+        new, at = np.arange(self.count, self.count + short), self._slot(keys)
         while len(new):
             free = self.slots[at] < 0
             self.slots[at[free]] = new[free]
             lost = self.slots[at] != new
             new, at = new[lost], (at[lost] + 1) & (len(self.slots) - 1)
+        for k in range(short, n):
+            self.long[pieces[k].encode()] = self.count + k
         self.count += n
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a slice and the number of ids up to each document."""
+        if len(texts.offsets) == 2 and len(texts.data) > 2 * SLICE:
+            # a document of many slices goes part by part, cut at blanks
+            found, lo = [], 0
+            while lo < len(texts.data):
+                hi = min(lo + SLICE, len(texts.data))
+                while hi < len(texts.data) and not len(blank := np.flatnonzero(_KIND[texts.data[hi : hi + SLICE]] == 0)):
+                    hi = min(hi + SLICE, len(texts.data))
+                if hi < len(texts.data):
+                    hi += int(blank[0])
+                found.append(self._encode(Texts(texts.data[lo:hi], np.array([0, hi - lo])))[0])
+                lo = hi
+            ids = np.concatenate(found)
+            return ids, np.array([0, len(ids)])
+        return self._encode(texts)
+
+    def _encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts.data):
             return np.zeros(0, np.uint32), np.zeros(len(texts.offsets), np.int64)
         if not (texts.data == 60).any():  # "<" may begin a special token, whose case counts
             texts = Texts(_LOWER[texts.data], texts.offsets)
         starts, ends, upto = pieces(texts)
-        keys = texts.hashes(starts, ends)
-        at = self._find(keys)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
-            if self.count + len(new) > KNOWN_WORDS:
-                self.forget()
-                missing = np.arange(len(keys))
-                new, first = np.unique(keys, return_index=True)
-            text = texts.data.tobytes()
-            words = [text[a:b].decode() for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)]
-            if len(new) > KNOWN_WORDS:  # one huge text of nothing but different words
-                flat, sizes = self._encoded(words)
-                back = np.searchsorted(new, keys)
-                begin = np.cumsum(sizes) - sizes
-                return flat[ragged(begin[back], sizes[back])], np.concatenate([[0], np.cumsum(sizes[back])])[upto]
-            self._add(new, words)
-            at[missing] = self._find(keys[missing])
-        first, sizes = self.first[at], self.first[at + 1] - self.first[at]
-        return self.ids[ragged(first, sizes)], np.concatenate([[0], np.cumsum(sizes)])[upto]
+        padded = np.concatenate([texts.data, np.zeros(16, np.uint8)])
+        found = [self._ids(padded, starts[k : k + KNOWN_WORDS], ends[k : k + KNOWN_WORDS]) for k in range(0, len(starts), KNOWN_WORDS)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(i for i, _ in found)])
+        return ids, np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)]))])[upto]
+
+    def _ids(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of up to ``KNOWN_WORDS`` pieces, and how many each has."""
+        size = ends - starts
+        is_long = size > 16
+        at, n = starts[~is_long], size[~is_long]
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        keys = np.stack([eight[at] & _LOW[np.minimum(n, 8)], eight[at + 8] & _LOW[np.maximum(n - 8, 0)], n.astype(np.uint64)])
+        text = padded.data
+        long = [bytes(text[a:b]) for a, b in zip(starts[is_long].tolist(), ends[is_long].tolist(), strict=True)]
+        short_at = self._find(keys)
+        missing = short_at < 0
+        fresh = keys[:, missing]
+        order = np.lexsort(fresh)
+        new = np.ones(len(order), bool)
+        new[1:] = (fresh[:, order[1:]] != fresh[:, order[:-1]]).any(axis=0)
+        unknown = [w for w in dict.fromkeys(long) if w not in self.long]
+        kept = [w for w in unknown if len(w) <= _LONGEST]
+        if self.count and self.count + int(new.sum()) + len(kept) > KNOWN_WORDS:
+            self.forget()
+            return self._ids(padded, starts, ends)
+        first = np.flatnonzero(~is_long)[np.flatnonzero(missing)[order[new]]]
+        if len(first) or kept:
+            words = [bytes(text[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            self._add(fresh[:, order[new]], [w.decode() for w in words + kept])
+            short_at[missing] = self._find(fresh)
+        once = [w for w in unknown if len(w) > _LONGEST]
+        extra, extra_sizes = self._encoded([w.decode() for w in once])
+        # pieces that aren't remembered stand behind those that are
+        place = {w: len(self.first) - 1 + k for k, w in enumerate(once)}
+        where = np.empty(len(starts), np.int64)
+        where[~is_long] = short_at
+        where[is_long] = [place[w] if w in place else self.long[w] for w in long]
+        begin = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum(extra_sizes) - extra_sizes])
+        sizes = np.concatenate([np.diff(self.first), extra_sizes])[where]
+        ids = np.concatenate([self.ids, extra]) if len(extra) else self.ids
+        return ids[ragged(begin[where], sizes)], sizes
 
 
 def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -141,3 +141,31 @@ def test_mixed_documents(docs, none, corpus):
     assert set(got) == set(taken) and all(got[k] >= taken[k] - (k == 4) * 2 for k in got)
     assert mixing.mix_sources(none).taken().count() == 0
     assert mixing.mixed_documents(none, mixing.mix_sources(none)).count() == 0
+
+
+def thue_morse(n):
+    """The Thue-Morse word of n letters and its complement: polynomials modulo 2**64 don't tell them apart."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_tokens_of_words_that_collide_under_weak_hashes(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 5000)
+    w = packing.WordTokens(tokenizer_path())
+    texts = [*thue_morse(1024), *thue_morse(2048), " ".join(thue_morse(64)), "é" * 40 + "x" * 20, "\x00a \x00 a\x00", "ab " * 6000 + "é" * 70]
+    for _ in range(2):
+        for lo, hi, t in slices(pa.array(texts, pa.string()), 3000):
+            ids, upto = w.encode(t)
+            for k in range(hi - lo):
+                assert ids[upto[k] : upto[k + 1]].tolist() == w.tokenizer.encode(texts[lo + k], add_special_tokens=False).ids
+
+
+def test_tokens_of_more_pieces_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 64)
+    w = packing.WordTokens(tokenizer_path())
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randint(0, 300)}x{'é' * rng.randint(0, 40)}" for _ in range(200)) for _ in range(5)]
+    for lo, hi, t in slices(pa.array(texts, pa.string()), 1 << 20):
+        ids, upto = w.encode(t)
+        for k in range(hi - lo):
+            assert ids[upto[k] : upto[k + 1]].tolist() == w.tokenizer.encode(texts[lo + k], add_special_tokens=False).ids
