@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of whole texts that a Python worker gets at once.
 TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -19,10 +23,16 @@ def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(new).alias(old) for old, new in names.items()])
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Send texts to Python workers by so many rows at once, from now on in this session.
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs run inside send texts to Python workers by so many rows at once.
 
-    For jobs, not for operators: a batch of Spark's default size holds tens of megabytes of
-    text, once in the executor and once in its worker.
+    A batch of Spark's default size holds tens of megabytes of text, once in the executor and
+    once in its worker. The session's own setting holds again afterwards.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)

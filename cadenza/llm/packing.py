@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
+from .frames import text_batches
 from .words import SLICE, Texts, mixed, ragged, slices
 
 CAPACITY = 4096
@@ -355,7 +356,8 @@ def places(plan: list[tuple[dict[int, int], int]]) -> Places:
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = materialize(tokenized_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    with text_batches(spark):
+        pieces = materialize(tokenized_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = spark.sparkContext.broadcast(places(minimum_bin_slack(counts, capacity)))
     parts = max(64, sum(counts.values()) // PART_PIECES)

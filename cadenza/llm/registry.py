@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
 from . import covers, exact, forest, langid, mixing, packing, resampling, simhash, suffixes, warc
-from .frames import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +41,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that aren't held out."""
-    small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -60,7 +58,6 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
-    small_batches(spark)
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
