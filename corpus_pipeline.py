@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.llm import exact, langid, mixing, packing, simhash
-from cadenza.llm.frames import small_batches
 from cadenza.llm.registry import tokenizer_path
 from cadenza.sources.scratch import materialize
 
@@ -19,7 +18,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The language column of the result is the predicted one.
     """
-    small_batches(spark)
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.keep_identified(docs, model)
 
@@ -41,7 +39,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their places in sequences."""
-    small_batches(spark)
     return packing.packed(docs, tokenizer_path())
 
 
