@@ -5,7 +5,7 @@ words it covers go. To find them, runs of WINDOW - PERIOD + 1 words are hashed o
 their position modulo PERIOD lies in a difference cover. For any two positions some shift
 below PERIOD brings both into the cover, so two equal windows share an anchor at the same
 place inside them. Anchors that several documents hold are the seeds; around them every
-window is hashed with 128 bits, the smallest document of each window is found, and runs of
+window is hashed by two independent 61-bit polynomials, the smallest document of each window is found, and runs of
 repeated windows make up the extended match.
 
 Windows are judged on the input, not on what is left. Words are maximal runs of bytes other
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import materialize
 from . import repeats
-from .words import Texts, joined, slices, windows
+from .words import Texts, joined, located, slices, windows
 
 WINDOW = 13
 PERIOD = 7
@@ -40,12 +40,12 @@ def check_cover(cover: tuple[int, ...], period: int) -> None:
         raise ValueError(f"{cover} is no difference cover modulo {period}")
 
 
-def _runs(hashes: np.ndarray, upto: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _runs(hashes: np.ndarray, upto: np.ndarray, length: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of words inside a document, and where each starts."""
     counts = np.diff(upto)
     place = np.arange(len(hashes)) - np.repeat(upto[:-1], counts)
     fits = (place + length <= np.repeat(counts, counts))[: max(0, len(hashes) - length + 1)]
-    return windows(hashes, length)[fits], np.flatnonzero(fits)
+    return windows(hashes, length, family)[fits], np.flatnonzero(fits)
 
 
 def anchors(window: int, period: int, cover: tuple[int, ...]):
@@ -88,7 +88,7 @@ def _windows_of(window: int, period: int, cover: tuple[int, ...], buckets: int):
             np.add.at(near, hit + 1, -1)
             near = np.cumsum(near)[:-1] > 0
             one, begin = _runs(words, upto, window)
-            two, _ = _runs(texts.hashes(starts, ends, 1), upto, window)
+            two, _ = _runs(texts.hashes(starts, ends, 1), upto, window, 1)
             pick = near[begin]
             found.append((np.stack([one[pick], two[pick]], axis=1), ids[doc[begin[pick]]]))
         if not found:
@@ -154,7 +154,9 @@ def _kept_of(window: int, with_text: bool):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs, docs = repeats.unpacked(right, "hashes", "<u8", 2).reshape(-1, 2), repeats.unpacked(right, "docs", "<i8")
-        gone = np.sort(repeats.tagged(pairs[:, 0] ^ (pairs[:, 1] * np.uint64(3)), docs))
+        gone, also = repeats.tagged(pairs[:, 0], docs), repeats.tagged(pairs[:, 1], docs)
+        order = np.argsort(gone)
+        gone, also = gone[order], also[order]
         out = []
         at = 0
         nulls = left["doc_id"].combine_chunks()
@@ -165,8 +167,9 @@ def _kept_of(window: int, with_text: bool):
             cover = np.zeros(len(starts) + 1, np.int64)
             if len(gone):
                 one, begin = _runs(texts.hashes(starts, ends), upto, window)
-                two, _ = _runs(texts.hashes(starts, ends, 1), upto, window)
-                hit = begin[_member(gone, repeats.tagged(one ^ (two * np.uint64(3)), ids[doc[begin]]))]
+                two, _ = _runs(texts.hashes(starts, ends, 1), upto, window, 1)
+                own = ids[doc[begin]]
+                hit = begin[located(gone, also, repeats.tagged(one, own), repeats.tagged(two, own)) >= 0]
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, hit + window, -1)
             lost = np.cumsum(cover)[:-1] > 0

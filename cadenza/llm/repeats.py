@@ -19,8 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .simhash import xxh64
-from .words import Texts, mixed, slices
+from .words import Texts, mixed, slices, xxh64
 
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
@@ -41,9 +40,9 @@ def doc_bucket(doc_id: Column, buckets: int) -> Column:
 
 
 def doc_buckets(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """The same number as ``doc_bucket`` for an array of ids."""
+    """The same number as ``doc_bucket`` for an array of ids (42 is the seed of Spark's xxhash64)."""
     at = np.arange(len(ids)) * 8
-    return (xxh64(np.ascontiguousarray(ids).view(np.uint8), at, at + 8).view(np.int64) % buckets).astype(np.int64)
+    return (xxh64(np.ascontiguousarray(ids).view(np.uint8), at, at + 8, 42).view(np.int64) % buckets).astype(np.int64)
 
 
 def packed_rows(bucket: np.ndarray, arrays: list[np.ndarray], settled: bool) -> pa.RecordBatch:

@@ -24,13 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components, star_batches
 from ..sources.scratch import materialize
 from .frames import positional, restored
-from .words import Texts, joined, ragged, slices
+from .words import Texts, joined, ragged, slices, xxh64
 
 SHINGLE = 3
 SEED = 42
@@ -39,56 +38,10 @@ BUCKET = 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: The primes of XXH64 (fixed values of its published specification).
-_P1, _P2, _P3, _P4, _P5 = (
-    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-)
 #: Byte lanes: bit k of the index as the low bit of byte k.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).ravel()
 
 
-def _rotl(x: np.ndarray, k: int) -> np.ndarray:
-    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-
-
-def _lane(word: np.ndarray) -> np.ndarray:
-    return _rotl(word * _P2, 31) * _P1
-
-
-def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """XXH64 of each byte range; ranges of 32 bytes and more go one by one."""
-    out = np.empty(len(starts), np.uint64)
-    size = ends - starts
-    long = np.flatnonzero(size >= 32)
-    view = memoryview(np.ascontiguousarray(data))
-    digest = xxhash.xxh64_intdigest
-    out[long] = np.fromiter((digest(view[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ascontiguousarray(np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)))
-    for lanes in range(4):
-        for four in (0, 1):
-            at = np.flatnonzero((size >> 3 == lanes) & ((size >> 2 & 1) == four))
-            if not len(at):
-                continue
-            p, n = starts[at], size[at]
-            h = np.uint64(seed) + _P5 + n.astype(np.uint64)
-            for _ in range(lanes):
-                h = _rotl(h ^ _lane(eight[p]), 27) * _P1 + _P4
-                p = p + 8
-            if four:
-                h = _rotl(h ^ (eight[p] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
-                p = p + 4
-            for k in range(3):
-                more = np.flatnonzero((n & 3) > k)
-                h[more] = _rotl(h[more] ^ data[p[more] + k].astype(np.uint64) * _P5, 11) * _P1
-            h ^= h >> np.uint64(33)
-            h *= _P2
-            h ^= h >> np.uint64(29)
-            h *= _P3
-            out[at] = h ^ (h >> np.uint64(32))
-    return out
-
-
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Per document (``counts`` hashes each) the bits set in more than half of its hashes."""
     out = np.zeros(len(counts), np.uint64)

@@ -1,13 +1,21 @@
-"""Repeated passages by windows at shared minimisers.
+"""Repeated passages by sparse suffix arrays at minimisers.
 
 Of every ``WINDOW`` runs of ``GRAM`` consecutive words the one with the least hash (a
-minimiser) is an anchor. A window of ``LEAST_WORDS`` words holds the same minimiser wherever
-it stands, so a window that two documents hold has an anchor that both hold. Every window
-whose minimiser several documents hold is hashed with 128 bits; each bucket of documents asks
-once for each different window, with the two least documents that hold it there, and the
-bucket of the window answers those that several documents hold with the two least of all.
-Runs of such windows make up the passages. No window is left out: how often a document or the
-table holds a passage, and what stands around it, makes no difference.
+minimiser) is selected by content. A window of ``LEAST_WORDS`` words holds the same minimiser
+wherever it stands, so a window that two documents hold has a minimiser that both hold. Kept
+are the suffixes whose first LEAST_WORDS words hold a minimiser of several documents; all
+others drop out before any sort. Only the first LEAST_WORDS words of a suffix decide, so
+suffixes are sorted by a hash of these (two 61-bit polynomials), bucket by bucket, and
+neighbours with the same one are matches. Consecutive matches of a document are joined, which
+extends a match to the left and to the right as far as it goes.
+
+One suffix per minimiser, sorted and compared with its neighbours, would not be enough: of
+documents that share 25 words on each side of a minimiser, those that share 30 on one side
+and few on the other come first in either order. So a minimiser stands for a suffix at each
+window that holds it. Each bucket of documents asks once for each different window, with the
+two least documents that hold it there, and the bucket of the window answers those that
+several documents hold with the two least of all. How often a document or the table holds a
+passage, and what stands around it, makes no difference.
 
 Nulls: a null text has no words; a row with a null id takes no part. Passages that repeat
 only inside one document, or under one id, aren't reported. An empty table, or one without
@@ -23,7 +31,7 @@ from pyspark.sql import DataFrame
 from ..sources.scratch import materialize
 from . import repeats
 from .covers import _least, _member, _runs, _texts
-from .words import Texts, mixed, spans
+from .words import Texts, located, windows
 
 LEAST_WORDS = 50
 GRAM = 10
@@ -90,7 +98,7 @@ def _candidates(left: pa.Table, shared: np.ndarray, gram: int, least_words: int)
         if not len(pick):
             continue
         begin, own = at[pick], own[pick]
-        pairs = np.stack([spans(words, begin, least_words), spans(texts.hashes(starts, ends, 1), begin, least_words, 1)], axis=1)
+        pairs = np.stack([windows(words, least_words)[begin], windows(texts.hashes(starts, ends, 1), least_words, 1)[begin]], axis=1)
         yield pairs, ids[own], begin - upto[own]
 
 
@@ -108,10 +116,6 @@ def _two_least(pairs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs[start], np.stack([docs[start], docs[np.minimum(start + 1, ends - 1)]], axis=1)
 
 
-def _key(pairs: np.ndarray) -> np.ndarray:
-    return pairs[:, 0] ^ mixed(pairs[:, 1])
-
-
 def _asked(gram: int, least_words: int, buckets: int):
     """Cogroup: texts and shared minimisers of a document bucket to its different windows."""
 
@@ -136,7 +140,7 @@ def _answered(table: pa.Table) -> pa.Table:
     pairs, home = pairs[order], home[order]
     two = two[np.cumsum(np.concatenate([[False], (pairs[1:] != pairs[:-1]).any(axis=1)]))]
     many = two[:, 0] != two[:, 1]
-    return pa.Table.from_batches([repeats.packed_rows(home[many], [_key(pairs[many]), two[many]], False)])
+    return pa.Table.from_batches([repeats.packed_rows(home[many], [pairs[many], two[many]], False)])
 
 
 def _passages(gram: int, least_words: int):
@@ -144,14 +148,14 @@ def _passages(gram: int, least_words: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = right.filter(pa.compute.invert(right["settled"]))
-        keys, two = repeats.unpacked(answers, "hashes", "<u8"), repeats.unpacked(answers, "docs", "<i8", 2)
-        order = np.argsort(keys)
-        keys, two = keys[order], two[order]
+        keys, two = repeats.unpacked(answers, "hashes", "<u8", 2), repeats.unpacked(answers, "docs", "<i8", 2)
+        order = np.argsort(keys[:, 0])
+        first, second, two = keys[order, 0], keys[order, 1], two[order]
         docs, begins, others = ([np.zeros(0, np.int64)] for _ in range(3))
         for pairs, ids, begin in _candidates(left, _anchors_in(right), gram, least_words) if len(keys) else ():
-            asked = _key(pairs)
-            hit = _member(keys, asked)
-            ids, of = ids[hit], two[np.searchsorted(keys, asked[hit])]
+            at = located(first, second, pairs[:, 0], pairs[:, 1])
+            hit = at >= 0
+            ids, of = ids[hit], two[at[hit]]
             docs.append(ids)
             begins.append(begin[hit])
             others.append(np.where(of[:, 0] == ids, of[:, 1], of[:, 0]))

@@ -9,32 +9,17 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: The call of the C library that hands free memory back to the system, where it has one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SLICE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_MASK = (1 << 64) - 1
-
-
-class _Powers:
-    """Powers of an odd multiplier modulo 2**64 and of its inverse, kept per worker."""
-
-    def __init__(self, multiplier: int, seed: int) -> None:
-        self.step, self.back = multiplier, pow(multiplier, -1, 1 << 64)
-        self.byte = mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed & _MASK))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.step, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.back, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,7 +33,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_FAMILIES = (_Powers(0x9E3779B97F4A7C15 | 1, 0x1234567), _Powers(0xD1342543DE82EF95 | 1, 0x89ABCDE))
+#: The Mersenne prime of the polynomial hashes, and of each of the two families the seed of
+#: its word hashes and the base of its polynomials (fixed values, drawn once).
+PRIME = (1 << 61) - 1
+_FAMILIES = ((1677995282, 1188885285591443942), (3577020172, 1882348692496916813))
+_BLOCK = 1 << 16
+_P, _30, _31, _32 = (np.uint64(x) for x in (PRIME, (1 << 30) - 1, (1 << 31) - 1, (1 << 32) - 1))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(x: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Products modulo the prime; the second factors are given as ``high * 2**31 + low``."""
+    h, l = x >> np.uint64(31), x & _31
+    middle = h * low + l * high
+    return _reduced(np.uint64(2) * h * high + (middle >> np.uint64(30)) + ((middle & _30) << np.uint64(31)) + l * low)
+
+
+@cache
+def _powers(family: int, n: int) -> tuple[np.ndarray, ...]:
+    """The first n powers of a family's base and of its inverse, as high and low parts."""
+    out = []
+    base = _FAMILIES[family][1]
+    for step in (base, pow(base, -1, PRIME)):
+        x = np.ones(1, np.uint64)
+        while len(x) < n:
+            f = pow(step, len(x), PRIME)
+            x = np.concatenate([x, _times(x, np.uint64(f >> 31), np.uint64(f & ((1 << 31) - 1)))])
+        out += [x[:n] >> np.uint64(31), x[:n] & _31]
+    return tuple(out)
+
+
+#: The primes of XXH64 (fixed values of its published specification).
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _rotl(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _lane(word: np.ndarray) -> np.ndarray:
+    return _rotl(word * _P2, 31) * _P1
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each byte range; ranges of 32 bytes and more go one by one."""
+    out = np.empty(len(starts), np.uint64)
+    size = ends - starts
+    long = np.flatnonzero(size >= 32)
+    view = memoryview(np.ascontiguousarray(data))
+    digest = xxhash.xxh64_intdigest
+    out[long] = np.fromiter((digest(view[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ascontiguousarray(np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)))
+    for lanes in range(4):
+        for four in (0, 1):
+            at = np.flatnonzero((size >> 3 == lanes) & ((size >> 2 & 1) == four))
+            if not len(at):
+                continue
+            p, n = starts[at], size[at]
+            h = np.uint64(seed) + _P5 + n.astype(np.uint64)
+            for _ in range(lanes):
+                h = _rotl(h ^ _lane(eight[p]), 27) * _P1 + _P4
+                p = p + 8
+            if four:
+                h = _rotl(h ^ (eight[p] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+                p = p + 4
+            for k in range(3):
+                more = np.flatnonzero((n & 3) > k)
+                h[more] = _rotl(h[more] ^ data[p[more] + k].astype(np.uint64) * _P5, 11) * _P1
+            h ^= h >> np.uint64(33)
+            h *= _P2
+            h ^= h >> np.uint64(29)
+            h *= _P3
+            out[at] = h ^ (h >> np.uint64(32))
+    return out
 
 
 class Texts:
@@ -75,12 +140,8 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-        """A 64-bit hash of each byte range."""
-        powers = _FAMILIES[family]
-        up, down = powers.upto(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(powers.byte[self.data] * up[:-1], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        """A 64-bit hash (XXH64 with the family's seed) of each byte range."""
+        return xxh64(self.data, starts, ends, _FAMILIES[family][0])
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,23 +181,26 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, Text
     release()
 
 
-def windows(hashes: np.ndarray, length: int, step: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A hash of each run of ``length`` consecutive word hashes (empty if there are fewer)."""
-    if len(hashes) < length:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(hashes) - length + 1, np.uint64)
-    for k in range(length):
-        out *= np.uint64(step | 1)
-        out += hashes[k : len(hashes) - length + 1 + k]
-    return mixed(out)
-
+def windows(hashes: np.ndarray, length: int, family: int = 0) -> np.ndarray:
+    """A hash of each run of ``length`` consecutive word hashes (empty if there are fewer).
 
-def spans(hashes: np.ndarray, begin: np.ndarray, length: int, family: int = 0) -> np.ndarray:
-    """A hash of the ``length`` word hashes from each place on; the cost doesn't depend on the length."""
-    up, down = _FAMILIES[family].upto(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=sums[1:])
-    return mixed((sums[begin + length] - sums[begin]) * down[begin])
+    The word hashes are the coefficients of a polynomial whose value at the family's base,
+    modulo the prime, is the hash: two different runs of n words agree for at most n of the
+    2**61 bases, and with both families for one pair of bases in 2**110. The cost doesn't
+    depend on the length, and memory goes by blocks.
+    """
+    out = np.zeros(max(0, len(hashes) - length + 1), np.uint64)
+    block = max(_BLOCK, length)
+    up_high, up_low, down_high, down_low = _powers(family, block + length)
+    for lo in range(0, len(out), block):
+        part = hashes[lo : lo + block + length - 1]
+        terms = _times(_reduced(part), up_high[: len(part)], up_low[: len(part)])
+        low, high = (np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (terms & _32, terms >> np.uint64(32)))
+        n = len(part) - length + 1
+        high = high[length:] - high[:n]
+        value = (high >> np.uint64(29)) + ((high & (_P >> np.uint64(32))) << np.uint64(32)) + (low[length:] - low[:n])
+        out[lo : lo + n] = mixed(_times(_reduced(value), down_high[:n], down_low[:n]))
+    return out
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -175,3 +239,19 @@ def _inside(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     step[starts] += 1
     step[ends] -= 1
     return np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+
+
+def located(first: np.ndarray, second: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Where each pair ``one, two`` stands among pairs sorted by ``first``; -1 where it doesn't."""
+    out = np.full(len(one), -1, np.int64)
+    left = np.arange(len(one)) if len(first) else np.zeros(0, np.int64)
+    at = np.searchsorted(first, one) if len(first) else left
+    while len(left):
+        here = at < len(first)
+        left, at = left[here], at[here]
+        same = first[at] == one[left]
+        hit = same & (second[at] == two[left])
+        out[left[hit]] = at[hit]
+        go = same & ~hit
+        left, at = left[go], at[go] + 1
+    return out

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from cadenza.llm import covers, repeats, suffixes
+from cadenza.llm import words as hashing
 from pyspark.sql import functions as F
 
 
@@ -110,3 +111,58 @@ def test_bucket_of_documents(spark):
     ids = [0, 1, -5, 2**40, 123456789]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(repeats.doc_bucket(F.col("i"), 97)).collect()]
     assert got == repeats.doc_buckets(np.array(ids), 97).tolist()
+
+
+def thue_morse(n):
+    return np.array([bin(k).count("1") % 2 for k in range(n)])
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_hashes_tell_thue_morse_words_apart(n):
+    """Polynomials modulo 2**64 take a Thue-Morse word and its complement for the same."""
+    bits = thue_morse(n)
+    word = (97 + bits).astype(np.uint8)
+    both = hashing.Texts(np.concatenate([word, (98 - bits).astype(np.uint8)]), np.array([0, n, 2 * n]))
+    for family in (0, 1):
+        one, two = both.hashes(np.array([0, n]), np.array([n, 2 * n]), family)
+        assert one != two
+        letters = np.array([123456789, 987654321], np.uint64)
+        assert hashing.windows(letters[bits], n, family)[0] != hashing.windows(letters[1 - bits], n, family)[0]
+
+
+def test_windows_against_big_integers():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 70_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    h[:3] = [hashing.PRIME, hashing.PRIME - 1, 2**64 - 1]
+    for family, length in ((0, 13), (1, 50), (0, 1)):
+        base, got = hashing._FAMILIES[family][1], hashing.windows(h, length, family)
+        assert len(got) == len(h) - length + 1 and not len(hashing.windows(h[: length - 1], length, family))
+        for i in (0, 1, 2, 65_535, 65_536, len(got) - 1):
+            value = sum(int(x) * pow(base, k, hashing.PRIME) for k, x in enumerate(h[i : i + length])) % hashing.PRIME
+            assert hashing.mixed(np.array([value], np.uint64))[0] == got[i]
+
+
+def test_pairs_are_located_by_both_numbers():
+    first, second = np.array([1, 5, 5, 5, 9], np.uint64), np.array([7, 1, 2, 3, 7], np.uint64)
+    asked = [(5, 3), (5, 4), (1, 7), (9, 8), (10, 1), (5, 1)]
+    got = hashing.located(first, second, *(np.array(x, np.uint64) for x in zip(*asked, strict=True)))
+    assert got.tolist() == [3, -1, 0, -1, -1, 1]
+    assert hashing.located(first[:0], second[:0], first, second).tolist() == [-1] * 5
+
+
+def test_long_words_that_weak_hashes_confuse(spark):
+    bits = thue_morse(1024)
+    a, b = ("".join("ab"[x] for x in y) for y in (bits, 1 - bits))
+    rest = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join([*rest[:30], a, *rest[30:]])), (1, " ".join([*rest[:30], b, *rest[30:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in covers.without_repeats(df).collect()) == [(0, 0), (1, 60)]
+    assert suffixes.repeated_passages(df).count() == 0
+
+
+def test_passage_many_times_in_two_documents(spark):
+    rng = random.Random(9)
+    passage = [f"p{rng.randint(0, 10**6)}" for _ in range(60)]
+    df = spark.createDataFrame([(k, " ".join(passage * 20)) for k in (3, 8)], "doc_id long, text string")
+    found = suffixes.repeated_passages(df).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_doc_id"], r["repeats_earlier"]) for r in found) == [(3, 0, 1200, 8, False), (8, 0, 1200, 3, True)]
