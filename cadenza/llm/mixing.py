@@ -31,6 +31,8 @@ MOST = 2
 BLOCK_WORDS = 4096
 RANGE_DOCS = 500
 RANGE_SLOTS = 4096
+#: Slots whose documents stand together in a table of mixed documents.
+STRETCH = 64
 
 
 def word_count(text: Column) -> Column:
@@ -99,12 +101,13 @@ class Mix:
     pieces: DataFrame
 
     def taken(self) -> DataFrame:
-        """documents with ``taken``: their words in the scheduled blocks, repeats counted."""
+        """documents with what the scheduled blocks hold of them: ``taken`` (words, repeats
+        counted), ``first_slot`` and ``last_slot`` (null where nothing is taken)."""
         used = self.pieces.join(self.slots, (self.pieces["sid"] == self.slots["sid"]) & (self.pieces["block"] == self.slots["rank"]))
-        used = used.groupBy(self.pieces["sid"], "start").agg(F.sum("words").alias("taken"))
+        used = used.groupBy(self.pieces["sid"], "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
         key = F.when(F.col("size") > 0, F.col("start"))
         out = self.documents.withColumn("__start", key).join(
-            used.select(F.col("sid").alias("__sid"), F.col("start").alias("__used"), "taken"),
+            used.select(F.col("sid").alias("__sid"), F.col("start").alias("__used"), "taken", "first_slot", "last_slot"),
             (F.col("sid") == F.col("__sid")) & (F.col("__start") == F.col("__used")),
             "left",
         )
@@ -154,14 +157,22 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each pass that reaches their first word.
 
-    A document is taken whole: what a target cuts off at the end of a source's stream belongs
-    to a document that is in, too. Documents without words are in no block and go. Columns
-    are those of ``docs``. Where ids repeat, rows are told apart by source, size and text.
+    Rows stand in the order of their slots within each stretch of ``STRETCH`` slots, so any
+    part of a written table is close to the target weights. A document is taken whole: what a
+    target cuts off at the end of a source's stream belongs to a document that is in, too.
+    Documents without words are in no block and go. Columns are those of ``docs``. Where ids
+    repeat, rows are told apart by source, size and text.
     """
-    passes = F.ceil((F.col("limit") - F.col("start")) / F.col("source_size")).cast("int")
+    parts = mix.documents.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("limit") - F.col("start")) / F.col("source_size")) - 1)))
+    parts = parts.where("pass * source_size + start < limit")
+    head = mix.pieces.groupBy("sid", "start", "pass").agg(F.min("block").alias("block"))
+    slot = head.join(mix.slots, (head["sid"] == mix.slots["sid"]) & (head["block"] == mix.slots["rank"])).select(
+        head["sid"].alias("__sid"), F.col("start").alias("__start"), F.col("pass").alias("__pass"), "slot"
+    )
+    chosen = parts.join(slot, (F.col("sid") == F.col("__sid")) & (F.col("start") == F.col("__start")) & (F.col("pass") == F.col("__pass")))
     chosen = materialize(
-        mix.taken().where("taken > 0").select(
-            F.col("doc_id").alias("id"), F.col("source").alias("its_source"), F.col("size").alias("its_size"), F.col("start").alias("its_start"), passes.alias("passes")
+        chosen.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("its_source"), F.col("size").alias("its_size"), F.col("start").alias("its_start")).agg(
+            F.array_sort(F.collect_list("slot")).alias("its_slots")
         ),
         "chosen",
     )
@@ -174,5 +185,6 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source_co
         same = Window.partitionBy(own, origin, "words").orderBy(F.xxhash64(text))
         rows = rows.withColumn("words", word_count(text)).withColumn("row", F.row_number().over(same))
         match &= origin.eqNullSafe(F.col("its_source")) & (F.col("words") == F.col("its_size")) & (F.col("row") == F.col("nth"))
-    copies = rows.join(chosen.hint("merge"), match).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    copies = rows.join(chosen.hint("merge"), match).withColumn("slot", F.explode("its_slots"))
+    copies = copies.repartition(F.floor(F.col("slot") / STRETCH)).sortWithinPartitions("slot")
     return restored(copies, names)

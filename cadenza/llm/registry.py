@@ -43,7 +43,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that aren't held out."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,13 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all pages to archives and read the archives back."""
+    """Write all pages to archives and read the archives back; a gap in them fails the query."""
     path = new_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
-    found = warc.read_archives(spark, path, with_payload=False).where("gap is null")
+    found = warc.read_archives(spark, path, with_payload=False)
+    broken = F.raise_error(F.concat(F.lit("archive "), "archive", F.lit(" has a gap at "), F.col("position").cast("string"), F.lit(": "), "gap"))
+    found = found.where(F.when(F.col("gap").isNull(), True).otherwise(broken.cast("boolean")))
     return found.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )
@@ -114,9 +116,10 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
+    """Words that the scheduled blocks take of each document, and the slots of its first and
+    last block."""
     found = mixing.mix_sources(_table(spark, sf_dir, "documents")).taken()
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 OP7_SQL = r"""
@@ -140,13 +143,29 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(cap, coalesce(l.lev * weight, cap)) AS target FROM r CROSS JOIN l
 ), p AS (
-  SELECT doc_id, size, source_size, target, least(CAST(round(target) AS BIGINT), 2 * source_size) AS lim,
+  SELECT doc_id, size, d.source, sid, source_size, target, least(CAST(round(target) AS BIGINT), 2 * source_size) AS lim,
          CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN (SELECT t.*, s.sid FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source) t ON d.source IS NOT DISTINCT FROM t.source
+), n AS (
+  SELECT *, CAST(sum(blocks) OVER (ORDER BY sid) AS BIGINT) - blocks AS first_block
+  FROM (SELECT DISTINCT sid, CAST(ceil(lim / 4096.0::DOUBLE) AS BIGINT) AS blocks FROM p) WHERE blocks > 0
+), b AS (SELECT greatest(length(bin(CAST(sum(blocks) AS BIGINT) - 1)), 1) AS bits FROM n),
+v AS (
+  SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block, slot FROM (
+    SELECT sid, CAST(list_sum(list_transform(range(CAST(bits AS BIGINT)), lambda i: ((point >> i) & 1) << CAST(bits - 1 - i AS BIGINT))) AS BIGINT) AS slot
+    FROM (SELECT sid, unnest(range(first_block, first_block + blocks)) AS point FROM n), b)
+), x AS (
+  SELECT doc_id, a, sid, q, a + q * source_size AS low, least(a + q * source_size + size, lim) AS high
+  FROM p CROSS JOIN (SELECT unnest([0, 1]) AS q) WHERE size > 0
+), c AS (
+  SELECT y.sid, y.a, min(slot) AS first_slot, max(slot) AS last_slot FROM (
+    SELECT sid, a, unnest(range(low // 4096, (high - 1) // 4096 + 1)) AS block FROM x WHERE low < high) y
+  JOIN v ON y.sid = v.sid AND y.block = v.block GROUP BY y.sid, y.a
 )
 SELECT doc_id, size, source_size, target,
-       greatest(least(a + size, lim) - a, 0) + greatest(least(source_size + a + size, lim) - source_size - a, 0) AS taken
-FROM p
+       greatest(least(p.a + size, lim) - p.a, 0) + greatest(least(source_size + p.a + size, lim) - source_size - p.a, 0) AS taken,
+       first_slot, last_slot
+FROM p LEFT JOIN c ON p.sid = c.sid AND p.a = c.a AND p.size > 0
 """
 
 
