@@ -12,8 +12,9 @@ largest key is found by narrowing histograms of the keys, so no task sorts all d
 
 Nulls: a null text has no features and the weight 0; a null id draws the noise of the number
 0; rows without quality aren't targets. Without any target all weights are 0. Equal keys at
-the cut are taken by the smaller id. Repeated rows are documents of their own. An empty table
-gives no rows. Ids are integers.
+the cut are taken by the smaller id, nulls last. Repeated rows are documents of their own, as
+many of them are kept as the cut leaves room for. An empty table gives no rows. Other columns
+are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import materialize
 from .words import Texts, mixed, slices
@@ -112,33 +113,51 @@ def weights(docs: DataFrame, log_ratio: np.ndarray, seed: int, id_col: str = "do
     )
 
 
-def top(scored: DataFrame, k: int, bins: int = BINS) -> DataFrame:
-    """Adds ``kept``: whether a row is among the k with the largest ``key``.
+def _kth(rows: DataFrame, column: str, k: int, falling: bool, bins: int = BINS) -> tuple[object, int]:
+    """The k-th value of a number column without nulls, and how many of the rows that have it
+    are among the first k.
 
-    The range of keys that holds the k-th is cut into bins, the bin that holds it becomes the
-    range, until that holds few rows or one key only; those are ranked.
+    The range of values that holds the k-th is cut into bins, and the bin that holds it
+    becomes the range, until that holds few rows or one value only.
     """
-    span = scored.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    low, high, inside = span
-    if not inside or k <= 0 or k >= inside:
-        return scored.withColumn("kept", F.lit(bool(inside) and k >= (inside or 0) and k > 0))
-    left = k
-    while inside > bins and high > low:
-        width = (high - low) / bins
-        if low + width == low:
-            break
-        at = F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1))
-        counts = scored.where(F.col("key").between(low, high)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
-        for r in sorted(counts, key=lambda r: -r["at"]):
-            if r["n"] >= left:
+    low, high, inside = rows.agg(F.min(column), F.max(column), F.count("*")).first()
+    while low < high:
+        within = rows.where(F.col(column).between(low, high))
+        width = (float(high) - float(low)) / bins
+        if inside <= bins or float(low) + width == float(low):
+            counts = within.groupBy(F.col(column).alias("low")).agg(F.count("*").alias("n"), F.max(column).alias("high")).collect()
+        else:
+            at = F.least(F.floor((F.col(column).cast("double") - float(low)) / width), F.lit(bins - 1))
+            counts = within.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
+        for r in sorted(counts, key=lambda r: r["low"], reverse=falling):
+            if r["n"] >= k:
                 break
-            left -= r["n"]
-        if r["n"] == inside and (r["low"], r["high"]) == (low, high):
-            break
+            k -= r["n"]
         low, high, inside = r["low"], r["high"], r["n"]
-    edge = scored.where(F.col("key").between(low, high)).withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("key"), "doc_id")))
-    last = edge.where(F.col("__rank") == left).select("key", "doc_id").first()
-    return scored.withColumn("kept", (F.col("key") > last["key"]) | ((F.col("key") == last["key"]) & (F.col("doc_id") <= last["doc_id"])))
+    return low, k
+
+
+def top(scored: DataFrame, k: int, bins: int = BINS) -> DataFrame:
+    """Adds ``kept``: whether a row of ``key, doc_id`` is among the k with the largest ``key``;
+    of equal keys those with the smaller id are, nulls last. Exactly k rows are kept: the
+    rows are numbered and written, so that repeated ones can be told apart."""
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    n = scored.count()
+    if k <= 0 or k >= n:
+        return scored.withColumn("kept", F.lit(0 < n <= k)).drop("row")
+    cut, left = _kth(scored, "key", k, True, bins)
+    tied = scored.where(F.col("key") == cut)
+    known = tied.where("doc_id is not null")
+    n_known = known.count()
+    if left <= n_known:
+        ident, left = _kth(known, "doc_id", left, False, bins)
+        same, before = F.col("doc_id").eqNullSafe(F.lit(ident)), F.col("doc_id") < ident
+    else:
+        left -= n_known
+        same, before = F.col("doc_id").isNull(), F.col("doc_id").isNotNull()
+    row, _ = _kth(tied.where(same), "row", left, False, bins)
+    kept = (F.col("key") > cut) | ((F.col("key") == cut) & (F.coalesce(before, F.lit(False)) | (same & (F.col("row") <= row))))
+    return scored.withColumn("kept", kept).drop("row")
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, bins: int = FEATURES, target_docs: int = TARGET_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,5 +169,4 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     if share is None:
         share = labels.agg(F.avg(F.when(F.col("quality").isNotNull(), (F.col("quality") == 1).cast("double")))).first()[0] or 0.0
     log_ratio = ratios(docs, labels, bins, target_docs, id_col, text_col)
-    scored = materialize(weights(docs, log_ratio, seed, id_col, text_col), "weights")
-    return top(scored, int(round(share * scored.count())))
+    return top(weights(docs, log_ratio, seed, id_col, text_col), int(round(share * docs.count())))

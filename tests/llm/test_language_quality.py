@@ -1,10 +1,13 @@
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 
-from cadenza.llm import langid, resampling
+from cadenza.llm import langid, resampling, words as hashing
 
 FR = "le la les des une dans est que pour avec sur pas plus cette tout nous vous être avoir français été déjà élève où".split()
 EN = "the this that with from which there would their about other into could people first after water where most".split()
@@ -89,3 +92,90 @@ def test_resampling_without_rows_or_labels(spark, none, docs):
     assert resampling.resample(none, labels).count() == 0
     out = resampling.resample(docs.select("doc_id", "text"), labels, share=0.5).collect()
     assert all(r["weight"] == 0 for r in out)
+
+
+def test_top_of_null_ids_and_repeated_rows(spark):
+    rows = [(None, 1.0)] * 40 + [(3, 1.0)] * 5 + [(1, 1.0), (2, 2.0), (None, 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, key double").repartition(5)
+    for k in (1, 3, 6, 7, 20, 46, 47, 48):
+        got = [r["doc_id"] for r in resampling.top(df, k, bins=4).collect() if r["kept"]]
+        order = sorted(rows, key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+        assert sorted(got, key=repr) == sorted((r[0] for r in order[:k]), key=repr)
+
+
+def bag(t, bins):
+    """Bins of the words and pairs of words of a text, one by one."""
+    mask, seed = (1 << 64) - 1, hashing._FAMILIES[0][0]
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    data = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+    h = [xxhash.xxh64_intdigest(w, seed) for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    return [x % bins for x in h] + [mix((a * 0x9E3779B97F4A7C15 + b) & mask) % bins for a, b in zip(h, h[1:])]
+
+
+def test_weights_against_brute_force(spark, corpus, docs):
+    """Every weight, key and decision, recounted in plain Python."""
+    bins, seed = 256, 7
+    quality = {r[0]: k % 2 for k, r in enumerate(corpus) if k % 3}
+    labels = spark.createDataFrame([(k, q, 0) for k, q in quality.items()] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    raw, goal = [1.0] * bins, [1.0] * bins
+    for r in corpus:
+        for x in bag(r[1], bins):
+            raw[x] += 1
+            goal[x] += quality.get(r[0]) == 1
+    ratio = [math.log(g / sum(goal)) - math.log(w / sum(raw)) for g, w in zip(goal, raw)]
+    got = resampling.resample(docs, labels, share=0.4, seed=seed, bins=bins).collect()
+    assert len(got) == len(corpus)
+    want, keys = {r[0]: bag(r[1], bins) for r in corpus}, {}
+    for r in got:
+        found = want[r["doc_id"]]
+        assert r["n_features"] == len(found) and r["weight"] == pytest.approx(sum(ratio[x] for x in found), abs=1e-6)
+        noise = hashing.mixed(np.array([r["doc_id"]], np.uint64) ^ hashing.mixed(np.array([seed], np.uint64)))[0]
+        uniform = (float(int(noise) >> 11) + 0.5) * 2.0**-53
+        assert r["key"] == pytest.approx(r["weight"] - math.log(-math.log(uniform)))
+        keys.setdefault(r["doc_id"], []).append((r["key"], r["kept"]))
+    n = round(0.4 * len(corpus))
+    order = sorted((-k, d) for d, ks in keys.items() for k, _ in ks)[:n]
+    assert sorted(d for _, d in order) == sorted(d for d, ks in keys.items() for _, kept in ks if kept)
+
+
+def test_labels_against_a_loop(spark, corpus):
+    """Languages, scores and spans of whole texts by a plain Viterbi pass, word by word."""
+    rng = random.Random(8)
+    parts = [(w, lang) for lang, w in (("en", EN), ("fr", FR), ("ru", RU))]
+    labelled = spark.createDataFrame([(k, text(rng, parts[k % 3][0], 30), parts[k % 3][1]) for k in range(60)], "doc_id long, text string, lang string")
+    model = langid.learn(labelled)
+    texts = [r[1] or "" for r in corpus] + [" ".join(text(rng, rng.choice(parts)[0], rng.randint(1, 15)) for _ in range(6)) for _ in range(20)] + ["日本 word слово"]
+    got = langid.label(texts, model)
+    for t, (lang, score, spans) in zip(texts, got, strict=True):
+        w = langid.letters([t])
+        if not len(w.first):
+            assert (lang, score, spans) == ("und", 0.0, [])
+            continue
+        ends, best, back = [*w.first[1:].tolist(), len(w.bucket)], None, []
+        for i, lo in enumerate(w.first.tolist()):
+            own = model.logp[w.bucket[lo : ends[i]]].sum(axis=0, dtype=np.float64)
+            allowed = model.scripts[w.script[i]]
+            if allowed.any():
+                own = own - np.where(allowed, 0.0, langid.FOREIGN)
+            if best is None:
+                best = own
+            else:
+                jump = best.max() - langid.SWITCH
+                back.append([(int(best.argmax()) if jump > b else k) for k, b in enumerate(best)])
+                best = np.maximum(best, jump) + own
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        path.reverse()
+        sizes = [0] * len(model.langs)
+        for i, k in enumerate(path):
+            sizes[k] += ends[i] - int(w.first[i])
+        top = max(range(len(sizes)), key=lambda k: (sizes[k], -k))
+        assert lang == model.langs[top] and score == pytest.approx(sizes[top] / sum(sizes))
+        runs = [(k, [i for i, _ in g]) for k, g in itertools.groupby(enumerate(path), key=lambda x: x[1])]
+        assert [(s["lang"], s["start"], s["end"]) for s in spans] == [(model.langs[k], int(w.begin[i[0]]), int(w.end[i[-1]])) for k, i in runs]
