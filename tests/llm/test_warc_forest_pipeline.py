@@ -1,12 +1,18 @@
 import base64
 import gzip
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from cadenza.llm import forest, warc
+from cadenza.llm import forest, langid, warc
+from cadenza.llm.registry import tokenizer_path
+
+from .conftest import SCHEMA
+from .test_exact_simhash import fingerprint, norm
+from .test_packing_mixing import count_words, targets
 
 
 def record(kind, ident, payload, version=b"WARC/1.1"):
@@ -159,3 +165,83 @@ def test_pipeline_stages(spark, docs, none):
         if name != "pack":
             assert now.columns == docs.columns
     assert {"sequence_id", "offset", "length"} <= set(now.columns)
+
+
+def near_groups(prints):
+    """Indices of linked fingerprints, group by group."""
+    label = list(range(len(prints)))
+    for a in range(len(prints)):
+        for b in range(a):
+            if bin(prints[a] ^ prints[b]).count("1") <= 3 and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    groups = {}
+    for k, x in enumerate(label):
+        groups.setdefault(x, []).append(k)
+    return list(groups.values())
+
+
+def mixed_rows(rows):
+    """How often the mix takes each row: passes of its source's stream that reach its first word."""
+    sizes = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + count_words(r["text"])
+    goal, out = targets(sizes), []
+    for source, total in sizes.items():
+        own = [r for r in rows if r["source"] == source]
+        own.sort(key=lambda r: (hashlib.md5(str(r["doc_id"] if r["doc_id"] is not None else "").encode()).hexdigest(), r["doc_id"] or 0, count_words(r["text"])))
+        at = 0
+        for r in own:
+            n = count_words(r["text"])
+            if n:
+                out += [r] * sum(p * total + at < min(round(goal[source]), 2 * total) for p in (0, 1))
+            at += n
+    return out
+
+
+def test_pipeline_against_brute_force(spark, corpus):
+    """Each stage on what the one before it kept, rows and all columns, against plain Python."""
+    from tokenizers import Tokenizer
+
+    rows = [*corpus, (None, "one of the texts without an id", None, "a", 30, "clash", 7), (None, "another text that has no id and more words", "en", "a", 40, "clash", 7)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    as_rows = lambda found: sorted((tuple(r) for r in found), key=repr)
+    now, stages = docs, dict(corpus_pipeline.STAGES)
+
+    before = now.collect()
+    now = stages["language"](spark, now, "").persist()
+    model = langid.learn(docs.where(~langid.held_out(docs["doc_id"])))
+    told = [langid.label([r["text"] or ""], model)[0][0] for r in before]
+    assert as_rows(now.collect()) == as_rows((*r[:2], lang, *r[3:]) for r, lang in zip(before, told, strict=True) if lang != "und")
+
+    before = now.collect()
+    now = stages["exact"](spark, now, "").persist()
+    groups = {}
+    for r in before:
+        groups.setdefault(norm(r["text"]), []).append(r)
+    least = lambda group: min(group, key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    assert as_rows(now.collect()) == as_rows(least(g) for g in groups.values())
+
+    before = now.collect()
+    now = stages["near"](spark, now, "").persist()
+    assert as_rows(now.collect()) == as_rows(least([before[k] for k in g]) for g in near_groups([fingerprint(r["text"]) for r in before]))
+
+    before = now.collect()
+    now = stages["mix"](spark, now, "").persist()
+    assert as_rows(now.collect()) == as_rows(mixed_rows(before))
+
+    before = now.collect()
+    tok, want = Tokenizer.from_file(tokenizer_path()), []
+    for r in before:
+        ids = tok.encode(r["text"], add_special_tokens=False).ids + [1]
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            want.append((r["doc_id"], k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())))
+    found = stages["pack"](spark, now, "").collect()
+    assert sorted((tuple(r)[:5] for r in found), key=repr) == sorted(want, key=repr)
+    places = {}
+    for r in found:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
+    assert len(places) <= -(-sum(w[3] for w in want) // 4096) + 1
