@@ -11,6 +11,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .metrics import auc, rates, confusion
+from .ranges import sums_before
 
 #: Default level weights and those of the level ablation (fixed values).
 DEFAULT = (0.14, 0.34, 0.02, 0.50)
@@ -123,9 +124,8 @@ def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, rounds: int =
     rows = df.select(key, F.col(label).alias("y"), F.col(score).alias("s"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("config"))
     rows = rows.withColumn("times", times).where("times > 0")
     ties = rows.groupBy("config", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("times")).otherwise(0)).alias("n"))
-    w = Window.partitionBy("config").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ties = sums_before(ties, "s", ["n"], ["config"])
     pairs = F.sum("p") * F.sum("n").cast("double")
-    each = ties.groupBy("config").agg(F.when(pairs > 0, F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n"))) / pairs).otherwise(0.5).alias("auc"))
+    each = ties.groupBy("config").agg(F.when(pairs > 0, F.sum(F.col("p") * (F.col("before_n") + 0.5 * F.col("n"))) / pairs).otherwise(0.5).alias("auc"))
     at = lambda q: F.element_at(F.array_sort(F.collect_list("auc")), int(q * rounds) + 1)
     return each.agg(at(0.025).alias("low"), F.median("auc").alias("median"), at(0.975).alias("high"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import discard, materialize
 
 #: Edges that a task contracts at once, and edges of a round's table that a task gets.
 HELD = 1 << 20
@@ -77,15 +77,16 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     its own. An empty table gives no row.
     """
     pairs = materialize(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).dropna(), "pairs")
-    now, rows = contracted(pairs.where("u <> v")), pairs.count()
+    now, rows, spent = contracted(pairs.where("u <> v")), pairs.count(), []
     while True:
         told, tasks = Observation(), max(LEAST_TASKS, -(-rows // ROWS_A_TASK))
         met = materialize(contracted(now.repartition("u").coalesce(tasks)), "met")
         parents = met.groupBy("u").agg(F.min("v").alias("up")).select(F.col("u").alias("node"), "up")
         jumped = met.join(parents.hint("merge"), F.col("v") == F.col("node"), "left").select("u", "v", F.coalesce("up", "v").alias("up"))
         jumped = jumped.observe(told, F.count("*").alias("n"), F.count_if(F.col("up") != F.col("v")).alias("moved"))
-        now = contracted(jumped.select("u", F.col("up").alias("v")).coalesce(tasks))
-        now = materialize(now, "jumped")
+        now = materialize(contracted(jumped.select("u", F.col("up").alias("v")).coalesce(tasks)), "jumped")
+        discard(met, *spent)
+        spent = [now]
         rows = told.get["n"]
         if not told.get["moved"] and now.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").isEmpty():
             break

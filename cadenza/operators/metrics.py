@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import METRIC_TINY, meets
+from .ranges import sums_before
 
 #: Targets of the acceptance gate (fixed values).
 TARGETS = {"specificity": 0.60, "recall": 0.65, "balanced_accuracy": 0.65, "score_gap": 0.08}
@@ -35,13 +36,13 @@ def rates(df: DataFrame, tp: str = "tp", tn: str = "tn", fp: str = "fp", fn: str
 def auc(df: DataFrame, label: str, score: str, groups: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by group; ties count half, and one class alone gives 0.5.
 
-    Rows are summed by score first, so the running count sees different scores only.
+    Rows are summed by score first, so the running count sees different scores only; it runs
+    in ranges of scores.
     """
     groups = groups or []
     ties = df.groupBy(*groups, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ties = ties.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("below") + 0.5 * F.col("n")))
+    ties = sums_before(ties, score, ["n"], groups)
+    won = F.sum(F.col("p") * (F.col("before_n") + 0.5 * F.col("n")))
     pairs = F.sum("p") * F.sum("n").cast("double")
     return ties.groupBy(*groups).agg(F.when(pairs > 0, won / pairs).otherwise(0.5).alias("auc"))
 
@@ -50,10 +51,8 @@ def auc_trapezoid(df: DataFrame, label: str, score: str, groups: list[str] | Non
     """The same area by trapezoids under the ROC points of the different scores."""
     groups = groups or []
     ties = df.groupBy(*groups, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    w = Window.partitionBy(*groups).orderBy(F.desc(score))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    ties = ties.withColumn("tp", F.sum("p").over(run)).withColumn("before", F.col("tp") - F.col("p"))
-    area = F.sum(F.col("n") * (F.col("tp") + F.col("before")) * 0.5)
+    ties = sums_before(ties, score, ["p"], groups, falling=True)
+    area = F.sum(F.col("n") * (F.col("before_p") + 0.5 * F.col("p")))
     pairs = F.sum("p") * F.sum("n").cast("double")
     return ties.groupBy(*groups).agg(F.when(pairs > 0, area / pairs).otherwise(0.0).alias("auc"))
 

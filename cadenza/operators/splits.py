@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import manifest_tokens
 from .graph import connected_components
+from .ranges import ranked
 
 #: Splits in the order in which ties are decided.
 ORDER = ("validation", "test", "train")
@@ -51,29 +52,26 @@ def stratified_split(df: DataFrame, key: str, label: str, validation: float = 0.
     Shares round to whole rows, one of each at least; classes of up to three rows fill train,
     validation, test in turn, and a share never leaves train empty.
     """
-    w = Window.partitionBy(label)
-    rows = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(shuffled(F.col(key), seed), key)))
+    rows = ranked(df, label, shuffled(F.col(key), seed), key)
     n = F.col("__n")
     val = F.when(n <= 1, 0).when(n <= 3, 1).otherwise(F.greatest(F.lit(1), F.bround(n * validation).cast("int")))
     tst = F.when(n <= 2, 0).when(n == 3, 1).otherwise(F.greatest(F.lit(1), F.bround(n * test).cast("int")))
     train = F.greatest(F.lit(1), n - val - tst)
     split = F.when(F.col("__r") <= train, "train").when(F.col("__r") <= n - tst, "validation").otherwise("test")
-    return df.join(rows.select(key, split.alias("split")), key)
+    return rows.withColumn("split", split).drop("__n", "__r")
 
 
 def floor_split(df: DataFrame, key: str, label: str, validation: float = 0.2, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds split: shares cut to whole rows but one at least, test first, then validation, the rest train."""
-    w = Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(w)
-    r = F.row_number().over(w.orderBy(shuffled(F.col(key), seed), key))
+    rows = ranked(df, label, shuffled(F.col(key), seed), key)
+    n, r = F.col("__n"), F.col("__r")
     t, v = (F.greatest(F.lit(1), F.floor(n * share)) for share in (test, validation))
-    return df.withColumn("split", F.when(r <= t, "test").when(r <= t + v, "validation").otherwise("train"))
+    return rows.withColumn("split", F.when(r <= t, "test").when(r <= t + v, "validation").otherwise("train")).drop("__n", "__r")
 
 
 def capped_sample(df: DataFrame, key: str, label: str, per_class: int, seed: int = 42) -> DataFrame:
     """At most so many rows of each class, in a fixed random order."""
-    w = Window.partitionBy(label).orderBy(shuffled(F.col(key), seed), key)
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_class).drop("__r")
+    return ranked(df, label, shuffled(F.col(key), seed), key).where(F.col("__r") <= per_class).drop("__n", "__r")
 
 
 def group_split(df: DataFrame, group: str, label: str, validation: float = 0.2, test: float = 0.2, seed: int = 42) -> DataFrame:

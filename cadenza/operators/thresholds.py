@@ -1,15 +1,17 @@
 """Threshold search over cumulative counts: one sort, no rescan per candidate.
 
 Scores are summed to different values first. The confusion at a candidate t is read from the
-running count of rows below t, so the cost is that of sorting scores and candidates.
+running count of rows below t, so the cost is that of sorting scores and candidates. Running
+counts and neighbours go by ranges of scores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import clip01, meets
 from .metrics import rates
+from .ranges import neighbours, sums_before
 
 STEP = 1e-6
 
@@ -17,7 +19,7 @@ STEP = 1e-6
 def candidates(df: DataFrame, score: str) -> DataFrame:
     """0, 0.5, 1, every score less and plus a step, and all midpoints; scores held in [0, 1]."""
     s = df.select(clip01(F.col(score)).alias("s")).distinct()
-    s = s.withColumn("after", F.lead("s").over(Window.orderBy("s")))
+    s = neighbours(s, "s")
     near = F.array(F.greatest(F.lit(0.0), F.col("s") - STEP), F.least(F.lit(1.0), F.col("s") + STEP), (F.col("s") + F.col("after")) * 0.5)
     fixed = df.sparkSession.createDataFrame([(0.0,), (0.5,), (1.0,)], "threshold double")
     return s.select(F.explode(F.array_compact(near)).alias("threshold")).unionByName(fixed).distinct()
@@ -28,9 +30,7 @@ def midpoint_grid(df: DataFrame, score: str) -> DataFrame:
 
     A single score gives itself with a step to either side; no score gives 0.5.
     """
-    w = Window.orderBy("s")
-    s = df.select(F.col(score).cast("double").alias("s")).where("s is not null").distinct()
-    s = s.withColumn("before", F.lag("s").over(w)).withColumn("after", F.lead("s").over(w))
+    s = neighbours(df.select(F.col(score).cast("double").alias("s")).where("s is not null").distinct(), "s")
     low = F.when(F.col("before").isNull(), F.greatest(F.lit(0.0), F.col("s") - STEP))
     high = F.when(F.col("after").isNull(), F.least(F.lit(1.0), F.col("s") + STEP))
     alone = F.when(F.col("before").isNull() & F.col("after").isNull(), F.col("s"))
@@ -56,11 +56,11 @@ def confusion_curve(df: DataFrame, label: str, score: str, grid: DataFrame, abst
     both = sums.withColumn("is_grid", F.lit(0)).unionByName(
         grid.select(F.col("threshold").alias("at"), *[zero.alias(c) for c in ("p", "n", "ap", "an")], F.lit(-1).alias("is_grid"))
     )
-    below = Window.orderBy("at", "is_grid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    run = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0))
-    curve = both.select("at", "is_grid", run("p").alias("fn0"), run("n").alias("tn"), *[F.sum(c).over(whole).alias(f"all_{c}") for c in ("p", "n", "ap", "an")])
-    curve = curve.where("is_grid = -1").select(
+    totals = sums.agg(*[F.coalesce(F.sum(c), zero).alias(f"all_{c}") for c in ("p", "n", "ap", "an")])
+    curve = sums_before(both, "at", ["p", "n"], then=[F.col("is_grid")]).where("is_grid = -1")
+    # one row of totals
+    curve = curve.join(totals).select("at", F.col("before_p").alias("fn0"), F.col("before_n").alias("tn"), "all_p", "all_n", "all_ap", "all_an")
+    curve = curve.select(
         F.col("at").alias("threshold"),
         (F.col("all_p") - F.col("fn0")).alias("tp"),
         "tn",

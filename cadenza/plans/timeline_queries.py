@@ -448,10 +448,10 @@ def _n(*types: str) -> str:
     f"{clip('avg(violation_ratio) / 8.0::DOUBLE')} AS violation_ratio_mean, {clip('max(violation_ratio) / 10.0::DOUBLE')} AS violation_ratio_max, ({_n('FACE_MOTION')} > 0)::INT AS has_face_motion, ({_n('RIGID_BODY')} > 0)::INT AS has_rigid_body, "
     f"({_n('WARP_PREDICTION_ERROR')} > 0)::INT AS has_warp_prediction_error, ({_n('EDGE_INSTABILITY')} > 0)::INT AS has_edge_instability, ({_n('FACE_TEXTURE')} > 0)::INT AS has_face_texture FROM vio GROUP BY v) "
     "SELECT a.v, " + ", ".join(
-        f"round({c}, 6) AS {c}"
+        f"round({c}, 12) AS {c}"
         for c in ("violation_span_fraction", "major_span_fraction", "critical_span_fraction", "dynamic_span_fraction", "boundary_span_fraction", "confidence_weighted_span", "frame_anomaly_max", "frame_anomaly_top3_mean", "frame_anomaly_peak_fraction", "frame_anomaly_mean", "frame_anomaly_std", "frame_multi_evidence_fraction")
     ) + ", " + ", ".join(
-        f"round(coalesce({c}, 0)::DOUBLE, 6) AS {c}"
+        f"round(coalesce({c}, 0)::DOUBLE, 12) AS {c}"
         for c in ("violation_count", "major_violation_count", "critical_violation_count", "dynamic_violation_score", "boundary_violation_score", "violation_ratio_mean", "violation_ratio_max", "has_face_motion", "has_rigid_body", "has_warp_prediction_error", "has_edge_instability", "has_face_texture")
     ) + ", 0.0::DOUBLE AS has_face_scene_decoupling, 0.0::DOUBLE AS has_flow_boundary_seam FROM a LEFT JOIN b ON a.v = b.v"
 )
@@ -460,7 +460,7 @@ def forensic_features(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("x")
     flags = F.array_compact(F.array(*[F.when(x >= t, F.lit(f"f{k}")) for k, t in enumerate((0.45, 0.8, 1.5))]))
     rows = timeline(spark, d).withColumn("sc", scalars.clip01(x)).withColumn("flags", flags)
-    return rounded(evidence.forensic_features(rows, findings(spark, d), "v", "seq", "sc", "flags"))
+    return rounded(evidence.forensic_features(rows, findings(spark, d), "v", "seq", "sc", "flags"), 12)  # means of 64 rows end at the tenth digit
 
 
 @query(

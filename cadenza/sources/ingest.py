@@ -45,9 +45,12 @@ def labelled_files(files: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest by filename; of repeated names one row stays."""
-    rows = spark.read.csv(path, header=True, schema=MANIFEST, mode="PERMISSIVE")
-    return rows.where("filename is not null").dropDuplicates(["filename"])
+    """A manifest by filename; of repeated names the last row stays (by file, then line)."""
+    rows = spark.read.csv(path, header=True, schema=MANIFEST, mode="PERMISSIVE").where("filename is not null")
+    # partitions and the rows in them follow the files, so this number grows along them
+    rows = rows.select("*", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    last = rows.groupBy("filename").agg(*[F.max_by(c, "at").alias(c) for c in rows.columns if c not in ("filename", "at")])
+    return last.select(*[f.name for f in MANIFEST.fields])
 
 
 def with_manifest(files: DataFrame, table: DataFrame) -> DataFrame:

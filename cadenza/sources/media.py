@@ -1,26 +1,16 @@
-"""Media sources: sampling arithmetic, decoding in tasks, flow and tracking per entity.
+"""Which frames of a video a sampled decode reads, as DataFrame arithmetic.
 
-Decoders, flow and detectors are callables of the caller, so no codec is tied in. A decoder
-gets a file's bytes and the frame numbers that are wanted and yields arrays; a broken file
-becomes a row with its error and no pixels. Frames of one video are bounded by ``max_frames``,
-so a video fits one task.
+Decoding, optical flow and detection belong to a vision library and are not part of this one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 SAMPLE_RATE = 6.0
 MAX_FRAMES = 96
 DEFAULT_FPS = 25.0
 LEAST_FRAMES = 12
-WIDEST = 640
-
-FRAME = "video_id string, seq int, frame_idx int, ts double, height int, width int, pixels binary, error string"
 
 
 def sampling(total: Column, fps: Column, rate: float = SAMPLE_RATE, most: int = MAX_FRAMES) -> dict[str, Column]:
@@ -39,118 +29,3 @@ def sampled_indices(df: DataFrame, total: str, fps: str, rate: float = SAMPLE_RA
     indices = F.slice(F.sequence(F.lit(0), (F.col(total) - 1).cast("int"), F.col("stride")), 1, most)
     rows = rows.select("*", F.posexplode(indices).alias("seq", "frame_idx"))
     return rows.withColumn("ts", F.col("frame_idx") / F.when(F.col(fps) > 0, F.col(fps)).otherwise(DEFAULT_FPS))
-
-
-def netpbm_frames(content: bytes) -> tuple[int, float, Iterator[np.ndarray]]:
-    """A decoder of concatenated binary PPM or PGM images: count, frames per second, frames."""
-    frames, at = [], 0
-    while at < len(content):
-        fields, pos = [], at
-        while len(fields) < 4:
-            end = pos
-            while content[end : end + 1] not in (b" ", b"\n", b"\t", b"\r", b""):
-                end += 1
-            if end > pos:
-                fields.append(content[pos:end])
-            if end >= len(content):
-                raise ValueError("header is cut")
-            pos = end + 1
-        kind, w, h = fields[0], int(fields[1]), int(fields[2])
-        if kind not in (b"P5", b"P6"):
-            raise ValueError(f"no image at byte {at}")
-        depth = 3 if kind == b"P6" else 1
-        size = w * h * depth
-        if pos + size > len(content):
-            raise ValueError("image is cut")
-        frames.append(np.frombuffer(content, np.uint8, size, pos).reshape(h, w, depth))
-        at = pos + size
-    return len(frames), DEFAULT_FPS, iter(frames)
-
-
-def narrowed(frame: np.ndarray, widest: int = WIDEST) -> np.ndarray:
-    """At most ``widest`` columns, by picking nearest pixels; the aspect stays."""
-    h, w = frame.shape[:2]
-    if w <= widest:
-        return frame
-    tall = max(1, round(h * widest / w))
-    return frame[(np.arange(tall) * h // tall)[:, None], np.arange(widest) * w // widest]
-
-
-def decoded(files: DataFrame, decoder: Callable = netpbm_frames, rate: float = SAMPLE_RATE, most: int = MAX_FRAMES, widest: int = WIDEST) -> DataFrame:
-    """Sampled frames of ``path, content`` rows."""
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, content in zip(part["path"], part["content"], strict=True):
-                rows = []
-                try:
-                    total, fps, frames = decoder(bytes(content))
-                    fps = fps if fps > 0 else DEFAULT_FPS
-                    target = max(LEAST_FRAMES, min(most, int(max(total / fps, 1.0) * rate)))
-                    stride = max(1, total // target)
-                    for k, frame in enumerate(frames):
-                        if k % stride == 0 and len(rows) < most:
-                            frame = narrowed(frame, widest)
-                            rows.append((path, len(rows), k, k / fps, frame.shape[0], frame.shape[1], np.ascontiguousarray(frame).tobytes(), None))
-                except (ValueError, IndexError) as e:
-                    rows = [(path, None, None, None, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["video_id", "seq", "frame_idx", "ts", "height", "width", "pixels", "error"]).astype({c: "Int32" for c in ("seq", "frame_idx", "height", "width")})
-
-    return files.select("path", "content").mapInPandas(run, FRAME)
-
-
-def gray(frame: np.ndarray) -> np.ndarray:
-    """Luma of red, green, blue."""
-    f = frame.astype(np.float32)
-    return f[..., 0] if f.shape[-1] == 1 else 0.299 * f[..., 0] + 0.587 * f[..., 1] + 0.114 * f[..., 2]
-
-
-def block_flow(a: np.ndarray, b: np.ndarray, block: int = 8, reach: int = 4) -> np.ndarray:
-    """Motion of blocks by the least absolute difference; h by w by (x, y), constant in a block."""
-    h, w = a.shape
-    out = np.zeros((h, w, 2), np.float32)
-    padded = np.pad(b, reach, mode="edge")
-    shifts = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
-    shifts.sort(key=lambda s: (s[0] ** 2 + s[1] ** 2, s))
-    cost = np.stack([np.abs(a - padded[reach + dy : reach + dy + h, reach + dx : reach + dx + w]) for dy, dx in shifts])
-    for y in range(0, h, block):
-        for x in range(0, w, block):
-            k = int(cost[:, y : y + block, x : x + block].sum(axis=(1, 2)).argmin())
-            out[y : y + block, x : x + block] = shifts[k][1], shifts[k][0]
-    return out
-
-
-def moving_box(flow: np.ndarray) -> tuple[int, int, int, int] | None:
-    """The box of pixels that move against the median motion."""
-    own = flow - np.median(flow.reshape(-1, 2), axis=0)
-    size = np.hypot(own[..., 0], own[..., 1])
-    ys, xs = np.nonzero(size > max(float(np.percentile(size, 75)), 0.10))
-    return (int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1) if len(xs) else None
-
-
-TRACK = "video_id string, seq int, x1 int, y1 int, x2 int, y2 int, reliability double, level double, motion double"
-
-
-def tracked(frames: DataFrame, flow: Callable = block_flow, detect: Callable = moving_box) -> DataFrame:
-    """A box, its reliability and the motion of each frame pair of a video.
-
-    Boxes blend 0.80 of the last with 0.20 of the new one and reliabilities 0.82 with 0.18; a
-    frame without a detection keeps the last box with less reliability.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part[part["pixels"].notna()].sort_values("seq")
-        rows, last, rel = [], None, 0.0
-        images = [gray(np.frombuffer(p, np.uint8).reshape(h, w, -1)) for p, h, w in zip(part["pixels"], part["height"], part["width"], strict=True)]
-        for k, (a, b) in enumerate(zip(images, images[1:], strict=False)):
-            field = flow(a, b)
-            found = detect(field)
-            box = found or last or (0, 0, a.shape[1], a.shape[0])
-            fresh = 0.92 if found else 0.42 if last else 0.22
-            last = tuple(round(0.80 * p + 0.20 * q) for p, q in zip(last, box, strict=True)) if last else box
-            rel = 0.82 * rel + 0.18 * fresh if k else fresh
-            size = np.hypot(field[..., 0], field[..., 1])
-            rows.append((part["video_id"].iloc[0], int(part["seq"].iloc[k]), *last, rel, float(np.median(size)), float(size.max())))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK.split(", ")])
-
-    return frames.where("error is null").groupBy("video_id").applyInPandas(run, TRACK)

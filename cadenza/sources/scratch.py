@@ -1,11 +1,15 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset (tests on one
-machine) a folder of this process is made and set as the checkpoint folder.
+``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset and the master is
+local (tests on one machine), a folder of this process is made and set as the checkpoint
+folder, and goes when the process ends; on a cluster a missing folder is an error, since a
+machine's own disk can't be seen by the others.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,13 +22,18 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or one made for this process where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, or one made for this process on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        folder = tempfile.mkdtemp(prefix="cadenza-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = "file://" + folder
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
@@ -56,3 +65,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     with released_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

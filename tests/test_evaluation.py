@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import ablation, graph, metrics, models, splits, thresholds
+from cadenza.operators import ablation, graph, metrics, models, ranges, splits, thresholds
 
 
 def scored(spark, pairs):
@@ -166,3 +167,53 @@ def test_registered_fits_keep_the_defaults(monkeypatch):
         with pytest.raises(Called):
             getattr(q, name)(None, "")
         assert not {"rounds", "epochs"} & set(said)
+
+
+def test_ranges_against_plain_sums(spark, monkeypatch):
+    """Running sums, neighbours and ranks over many ranges, ties, nulls and NaN."""
+    monkeypatch.setattr(ranges, "RANGES", 7)
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 5)
+    rng = random.Random(2)
+    values = sorted({rng.choice([rng.random(), rng.uniform(-3, 3)]) for _ in range(60)})
+    rows = [(g, v, rng.randint(0, 5)) for g in ("a", "b", None) for v in [None, *values[::2], float("nan")]]
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    place = lambda v: (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+    for falling in (False, True):
+        for r in ranges.sums_before(df, "v", ["n"], ["g"], falling=falling).collect():
+            own = [n for g, v, n in rows if g == r["g"] and ((place(v) > place(r["v"])) if falling else (place(v) < place(r["v"])))]
+            assert r["before_n"] == sum(own)
+    one = spark.createDataFrame([(v,) for v in values], "v double")
+    got = sorted((r["v"], r["before"], r["after"]) for r in ranges.neighbours(one, "v").collect())
+    assert got == list(zip(values, [None, *values], [*values[1:], None]))
+    many = spark.createDataFrame([(k, k % 3 if k % 5 else None) for k in range(200)], "k long, y long")
+    found = ranges.ranked(many, "y", splits.shuffled(many["k"]), "k").collect()
+    for y in (0, 1, 2, None):
+        own = sorted((hashlib.md5(f"{r['k']}:42".encode()).hexdigest(), r["__r"], r["__n"]) for r in found if r["y"] == y)
+        assert [r for _, r, _ in own] == list(range(1, len(own) + 1)) and all(n == len(own) for _, _, n in own)
+
+
+def test_repeated_keys_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(1, 0), (1, 0), (1, 0), (2, 1), (3, 1)], "k long, y long")
+    assert splits.stratified_split(df, "k", "y").count() == 5 and splits.floor_split(df, "k", "y").count() == 5
+
+
+@pytest.mark.parametrize("tasks", [2, 12])
+def test_components_over_many_rounds(spark, monkeypatch, tasks):
+    """Paths and hubs that one task doesn't see as a whole."""
+    monkeypatch.setattr(graph, "LEAST_TASKS", tasks)
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 20)
+    rng = random.Random(4)
+    path = rng.sample(range(120), 120)
+    pairs = [*zip(path, path[1:]), *((900, k) for k in range(200, 280)), (300, 300), (301, 300), (310, 310)]
+    parent = {x: x for e in pairs for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    df = spark.createDataFrame([*pairs, (None, 5), (5, None)], "u long, v long").repartition(12)
+    got = {r["node"]: r["component"] for r in graph.connected_components(df).collect()}
+    assert got == {x: find(x) for x in parent}
