@@ -71,7 +71,19 @@ def evaluated(rows: DataFrame) -> DataFrame:
 
 
 def level_ablation(df: DataFrame, label: str, levels: list[Column], configs: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
-    return evaluated(configured(df, label, {n: weighted(levels, w) for n, w in (configs or LEVELS).items()}))
+    """AUC, its drop against the first configuration, best F1 and accuracy of each weighting."""
+    configs = configs or LEVELS
+    out = evaluated(configured(df, label, {n: weighted(levels, w) for n, w in configs.items()}))
+    # a row per configuration
+    base = F.max(F.when(F.col("config") == next(iter(configs)), F.col("auc"))).over(Window.partitionBy())
+    return out.withColumn("auc_drop", base - F.col("auc"))
+
+
+def level_intervals(df: DataFrame, key: str, label: str, levels: list[Column], configs: dict[str, tuple[float, ...]] | None = None, rounds: int = 200) -> DataFrame:
+    """Interval of the AUC of each weighting; all see the same resamples."""
+    each = F.array(*[F.struct(F.lit(n).alias("config"), weighted(levels, w).alias("s")) for n, w in (configs or LEVELS).items()])
+    rows = df.select(key, F.col(label).alias("y"), F.explode(each).alias("c")).select(key, "y", "c.config", "c.s")
+    return bootstrap_auc(rows, key, "y", "s", rounds, groups=["config"])
 
 
 def leave_one_out(df: DataFrame, label: str, features: list[list[str]], weights: tuple[float, ...]) -> DataFrame:
@@ -108,24 +120,32 @@ def weight_search(df: DataFrame, label: str, levels: list[Column], steps: int =
     return out.orderBy(F.desc(F.round("auc", 9)), F.desc(F.round("f1", 9)), "config").limit(best)
 
 
-def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, rounds: int = 200, seed: int = 0) -> DataFrame:
-    """Low, middle and high AUC of Poisson resamples (each row drawn 0, 1, 2, ... times by a
-    hash of its key, the round and the seed), so rounds are one grouped aggregation."""
-    u = (F.pmod(F.xxhash64(key, "config", F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    # distribution of a Poisson variable of mean 1
+def poisson_cuts(most: int = 10) -> list[float]:
+    """Distribution function of a Poisson variable of mean 1, up to ``most`` values."""
     cuts, total, term = [], 0.0, 0.36787944117144233
-    for k in range(10):
+    for k in range(most):
         total += term
         cuts.append(total)
         term /= k + 1
+    return cuts
+
+
+def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, rounds: int = 200, seed: int = 0, groups: list[str] | None = None) -> DataFrame:
+    """Low, middle and high AUC of Poisson resamples (each row drawn 0, 1, 2, ... times by an
+    MD5 of its key, the round and the seed), so rounds are one grouped aggregation."""
+    groups = groups or []
+    drawn = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("round").cast("string"), F.lit(str(seed))).cast("binary"))
+    u = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    cuts = poisson_cuts()
     times = F.lit(len(cuts))
     for k in reversed(range(len(cuts))):
         times = F.when(u < cuts[k], k).otherwise(times)
-    rows = df.select(key, F.col(label).alias("y"), F.col(score).alias("s"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("config"))
+    rows = df.select(*groups, key, F.col(label).alias("y"), F.col(score).alias("s"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     rows = rows.withColumn("times", times).where("times > 0")
-    ties = rows.groupBy("config", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("times")).otherwise(0)).alias("n"))
-    ties = sums_before(ties, "s", ["n"], ["config"])
+    by = [*groups, "round"]
+    ties = rows.groupBy(*by, "s").agg(F.sum(F.when(F.col("y") == 1, F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("times")).otherwise(0)).alias("n"))
+    ties = sums_before(ties, "s", ["n"], by)
     pairs = F.sum("p") * F.sum("n").cast("double")
-    each = ties.groupBy("config").agg(F.when(pairs > 0, F.sum(F.col("p") * (F.col("before_n") + 0.5 * F.col("n"))) / pairs).otherwise(0.5).alias("auc"))
+    each = ties.groupBy(*by).agg(F.when(pairs > 0, F.sum(F.col("p") * (F.col("before_n") + 0.5 * F.col("n"))) / pairs).otherwise(0.5).alias("auc"))
     at = lambda q: F.element_at(F.array_sort(F.collect_list("auc")), int(q * rounds) + 1)
-    return each.agg(at(0.025).alias("low"), F.median("auc").alias("median"), at(0.975).alias("high"))
+    return each.groupBy(*groups).agg(at(0.025).alias("low"), F.median("auc").alias("median"), at(0.975).alias("high"))

@@ -26,6 +26,21 @@ def merge_evidence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def zipped(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows of several tables side by side where all have the keys."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.join(more, keys)
+    return out
+
+
+def first_evidence(wanted: DataFrame, rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Each wanted key with the columns of its first row; null where there is none."""
+    others = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), place).alias("__first")).select(*keys, "__first.*")
+    return wanted.join(first, keys, "left")
+
+
 def gathered(intervals: DataFrame, entity: str) -> DataFrame:
     """One row per entity with its intervals as an array ``spans``."""
     fields = ["frame_start", "frame_end", "violation_type", "severity", "confidence", "violation_ratio"]

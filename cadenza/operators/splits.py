@@ -46,6 +46,26 @@ def with_split(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     return rows.join(splits.select(key, "split"), key, "left").withColumn("split", F.coalesce("split", F.lit("unused")))
 
 
+def index_split(rows: DataFrame, manifest: DataFrame, index: str) -> DataFrame:
+    """Rows by number with the split of a manifest ``index, split`` (text); numbers that can't
+    be read or lie outside the rows, and other names of splits, go."""
+    name = F.lower(F.trim("split"))
+    given = manifest.select(F.floor(F.col("index").try_cast("double")).cast("long").alias("__i"), F.when(name == "val", "validation").otherwise(name).alias("split"))
+    given = given.where((F.col("__i") >= 0) & (F.col("__i") < rows.count()) & F.col("split").isin(*ORDER))
+    return rows.join(given, rows[index] == given["__i"]).drop("__i")
+
+
+def official_split(rows: DataFrame, official: DataFrame, key: str, pair: str, label: str, seed: int = 42) -> DataFrame:
+    """Rows with split and strategy: the given split if it names every row and parts no pair,
+    else one made of whole pairs."""
+    given = rows.join(official.select(F.col(key).alias("__k"), "split"), F.col(key) == F.col("__k"), "left").drop("__k")
+    whole = given.where("split is null").isEmpty()
+    if whole and leaking_groups(given, pair, "split").isEmpty():
+        return given.withColumn("strategy", F.lit("official_dataset_split_pair_safe"))
+    made = group_split(rows, pair, label, seed=seed)
+    return rows.join(made, pair).withColumn("strategy", F.lit("source_connected_group_split"))
+
+
 def stratified_split(df: DataFrame, key: str, label: str, validation: float = 0.2, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds split: per class in a fixed random order, train first, then validation, then test.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
-from ..operators import ablation, graph, metrics, models, splits, thresholds
+from ..operators import ablation, evidence, graph, metrics, models, splits, thresholds
 from ..sources import ingest, sinks
 from .registry import query, rounded
-from .views import EV, LV, SC, leveled, scored, table, vectors
+from .views import EV, LV, SC, TL, leveled, scored, table, timeline, vectors
 
 CUT = 0.1
 
@@ -189,13 +189,21 @@ _EVAL = (
 )
 
 
-@query(f"WITH {LV}, {_configs({n: _weighted(w) for n, w in ablation.LEVELS.items()})}, {_EVAL} SELECT au.config, round(auc, 6) AS auc, round(t, 6) AS threshold, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy FROM au JOIN bf ON au.config = bf.config WHERE r = 1")
+@query(f"WITH {LV}, {_configs({n: _weighted(w) for n, w in ablation.LEVELS.items()})}, {_EVAL} SELECT au.config, round(auc, 6) AS auc, round(t, 6) AS threshold, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy, round((SELECT auc FROM au WHERE config = 'all') - auc, 6) AS auc_drop FROM au JOIN bf ON au.config = bf.config WHERE r = 1")
 def level_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Each weighting of the levels."""
     lv = leveled(spark, d)
     return rounded(ablation.level_ablation(lv, "y", [F.col(f"f{k}") for k in (0, 4, 8, 12)]))
 
 
+_KEYED = ", ".join([LV, "cf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS config, vec_id, y, {_weighted(w)} AS s FROM lv" for n, w in ablation.LEVELS.items()) + ")"])
+
+
+def level_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the AUC of each weighting of the levels."""
+    return rounded(ablation.level_intervals(leveled(spark, d), "vec_id", "y", [F.col(f"f{k}") for k in (0, 4, 8, 12)]))
+
+
 _GROUPS = [[f"f{k + j}" for j in range(4)] for k in (0, 4, 8, 12)]
 
 
@@ -208,9 +216,9 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ablation.leave_one_out(leveled(spark, d), "y", _GROUPS, ablation.DEFAULT))
 
 
-@query(f"WITH {LV}, {_configs({f'f{k}': f'f{k}' for k in range(12, 16)})} SELECT config, round(auc, 6) AS auc FROM ({_auc('cf', 'config')})")
+@query(f"WITH {LV}, {_configs({f'f{k}': f'f{k}' for k in range(16)})} SELECT config, round(auc, 6) AS auc FROM ({_auc('cf', 'config')})")
 def submodule_auc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ablation.single_features(leveled(spark, d), "y", [f"f{k}" for k in range(12, 16)]))
+    return rounded(ablation.single_features(leveled(spark, d), "y", [f"f{k}" for k in range(16)]))
 
 
 @query(
@@ -223,12 +231,28 @@ def weight_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ablation.weight_search(lv, "y", [F.col(f"f{k}") for k in (0, 4, 8, 12)], 5))
 
 
-@query()
+def _resampled(rows: str, key: str, config: str = "") -> str:
+    """SQL of the low, middle and high AUC of 200 resamples of rows y, s, by config if there is one."""
+    g = config + ", " if config else ""
+    cuts = ", ".join(f"{c!r}::DOUBLE" for c in ablation.poisson_cuts())
+    return (
+        f"dr AS (SELECT {g}y, s, round, len(list_filter([{cuts}], lambda c: c <= CAST('0x' || substr(md5({key} || ':' || round || ':0'), 1, 13) AS BIGINT) / {float(1 << 52)!r}::DOUBLE)) AS times FROM {rows}, range(1, 201) r(round)), "
+        f"ti AS (SELECT {g}round, s, sum(CASE WHEN y = 1 THEN times ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN times ELSE 0 END) AS n FROM dr WHERE times > 0 GROUP BY ALL), "
+        f"be AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {g}round ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ti), "
+        f"ra AS (SELECT {g}round, CASE WHEN sum(p) * sum(n) > 0 THEN sum(p * (b + 0.5::DOUBLE * n)) / (sum(p) * sum(n)::DOUBLE) ELSE 0.5::DOUBLE END AS auc FROM be GROUP BY ALL) "
+        f"SELECT {g}round(list_sort(list(auc))[6], 6) AS low, round(median(auc), 6) AS median, round(list_sort(list(auc))[196], 6) AS high FROM ra" + (f" GROUP BY {config}" if config else "")
+    )
+
+
+@query(f"WITH {SC}, {_resampled('sc', 'doc_id')}")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the AUC over hash-drawn resamples."""
     return rounded(ablation.bootstrap_auc(scored(spark, d), "doc_id", "y", "s"))
 
 
+query(f"WITH {_KEYED}, {_resampled('cf', 'vec_id', 'config')}")(level_intervals)
+
+
 # splits and joins ---------------------------------------------------------------------------
 
 _SHUF = "md5(concat_ws(':', CAST({} AS VARCHAR), '42'))"
@@ -265,6 +289,44 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_split(rows, "g", "y")
 
 
+@query(
+    "WITH o AS (SELECT o_orderkey, o_custkey % 50 AS pair, (o_orderkey % 2)::INT AS y, CASE WHEN o_custkey % 50 < 30 THEN 'train' WHEN o_custkey % 50 < 40 THEN 'validation' ELSE 'test' END AS split FROM orders) "
+    "SELECT o_orderkey, split, 'official_dataset_split_pair_safe' AS strategy FROM o"
+)
+def official_split(spark: SparkSession, d: str) -> DataFrame:
+    """A given split of orders that keeps each pair together, and so holds."""
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("pair"), (F.col("o_orderkey") % 2).cast("int").alias("y"))
+    given = rows.select("o_orderkey", F.when(F.col("pair") < 30, "train").when(F.col("pair") < 40, "validation").otherwise("test").alias("split"))
+    return splits.official_split(rows, given, "o_orderkey", "pair", "y").select("o_orderkey", "split", "strategy")
+
+
+@query(
+    "WITH m AS (SELECT l_orderkey AS k, CASE l_returnflag WHEN 'A' THEN ' Train' WHEN 'N' THEN 'VAL' ELSE 'test' END AS split, CAST(l_orderkey AS VARCHAR) AS i FROM lineitem WHERE l_linenumber = 1) "
+    "SELECT doc_id, CASE lower(trim(split)) WHEN 'val' THEN 'validation' ELSE lower(trim(split)) END AS split FROM documents JOIN m ON CAST(i AS BIGINT) = doc_id AND CAST(i AS BIGINT) < (SELECT count(*) FROM documents)"
+)
+def index_split(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by number with the split that a manifest gives the number."""
+    flag = F.col("l_returnflag")
+    given = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("index"), F.when(flag == "A", " Train").when(flag == "N", "VAL").otherwise("test").alias("split"))
+    return splits.index_split(table(spark, d, "documents").select("doc_id"), given, "doc_id").select("doc_id", "split")
+
+
+@query(f"WITH {TL}, a AS (SELECT v, seq, x FROM tl WHERE seq < 40), b AS (SELECT v, seq, x AS y FROM tl WHERE seq % 3 > 0), c AS (SELECT v, seq, kind FROM tl WHERE ok) SELECT a.v, a.seq, round(x, 6) AS x, round(y, 6) AS y, kind FROM a JOIN b ON a.v = b.v AND a.seq = b.seq JOIN c ON a.v = c.v AND a.seq = c.seq")
+def zipped_series(spark: SparkSession, d: str) -> DataFrame:
+    """Three series of an entity by place, where all have it."""
+    tl = timeline(spark, d)
+    parts = [tl.where("seq < 40").select("v", "seq", "x"), tl.where("seq % 3 > 0").select("v", "seq", F.col("x").alias("y")), tl.where("ok").select("v", "seq", "kind")]
+    return rounded(evidence.zipped(parts, ["v", "seq"]))
+
+
+@query(f"WITH {TL}, w AS (SELECT v, seq // 5 AS frame, row_number() OVER (PARTITION BY v, seq // 5 ORDER BY seq) AS r, x, kind FROM tl), q AS (SELECT DISTINCT v, frame FROM w WHERE frame % 2 = 0) SELECT q.v, q.frame, round(x, 6) AS x, kind FROM q LEFT JOIN w ON q.v = w.v AND q.frame = w.frame AND r = 1 AND w.x >= 0")
+def first_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The first observation of each wanted frame."""
+    tl = timeline(spark, d).withColumn("frame", F.floor(F.col("seq") / 5))
+    wanted = tl.where("frame % 2 = 0").select("v", "frame").distinct()
+    return rounded(evidence.first_evidence(wanted, tl, ["v", "frame"], "seq").select("v", "frame", "x", "kind"))
+
+
 _EDGES = "eg AS (SELECT DISTINCT 'p' || l_partkey AS u, 's' || l_suppkey AS v FROM lineitem WHERE l_quantity >= 50 AND l_linenumber >= 7 AND l_discount <= 0.01)"
 
 
