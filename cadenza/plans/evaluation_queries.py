@@ -407,11 +407,11 @@ def alias_coalesce_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, CASE WHEN regexp_full_match(trim(substr(text, 1, 12)), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(trim(substr(text, 1, 12)) AS DOUBLE) ELSE 0.0 END AS number FROM documents"
+    "SELECT doc_id, CASE WHEN regexp_full_match(trim(text), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(trim(text) AS DOUBLE) ELSE 0.0 END AS number FROM documents"
 )
 def safe_cast(spark: SparkSession, d: str) -> DataFrame:
-    """Start of each text as a number, 0 where it is none."""
-    return table(spark, d, "documents").select("doc_id", scalars.safe_double(F.substring("text", 1, 12)).alias("number"))
+    """Each text as a number, 0 where it is none."""
+    return table(spark, d, "documents").select("doc_id", scalars.safe_double(F.col("text")).alias("number"))
 
 
 @query(f"WITH {SC} SELECT source, '[' || repeat('#', CAST(floor(avg(s) * 20) AS INT)) || repeat('.', 20 - CAST(floor(avg(s) * 20) AS INT)) || '] ' || CASE WHEN avg(s) > 0.65 THEN 'HIGH' WHEN avg(s) > 0.35 THEN 'MED' ELSE 'LOW' END AS bar FROM sc GROUP BY source")
@@ -428,18 +428,18 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
 
 # models -------------------------------------------------------------------------------------
 
-_STAT = EV + ", st AS (SELECT k, avg(e[k]) AS m, stddev_pop(e[k]) AS s, min(e[k]) AS lo, max(e[k]) AS hi FROM ev, range(1, 9) r(k) GROUP BY k)"
+_STAT = EV + ", st AS (SELECT k, avg(e[k]) AS m, stddev_pop(e[k]) AS s, min(e[k]) AS lo, max(e[k]) AS hi FROM ev, range(1, 65) r(k) GROUP BY k)"
 
 
-def _first8(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).withColumn("x", F.slice("e", 1, 8))
+def _coordinates(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).withColumn("x", F.col("e"))
 
 
 @query(f"WITH {_STAT} SELECT vec_id, CAST(k - 1 AS INT) AS k, round((e[k] - m) / (s + 1e-8), 6) AS z, round(CASE WHEN hi - lo > 1e-12 THEN (e[k] - lo) / (hi - lo) ELSE e[k] - lo END, 6) AS mm FROM ev CROSS JOIN st")
 def zscore_minmax(spark: SparkSession, d: str) -> DataFrame:
-    """Both scalings of the first eight coordinates."""
-    rows = _first8(spark, d)
-    st = models.column_statistics(rows, "x", 8)
+    """Both scalings of every coordinate."""
+    rows = _coordinates(spark, d)
+    st = models.column_statistics(rows, "x", 64)
     both = F.arrays_zip(models.zscored(F.col("x"), st["mean"], st["std"]).alias("z"), models.minmax_scaled(F.col("x"), st["min"], st["max"]).alias("mm"))
     return rounded(rows.select("vec_id", F.posexplode(both).alias("k", "b")).select("vec_id", "k", "b.z", "b.mm"))
 
@@ -451,17 +451,17 @@ def clip_impute(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", scalars.clip01(scalars.finite_or(raw)).alias("x"))
 
 
-_W = [0.5, -1.25, 2.0, 0.75, -0.5, 1.5, -2.0, 0.25]
+_W = [((7 * k + 3) % 17 - 8) / 4.0 for k in range(64)]
 _DOT = " + ".join(f"{w}::DOUBLE * e[{k + 1}]" for k, w in enumerate(_W))
 _SIGM = "1.0::DOUBLE / (1.0::DOUBLE + exp(-least(greatest({}, -50.0::DOUBLE), 50.0::DOUBLE)))"
 
 
 @query(f"WITH {EV} SELECT vec_id, round({_SIGM.format(_DOT + ' + 0.1::DOUBLE')}, 6) AS probability FROM ev")
 def linear_score(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_first8(spark, d).select("vec_id", models.linear_score(F.col("x"), _W, 0.1).alias("probability")))
+    return rounded(_coordinates(spark, d).select("vec_id", models.linear_score(F.col("x"), _W, 0.1).alias("probability")))
 
 
-_U = [[((3 * i + 5 * j) % 7 - 3) / 2.0 for j in range(8)] for i in range(4)]
+_U = [[((3 * i + 5 * j) % 7 - 3) / 2.0 for j in range(64)] for i in range(4)]
 _V = [0.8, -1.1, 0.6, 0.9]
 
 
@@ -472,22 +472,22 @@ _V = [0.8, -1.1, 0.6, 0.9]
 )
 def mlp_score(spark: SparkSession, d: str) -> DataFrame:
     layers = [(_U, [0.05 * i for i in range(4)]), ([_V], [-0.2])]
-    return rounded(_first8(spark, d).select("vec_id", models.mlp_score(F.col("x"), layers).alias("probability")))
+    return rounded(_coordinates(spark, d).select("vec_id", models.mlp_score(F.col("x"), layers).alias("probability")))
 
 
 @query()
 def tta_score(spark: SparkSession, d: str) -> DataFrame:
     """Scores averaged over noisy copies."""
     score = lambda x: models.linear_score(x, _W, 0.1)
-    return rounded(_first8(spark, d).select("vec_id", models.averaged_over_noise(F.col("x"), F.col("vec_id"), score).alias("probability")))
+    return rounded(_coordinates(spark, d).select("vec_id", models.averaged_over_noise(F.col("x"), F.col("vec_id"), score).alias("probability")))
 
 
-@query(f"WITH {_STAT}, z AS (SELECT vec_id, y, sum(w * (e[k] - m) / (s + 1e-8)) + 0.1::DOUBLE AS t FROM ev CROSS JOIN st JOIN (SELECT unnest({_W}::DOUBLE[]) AS w, unnest(range(1, 9)) AS j) q ON q.j = st.k GROUP BY vec_id, y) SELECT vec_id, y, round({_SIGM.format('t')}, 6) AS probability, ({_SIGM.format('t')} >= 0.5)::INT AS prediction FROM z")
+@query(f"WITH {_STAT}, z AS (SELECT vec_id, y, sum(w * (e[k] - m) / (s + 1e-8)) + 0.1::DOUBLE AS t FROM ev CROSS JOIN st JOIN (SELECT unnest({_W}::DOUBLE[]) AS w, unnest(range(1, 65)) AS j) q ON q.j = st.k GROUP BY vec_id, y) SELECT vec_id, y, round({_SIGM.format('t')}, 6) AS probability, ({_SIGM.format('t')} >= 0.5)::INT AS prediction FROM z")
 def bundle_predict(spark: SparkSession, d: str) -> DataFrame:
     """Scaling, score and decision of a model bundle."""
-    rows = _first8(spark, d)
-    st = models.column_statistics(rows, "x", 8)
-    names = [f"c{k}" for k in range(8)]
+    rows = _coordinates(spark, d)
+    st = models.column_statistics(rows, "x", 64)
+    names = [f"c{k}" for k in range(64)]
     bundle = models.Bundle(names, st["mean"], st["std"], {"linear": {"weights": _W, "bias": 0.1}})
     flat = rows.select("vec_id", "y", *[F.col("x")[k].alias(n) for k, n in enumerate(names)])
     return rounded(bundle.predict(flat).select("vec_id", "y", "probability", "prediction"))
