@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..sources.scratch import discard, materialize
@@ -28,31 +29,57 @@ def least_of_parts(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             label = up
 
 
-def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+Nodes = np.ndarray | pa.Array
+
+
+def _joined(parts: list[Nodes]) -> Nodes:
+    return np.concatenate(parts) if isinstance(parts[0], np.ndarray) else pa.concat_arrays(parts)
+
+
+def _coded(nodes: Nodes) -> tuple[Nodes, np.ndarray]:
+    """The different nodes in order, and the place of each node among them."""
+    if isinstance(nodes, np.ndarray):
+        return np.unique(nodes, return_inverse=True)
+    coded = nodes.dictionary_encode()
+    order = pa.compute.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), rank[coded.indices.to_numpy()]
+
+
+def stars(u: Nodes, v: Nodes) -> tuple[Nodes, Nodes]:
     """Each node that isn't the least of its component, with that least node; a node that has
     self edges only with itself."""
-    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    nodes, place = _coded(_joined([u, v]))
     label = least_of_parts(place[: len(u)], place[len(u) :], len(nodes))
-    told = (label != np.arange(len(nodes))) | (np.bincount(label, minlength=len(nodes)) == 1)
-    return nodes[told], nodes[label[told]]
+    told = np.flatnonzero((label != np.arange(len(nodes))) | (np.bincount(label, minlength=len(nodes)) == 1))
+    if isinstance(nodes, np.ndarray):
+        return nodes[told], nodes[label[told]]
+    return nodes.take(pa.array(told)), nodes.take(pa.array(label[told]))
 
 
-def star_batches(found: Iterator[tuple[np.ndarray, np.ndarray]], names: tuple[str, str] = ("u", "v")) -> Iterator[pa.RecordBatch]:
+def star_batches(found: Iterator[tuple[Nodes, Nodes]]) -> Iterator[pa.RecordBatch]:
     """Edges, array by array, as stars of up to ``HELD`` edges at once."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[Nodes, Nodes]] = []
     size = 0
+
+    def shrunk() -> tuple[Nodes, Nodes]:
+        return stars(_joined([u for u, _ in held]), _joined([v for _, v in held]))
+
+    def batch(u: Nodes, v: Nodes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (u, v)], ["u", "v"])
+
     for u, v in found:
         held.append((u, v))
         size += len(u)
         if size >= HELD:
-            u, v = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            u, v = shrunk()
             if len(u) > HELD // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
+                yield batch(u, v)
                 u, v = u[:0], v[:0]
             held, size = [(u, v)], len(u)
     if size:
-        u, v = stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names)
+        yield batch(*shrunk())
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -60,7 +87,8 @@ def contracted(edges: DataFrame) -> DataFrame:
     kind = edges.schema["u"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return star_batches(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)) for b in batches)
+        plain = lambda x: x.to_numpy() if pa.types.is_integer(x.type) else x
+        return star_batches((plain(b.column(0)), plain(b.column(1))) for b in batches)
 
     return edges.mapInArrow(run, f"u {kind}, v {kind}")
 

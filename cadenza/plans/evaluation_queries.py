@@ -327,16 +327,17 @@ def first_evidence(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evidence.first_evidence(wanted, tl, ["v", "frame"], "seq").select("v", "frame", "x", "kind"))
 
 
-_EDGES = "eg AS (SELECT DISTINCT 'p' || l_partkey AS u, 's' || l_suppkey AS v FROM lineitem WHERE l_quantity >= 50 AND l_linenumber >= 7 AND l_discount <= 0.01)"
+_EDGES = "eg AS (SELECT DISTINCT 'p' || l_partkey AS u, 's' || l_suppkey AS v FROM lineitem)"
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").where("l_quantity >= 50 and l_linenumber >= 7 and l_discount <= 0.01")
+    l = table(spark, d, "lineitem")
     return l.select(F.concat(F.lit("p"), "l_partkey").alias("u"), F.concat(F.lit("s"), "l_suppkey").alias("v")).distinct()
 
 
 @query(
-    f"WITH RECURSIVE {_EDGES}, bi AS (SELECT u, v FROM eg UNION SELECT v, u FROM eg), rc AS (SELECT u AS node, u AS reach FROM bi UNION SELECT rc.node, bi.v FROM rc JOIN bi ON rc.reach = bi.u) SELECT node, min(reach) AS component FROM rc GROUP BY node"
+    f"WITH RECURSIVE {_EDGES}, bi AS (SELECT u, v FROM eg UNION SELECT v, u FROM eg), rc(node, component) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM bi GROUP BY u UNION "
+    "SELECT bi.u, min(rc.component) FROM rc JOIN bi ON rc.node = bi.v JOIN recurring.rc AS me ON me.node = bi.u WHERE rc.component < me.component GROUP BY bi.u) SELECT node, component FROM rc"
 )
 def connected_groups(spark: SparkSession, d: str) -> DataFrame:
     """Parts and suppliers joined through shared line items."""
