@@ -70,7 +70,7 @@ def gravity(frames: DataFrame, entity: str, order: list[str], vx: str, vy: str,
     turns = F.col("reversals") * F.greatest(F.lit(0.0), F.col("dominance") - 1.0)
     fires = (F.col("reversals") >= 2) & (F.col("dominance") > 1.55)
     return out.select(
-        entity, F.coalesce(clip01(logistic(turns, 1.5, 0.9) * 0.38), F.lit(0.0)).alias("score"), F.when(fires, F.col("start")).alias("frame_start"), F.when(fires, F.col("end") + 1).alias("frame_end"),
+        entity, F.when(F.col("reversals").isNotNull(), clip01(logistic(turns, 1.5, 0.9) * 0.38)).otherwise(0.0).alias("score"), F.when(fires, F.col("start")).alias("frame_start"), F.when(fires, F.col("end") + 1).alias("frame_end"),
         *_found(fires, F.lit("MAJOR"), F.col("reversals"), F.greatest(F.lit(1.0), F.col("reversals")), F.lit(0.56)),
     )
 

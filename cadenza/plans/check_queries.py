@@ -32,7 +32,7 @@ def _fires(when: str, severity: str, measured: str, ratio: str, confidence: str)
     f"WITH {FS}, st AS (SELECT * FROM fs WHERE a > 0.22), sm AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY v) < 5 THEN c ELSE sum(c) OVER (PARTITION BY v ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0::DOUBLE END AS s FROM st), "
     "sg AS (SELECT v, seq, sign(s) AS s, lag(sign(s)) OVER (PARTITION BY v ORDER BY seq) AS p FROM sm WHERE abs(s) > 0.10), g AS (SELECT v, count(*) AS signs, count(*) FILTER (s * p < 0)::DOUBLE AS r FROM sg GROUP BY v), "
     "m AS (SELECT v, median(abs(c)) / (median(abs(0.3::DOUBLE * b)) + 1e-6) AS dom, min(seq) AS s0, max(seq) AS s1 FROM st GROUP BY v HAVING count(*) >= 5), q AS (SELECT m.*, r FROM m JOIN g ON m.v = g.v AND signs >= 4) "
-    f"SELECT u.v, round(coalesce({clip(sig('r * greatest(0.0::DOUBLE, dom - 1.0::DOUBLE)', 1.5, 0.9) + ' * 0.38::DOUBLE')}, 0), 6) AS score, CASE WHEN r >= 2 AND dom > 1.55 THEN s0 END AS frame_start, CASE WHEN r >= 2 AND dom > 1.55 THEN s1 + 1 END AS frame_end, "
+    f"SELECT u.v, round(CASE WHEN r IS NULL THEN 0 ELSE {clip(sig('r * greatest(0.0::DOUBLE, dom - 1.0::DOUBLE)', 1.5, 0.9) + ' * 0.38::DOUBLE')} END, 6) AS score, CASE WHEN r >= 2 AND dom > 1.55 THEN s0 END AS frame_start, CASE WHEN r >= 2 AND dom > 1.55 THEN s1 + 1 END AS frame_end, "
     + _fires("r >= 2 AND dom > 1.55", "'MAJOR'", "r", "greatest(1.0::DOUBLE, r)", "0.56::DOUBLE")
     + " FROM (SELECT DISTINCT v FROM fs) u LEFT JOIN q ON u.v = q.v"
 )

@@ -217,3 +217,20 @@ def test_components_over_many_rounds(spark, monkeypatch, tasks):
     df = spark.createDataFrame([*pairs, (None, 5), (5, None)], "u long, v long").repartition(12)
     got = {r["node"]: r["component"] for r in graph.connected_components(df).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_official_split_and_its_fallback(spark):
+    rows = spark.createDataFrame([(k, k // 2, k % 2) for k in range(40)], "k long, pair long, y long")
+    good = spark.createDataFrame([(k, "train" if k < 20 else "test") for k in range(40)], "k long, split string")
+    got = splits.official_split(rows, good, "k", "pair", "y").collect()
+    assert {(r["k"], r["split"]) for r in got} == {(k, "train" if k < 20 else "test") for k in range(40)}
+    for bad in (good.where("k > 0"), good.where("k <> 0").unionByName(spark.createDataFrame([(0, "test")], "k long, split string"))):
+        made = splits.official_split(rows, bad, "k", "pair", "y").collect()
+        assert len(made) == 40 and {r["strategy"] for r in made} == {"source_connected_group_split"}
+        assert all(len({r["split"] for r in made if r["pair"] == p}) == 1 for p in range(20))
+
+
+def test_index_split_checks_numbers_and_names(spark):
+    rows = spark.createDataFrame([(k,) for k in range(5)], "i long")
+    given = spark.createDataFrame([("0", "train"), ("1.0", " VAL "), ("2", "other"), ("-1", "test"), ("5", "test"), ("x", "test"), (None, "test")], "index string, split string")
+    assert sorted(tuple(r) for r in splits.index_split(rows, given, "i").collect()) == [(0, "train"), (1, "validation")]
