@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
-from ..sources.scratch import materialize
+from ..sources.scratch import discard, materialize
 from .words import mixed
 
 THRESHOLD = 0.98
@@ -179,8 +179,8 @@ def _deal(spill: float, kind: str):
     return run
 
 
-def leaves(reps: DataFrame, kind: str, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE) -> DataFrame:
-    """``tree, node, rep`` for each leaf that a vector lies in.
+def leaves(reps: DataFrame, kind: str, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE) -> tuple[DataFrame, list[DataFrame]]:
+    """``tree, node, rep`` for each leaf that a vector lies in, and the written tables it reads.
 
     Vectors whose label has few of them are one leaf of one tree: all are compared there.
     """
@@ -189,11 +189,11 @@ def leaves(reps: DataFrame, kind: str, trees: int = TREES, leaf: int = LEAF, spi
     done = reps.join(roots.where(F.col("total") <= leaf), F.col("root") == F.col("node"), "left_semi").select(first, F.col("root").alias("node"), "rep")
     grown = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     now = reps.select(grown, F.col("root").alias("node"), "rep", "vec")
-    sizes = roots.select(grown, "node", "total")
+    sizes, written = roots.select(grown, "node", "total"), [roots]
     while True:
         large = sizes.where(F.col("total") > leaf)
         if large.isEmpty():
-            return done
+            return done, written
         salts = F.ceil(F.col("total") / DEALT).cast("int")
         todo = now.join(large, ["tree", "node"]).withColumn("salt", F.pmod(F.xxhash64("rep"), salts.cast("long")).cast("int"))
         chosen = todo.where(F.pmod(F.xxhash64("rep", "tree", "node"), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("total"))
@@ -206,6 +206,7 @@ def leaves(reps: DataFrame, kind: str, trees: int = TREES, leaf: int = LEAF, spi
         dealt = materialize(dealt, "dealt")
         now = dealt.where("not whole").drop("whole")
         sizes = materialize(now.groupBy("tree", "node").agg(F.count("*").alias("total")), "sizes")
+        written += [fitted, dealt, sizes]
         small = now.join(sizes.where(F.col("total") <= leaf), ["tree", "node"], "left_semi")
         done = done.unionByName(dealt.where("whole").select("tree", "node", "rep")).unionByName(small.select("tree", "node", "rep"))
 
@@ -259,7 +260,9 @@ def near_duplicate_vectors(
     rows, kind = packed_vectors(vectors, id_col, vec_col, label_col)
     rows = materialize(rows, "rows")
     reps = materialize(representatives(rows), "vectors")
-    placed = materialize(leaves(reps, kind, trees, leaf, spill).select(F.xxhash64("tree", "node").alias("leaf"), "rep").distinct(), "leaves")
+    grown, written = leaves(reps, kind, trees, leaf, spill)
+    placed = materialize(grown.select(F.xxhash64("tree", "node").alias("leaf"), "rep").distinct(), "leaves")
+    discard(*written)
     sizes = placed.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / (2 * leaf)).cast("int"))
     sizes = materialize(sizes, "leaf-sizes")
     shared = placed.join(sizes.select("leaf"), "leaf", "left_semi")
