@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ VERSION = "WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
+_VERSION_LINE = re.compile(rb"WARC/1\.[0-9]+\r\n")
 #: Two of these in one head are the heads of two records, the first of them cut.
 ONCE = ("warc-type", "warc-record-id", "content-length")
 
@@ -116,13 +118,13 @@ def _digest(data: bytes) -> str:
 
 def _record(data: bytes, at: int) -> tuple[dict, int]:
     """The valid record that starts at ``at`` and the position after it."""
-    if not data.startswith(b"WARC/1.", at):
+    if not (line := _VERSION_LINE.match(data, at)):
         raise _Broken("no version line")
     head = {}
-    pos = data.find(b"\r\n", at) + 2
+    pos = line.end()
     while True:
         # line by line, so that headers may be of any length and a bad one ends the search
-        stop = data.find(b"\r\n", pos) if pos > 1 else -1
+        stop = data.find(b"\r\n", pos)
         if stop < 0:
             raise _Broken("headers don't end")
         if stop == pos:
@@ -184,20 +186,31 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int, str]:
     return b"".join(out), len(data), "gzip member is cut"
 
 
-def _next(data: bytes, at: int, marks: tuple[bytes, ...]) -> int:
-    return min((p for mark in marks if (p := data.find(mark, at)) >= 0), default=len(data))
+class _Marks:
+    """The next place of any of some marks; asked in rising order, so each byte is searched
+    once for each mark, however many checks fail."""
+
+    def __init__(self, data: bytes, *marks: bytes) -> None:
+        self.data, self.found = data, dict.fromkeys(marks, -1)
+
+    def after(self, at: int) -> int:
+        for mark, place in self.found.items():
+            if place < at:
+                place = self.data.find(mark, at)
+                self.found[mark] = place if place >= 0 else len(self.data)
+        return min(self.found.values())
 
 
 def _inside(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """Begin and end of each valid record of a member's content, and of each gap with its reason."""
-    at, lost, why = 0, None, ""
+    at, lost, why, marks = 0, None, "", _Marks(data, b"WARC/1.")
     while at < len(data):
         try:
             row, after = _record(data, at)
         except _Broken as e:
             if lost is None:
                 lost, why = at, str(e)
-            at = _next(data, at + 1, (b"WARC/1.",))
+            at = marks.after(at + 1)
             continue
         if lost is not None:
             yield lost, at, why
@@ -216,6 +229,7 @@ def salvage(data: bytes) -> Iterator[dict]:
     is missing; the member is a gap besides.
     """
     view, at, lost, why = memoryview(data), 0, None, ""
+    marks = _Marks(data, b"WARC/1.", b"\x1f\x8b\x08")
     while at < len(data):
         found: list[dict] = []
         wrong = ""
@@ -243,7 +257,7 @@ def salvage(data: bytes) -> Iterator[dict]:
         if wrong:
             if lost is None:
                 lost, why = at, wrong
-            at = _next(data, at + 1, (b"WARC/1.", b"\x1f\x8b\x08"))
+            at = marks.after(at + 1)
         else:
             at = after
     if lost is not None:

@@ -71,6 +71,13 @@ def test_salvage_inside_gzip_members():
     assert found(bytes(broken) + last)[0][:3] == list("012") and found(bytes(broken) + last)[0][-1] == "9"
 
 
+def test_salvage_of_many_false_starts():
+    """Thousands of version lines without a record, and one record behind them."""
+    last = record("response", 7, b"<p>end</p>")
+    junk = b"WARC/1.1 no record\x1f\x8b\x08" * 20_000
+    assert found(junk + last) == (["7"], [(0, len(junk))])
+
+
 PAGES = "page_id long, url string, html string, sha1 string, n long"
 
 
