@@ -34,6 +34,8 @@ from .words import slices
 
 BUCKETS = 1 << 15
 DOCS_A_LANG = 2000
+#: Documents that a task learns from.
+DOCS_A_TASK = 1000
 SWITCH = 12.0
 FOREIGN = 30.0
 LEAST_SHARE = 0.01
@@ -149,7 +151,8 @@ def learn(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG, id_col: str = "doc_id
     for lang, n in sizes.items():
         bound = F.when(F.col("lang") == lang, int(min(1.0, docs_a_lang / n) * (1 << 20))).otherwise(bound)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < bound).select("lang", "text")
-    found = sample.repartition(6).mapInArrow(_counts, "lang string, grams binary, scripts binary").collect()
+    tasks = -(-sum(min(n, docs_a_lang) for n in sizes.values()) // DOCS_A_TASK)
+    found = sample.repartition(tasks).mapInArrow(_counts, "lang string, grams binary, scripts binary").collect()
     langs = sorted(sizes)
     grams = np.zeros((BUCKETS, len(langs)))
     scripts = np.zeros((len(SCRIPTS) + 2, len(langs)))
