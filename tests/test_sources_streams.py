@@ -1,7 +1,9 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.sources import ingest, media, sinks
+from cadenza.sources import ingest, media, scratch, sinks
 from cadenza.streaming import timelines
 
 
@@ -71,3 +73,20 @@ def test_streamed_windows(spark, tmp_path):
     assert [(r["n"], r["total"]) for r in got] == [(3, 30.0), (3, 120.0)]
     again = timelines.sessions(df.withColumn("entity", F.lit(1)), "15 minutes").collect()
     assert [(r["n"], r["total"]) for r in again] == [(6, pytest.approx(150.0))]
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(session)
+
+
+def test_spent_tables_are_deleted(spark):
+    table = scratch.materialize(spark.range(5), "spent")
+    kept = scratch.materialize(table, "kept")
+    path = table.inputFiles()[0]
+    scratch.discard(table)
+    with pytest.raises(Exception, match="[Ee]xist|FILE"):
+        spark.read.parquet(path).count()
+    assert kept.count() == 5
