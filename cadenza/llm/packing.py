@@ -7,8 +7,8 @@ a histogram; a combination is removed as often as the counts allow at once, and
 uses up a length, so there are at most ``capacity`` combinations however many pieces there are.
 
 Pieces meet their places by rank within their length. Ranks come from two levels: row
-numbers within (length, part) and the counts of the parts before, so that no window grows
-with the input.
+numbers within (length, part), and the counts of the parts before. A part holds about
+``PART_PIECES`` pieces; the windows over parts have a row per part of a length.
 
 Nulls: a null text is an empty document (the end id only); a null id is an id like any other.
 Repeated rows are packed each. Only documents longer than ``capacity`` are cut. An empty
