@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
-from . import covers, exact, forest, langid, mixing, packing, resampling, simhash, suffixes, warc
+from . import covers, divergence, exact, forest, langid, mixing, packing, resampling, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,6 +180,44 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each apart."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+c AS (SELECT lang, source, term, sum(n) AS n, count(*) AS docs FROM o GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS all_n FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+l AS (SELECT lang, CAST(sum(all_n) AS HUGEINT) AS all_total, CAST(count(*) AS HUGEINT) AS terms FROM k GROUP BY lang),
+s AS (
+  SELECT g.lang, g.source, k.term, k.all_n, coalesce(c.n, 0) AS n
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), z AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM s GROUP BY ALL),
+p AS (
+  SELECT s.lang, s.source, s.term, s.n,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (CAST(s.n AS HUGEINT) + 5)) // (z.total + 5 * l.terms) AS BIGINT) AS p,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (CAST(s.all_n AS HUGEINT) + 5)) // (l.all_total + 5 * l.terms) AS BIGINT) AS q
+  FROM s JOIN z ON s.lang = z.lang AND s.source = z.source JOIN l ON s.lang = l.lang
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -199,9 +237,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_quality_resampling": op10_quality_resampling,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op13_source_divergence": OP13_SQL}
