@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
-from . import covers, divergence, exact, forest, langid, mixing, packing, resampling, simhash, suffixes, warc
+from . import alignment, covers, divergence, exact, forest, langid, mixing, packing, resampling, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,6 +180,12 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every document."""
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.aligned(_table(spark, sf_dir, "documents"), *paths).documents
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that set each apart."""
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
@@ -237,6 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_quality_resampling": op10_quality_resampling,
+        "op11_token_alignment": op11_token_alignment,
         "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
