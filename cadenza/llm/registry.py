@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import new_path
-from . import alignment, covers, divergence, exact, forest, langid, mixing, packing, resampling, simhash, suffixes, warc
+from . import alignment, covers, divergence, exact, forest, langid, logbilinear, mixing, packing, resampling, simhash, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,6 +186,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_table(spark, sf_dir, "documents"), *paths).documents
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by unigrams and by a log-bilinear model."""
+    return logbilinear.scored(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that set each apart."""
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
@@ -244,6 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_dedup": op9_simhash_dedup,
         "op10_quality_resampling": op10_quality_resampling,
         "op11_token_alignment": op11_token_alignment,
+        "op12_lm_scoring": op12_lm_scoring,
         "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
