@@ -46,12 +46,15 @@ from .frames import text_batches
 from .words import buffers, ragged, release
 
 #: Bytes of text in a batch.
-BATCH = 8 << 20
+BATCH = 4 << 20
 #: Pieces remembered between two batches.
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 250_000
+#: Documents whose pairs are told apart at once.
+_DOCS = 200
 SALTS = 16
-#: Strings of one call of a tokenizer.
-_STRINGS = 2000
+#: Pieces of one string, and strings of one call of a tokenizer.
+_JOINED = 200
+_STRINGS = 50
 
 
 @dataclass(frozen=True)
@@ -136,7 +139,10 @@ def pieces(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     before = data[at - 1]
     solid = _SOLID[before]
     wide = (before >= 0x80) & ~(data[at - 2] == 0xC2) & ~(_LEADS[data[at - 3]] & (data[at - 2] >= 0x80))
-    return np.union1d(starts, at[(solid | wide) & _AFTER[data[at + 1]]])
+    begins = np.zeros(len(data), bool)
+    begins[at[(solid | wide) & _AFTER[data[at + 1]]]] = True
+    begins[starts] = True
+    return np.flatnonzero(begins)
 
 
 class Aligner:
@@ -154,6 +160,7 @@ class Aligner:
         self.first, self.second = ByteTokens(first), PieceTokens(second)
         if any("▁" in p.lstrip("▁") for p in map(self.second.model.id_to_piece, range(len(self.second.bytes)))):
             raise ValueError("pieces that hold a space after another character can't be aligned word by word")
+        self.marked = [f"{k}{m}" for k in range(max(len(self.first.bytes), len(self.second.bytes))) for m in ",|;"]
         self.sizes = [np.array([len(b) for b in side.bytes], np.int64) for side in (self.first, self.second)]
         self.forget()
 
@@ -161,11 +168,11 @@ class Aligner:
         self.known: dict[bytes, int] = {}
         self.groups: list[str] = []
         #: By piece: tokens of both sides, groups, links, whether the bytes come back.
-        self.stats = np.zeros((4, 0), np.int64)
+        self.stats = np.zeros((4, 0), np.int32)
         self.exact = np.zeros(0, bool)
         #: Different pairs of each piece, one piece after the other, and how often each is linked.
         self.pair_start, self.pair_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def index(self, found: list[bytes]) -> np.ndarray:
         """Numbers of different pieces; unknown ones are encoded and aligned."""
@@ -175,16 +182,7 @@ class Aligner:
         return np.fromiter((self.known[p] for p in found), np.int64, len(found))
 
     def _add(self, new: list[bytes]) -> None:
-        texts = [p.decode() for p in new]
-        one = [ids for k in range(0, len(new), _STRINGS) for ids in self.first.encode(texts[k : k + _STRINGS])]
-        two = [ids for k in range(0, len(new), _STRINGS) for ids in self.second.encode([t[1:] for t in texts[k : k + _STRINGS]])]
-        exact = np.fromiter(
-            (all(b"".join(map(side.bytes.__getitem__, ids)) == p for side, ids in ((self.first, x), (self.second, y))) for p, x, y in zip(new, one, two, strict=True)), bool, len(new)
-        )
-        for k in np.flatnonzero(~exact).tolist():
-            one[k], two[k] = [], []
-        ids = [np.fromiter((i for x in side for i in x), np.int64) for side in (one, two)]
-        counts = [np.fromiter(map(len, side), np.int64, len(new)) for side in (one, two)]
+        ids, counts, exact = self._encoded(new)
         found = align(self.sizes[0][ids[0]], self.sizes[1][ids[1]])
         owner = [np.repeat(np.arange(len(new)), n) for n in counts]
         cut_owner = np.zeros(len(found.cuts), np.int64)
@@ -197,22 +195,54 @@ class Aligner:
         self.pair_start = np.concatenate([self.pair_start, len(self.pairs) + np.cumsum(size) - size])
         self.pair_size = np.concatenate([self.pair_size, size])
         self.pairs = np.concatenate([self.pairs, pair[own % max(1, len(pair))]])
-        self.times = np.concatenate([self.times, times])
-        self.stats = np.concatenate([self.stats, stats], axis=1)
+        self.times = np.concatenate([self.times, times.astype(np.int32)])
+        self.stats = np.concatenate([self.stats, stats.astype(np.int32)], axis=1)
         self.exact = np.concatenate([self.exact, exact])
         self.groups += self._written(found, ids, owner, len(new))
         for p in new:
             self.known[p] = len(self.known)
 
-    @staticmethod
-    def _written(found: Alignment, ids: list[np.ndarray], owner: list[np.ndarray], n: int) -> list[str]:
+    def _encoded(self, new: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Token ids of both sides, their numbers by piece, and which pieces give back their bytes.
+
+        Pieces that may follow one another in a text are encoded together, and told apart by
+        the places where tokens end. A run that doesn't give back its bytes is encoded piece
+        by piece, and those pieces that don't have no tokens.
+        """
+        data = b"".join(new)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        soft = np.isin(edges[:-1], pieces(np.frombuffer(data, np.uint8), edges[:1]), assume_unique=True)
+        starts = np.flatnonzero(~soft | (np.arange(len(new)) % _JOINED == 0))
+        runs = list(zip(starts.tolist(), [*starts[1:].tolist(), len(new)], strict=True))
+        exact, kept, at = np.ones(len(new), bool), [], edges.tolist()
+        for single in (False, True):
+            again = []
+            for k in range(0, len(runs), _STRINGS):
+                part = runs[k : k + _STRINGS]
+                texts = [data[at[lo] : at[hi]].decode() for lo, hi in part]
+                for run, text, one, two in zip(part, texts, self.first.encode(texts), self.second.encode([t[1:] for t in texts]), strict=True):
+                    if all(b"".join(map(side.bytes.__getitem__, ids)) == text.encode() for side, ids in ((self.first, one), (self.second, two))):
+                        kept.append((run[0], np.array(one, np.int64), np.array(two, np.int64)))
+                    elif single:
+                        exact[run[0]] = False
+                    else:
+                        again.append(run)
+            runs = [(k, k + 1) for lo, hi in again for k in range(lo, hi)]
+        kept.sort(key=lambda r: r[0])
+        ids = [np.concatenate([np.zeros(0, np.int64), *(r[side] for r in kept)]) for side in (1, 2)]
+        ends = np.cumsum(np.where(exact, sizes, 0))
+        counts = [np.diff(np.searchsorted(np.cumsum(n[i]), ends, "right"), prepend=0) for n, i in zip(self.sizes, ids, strict=True)]
+        return ids, counts, exact
+
+    def _written(self, found: Alignment, ids: list[np.ndarray], owner: list[np.ndarray], n: int) -> list[str]:
         """Each piece's groups as ``a1,a2|b1;a3|b2,b3``."""
         place = np.concatenate([2 * found.first_group, 2 * found.second_group + 1])
         order = np.argsort(place, kind="stable")
         place, of = place[order], np.concatenate(owner)[order]
         step = np.diff(place, append=place[-1:] + 3)
-        marks = np.where(step == 0, ",", np.where(place % 2 == 0, "|", ";")).tolist()
-        parts = [f"{i}{m}" for i, m in zip(np.concatenate(ids)[order].tolist(), marks, strict=True)]
+        mark = np.where(step == 0, 0, np.where(place % 2 == 0, 1, 2))
+        parts = list(map(self.marked.__getitem__, (3 * np.concatenate(ids)[order] + mark).tolist()))
         edges = np.searchsorted(of, np.arange(n + 1)).tolist()
         return ["".join(parts[lo:hi])[:-1] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -267,15 +297,22 @@ class _Batch:
         # pieces of the documents that have tokens, numbered anew
         used, held = np.unique(held, return_inverse=True)
         index = index[used]
-        both, times = np.unique(place * max(1, len(used)) + held, return_counts=True)
+        both = np.sort(place * max(1, len(used)) + held)
+        first = np.flatnonzero(np.diff(both, prepend=-1))
+        both, times = both[first], np.diff(first, append=len(both))
         doc, piece = both // max(1, len(used)), both % max(1, len(used))
         self.pieces, self.times = _ints(piece, np.bincount(doc, minlength=n)), _ints(times, np.bincount(doc, minlength=n))
         sizes = aligner.pair_size[index]
         at = ragged(aligner.pair_start[index], sizes)
         pair, code = np.unique(aligner.pairs[at], return_inverse=True)
         begin = np.cumsum(sizes) - sizes
-        linked = np.unique(np.repeat(doc, sizes[piece]) * max(1, len(pair)) + code[ragged(begin[piece], sizes[piece])])
-        docs = np.bincount(linked % max(1, len(pair)), minlength=len(pair))
+        docs = np.zeros(len(pair), np.int64)
+        edges = np.searchsorted(doc, np.arange(0, n + _DOCS, _DOCS)).tolist()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            many = sizes[piece[lo:hi]]
+            linked = np.sort(np.repeat(doc[lo:hi], many) * max(1, len(pair)) + code[ragged(begin[piece[lo:hi]], many)])
+            linked = linked[np.diff(linked, prepend=-1) != 0]
+            docs += np.bincount(linked % max(1, len(pair)), minlength=len(pair))
         self.head = [pair >> 32, pair & 0xFFFFFFFF, docs, sizes, code, aligner.times[at]]
 
 
