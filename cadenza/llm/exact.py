@@ -101,16 +101,18 @@ def screen(groups: DataFrame, against: Snapshot) -> DataFrame:
 def confirmed(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests whose texts in the batch and in the snapshot are the same bytes.
 
-    candidates: ``digest, new_id, old_id``. One text of each side is read per digest, so a
-    group of any size moves two texts.
+    candidates: ``digest, new_id, old_id``. One text of each side is kept per digest, in tasks
+    first, so a group of any size, with ids of any kind, is compared as two texts.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"))
+    norm = normalized(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("own", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
     wanted = candidates.select("digest", F.explode(F.array(F.struct(F.lit(True).alias("new"), F.col("new_id").alias("doc_id")), F.struct(F.lit(False).alias("new"), F.col("old_id").alias("doc_id")))).alias("x")).select("digest", "x.new", "x.doc_id")
-    # texts are dealt by id at every size: a broadcast below some size would only hide their cost
-    read = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("digest", "new", "norm")
-    read = read.where(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)) == F.col("digest"))
-    new, old = (read.where(F.col("new") == side).select("digest", "norm") for side in (True, False))
-    return new.join(old.hint("merge"), ["digest", "norm"]).select("digest").distinct()
+    # texts are dealt by digest and id at every size: a broadcast below some size would only hide
+    # their cost. Ids may be null or repeat, and (digest, id) names only rows of one text.
+    read = texts.join(wanted.hint("merge"), (texts["own"] == wanted["digest"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("digest", "new", "norm")
+    one = read.groupBy("digest", "new").agg(F.min("norm").alias("norm"))
+    new, old = (one.where(F.col("new") == side).select("digest", "norm") for side in (True, False))
+    return new.join(old.hint("merge"), ["digest", "norm"]).select("digest")
 
 
 def against_snapshot(docs: DataFrame, batch: DataFrame, frozen: Snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
