@@ -141,6 +141,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+_COUNTS = "lang string, grams binary, scripts binary"
+
+
+def _total(table: pa.Table) -> pa.Table:
+    """The counts of one language over all tasks, in the order of their bytes."""
+    out = [table["lang"][:1]]
+    for name, kind in (("grams", "<u4"), ("scripts", "<f8")):
+        total = sum(np.frombuffer(x, kind).astype(kind) for x in sorted(table[name].to_pylist()))
+        out.append(pa.array([total.tobytes()], pa.binary()))
+    return pa.table(out, names=["lang", "grams", "scripts"])
+
+
 def learn(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn a model from labelled documents, at most about docs_a_lang of each language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
@@ -150,9 +162,10 @@ def learn(docs: DataFrame, docs_a_lang: int = DOCS_A_LANG, id_col: str = "doc_id
     bound = F.lit(0)
     for lang, n in sizes.items():
         bound = F.when(F.col("lang") == lang, int(min(1.0, docs_a_lang / n) * (1 << 20))).otherwise(bound)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < bound).select("lang", "text")
+    # null and repeated ids are told apart by their texts, and a repeated row is learned once
+    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < bound).groupBy("lang", "id", "text").agg(F.lit(1).alias("n")).select("lang", "text")
     tasks = -(-sum(min(n, docs_a_lang) for n in sizes.values()) // DOCS_A_TASK)
-    found = sample.repartition(tasks).mapInArrow(_counts, "lang string, grams binary, scripts binary").collect()
+    found = sample.repartition(tasks).mapInArrow(_counts, _COUNTS).groupBy("lang").applyInArrow(_total, _COUNTS).collect()
     langs = sorted(sizes)
     grams = np.zeros((BUCKETS, len(langs)))
     scripts = np.zeros((len(SCRIPTS) + 2, len(langs)))
