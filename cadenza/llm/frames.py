@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of whole texts that a Python worker gets at once.
 TEXT_ROWS = 1000
+#: Equal rows that one task makes of one row with a count.
+COPIES = 10_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -23,6 +25,15 @@ def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(new).alias(old) for old, new in names.items()])
 
 
+def copies(df: DataFrame, count: str, out: str, keys: list[str]) -> DataFrame:
+    """Each row ``count`` times, numbered from 0 in the column ``out``; no task makes more than
+    ``COPIES`` rows of one."""
+    step = F.lit(COPIES).cast("long")
+    runs = df.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, step))).repartition(*keys, "__run")
+    each = F.explode(F.sequence(F.col("__run"), F.least(F.col("__run") + step, F.col(count)) - 1))
+    return runs.withColumn(out, each).drop("__run", count)
+
+
 @contextmanager
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
     """Jobs run inside send texts to Python workers by so many rows at once.

@@ -9,7 +9,8 @@ are ranked within their source, and rank r takes block r of the source's stream.
 
 All of it is DataFrame expressions. Positions in streams and ranks of slots come from two
 levels of sums (within short ranges, then over the ranges of a source), so no window holds
-more than a range of one source, or one row per range.
+more than a range of one source, or one row per range. Documents with the same id (or none),
+source and size are one row with a count there, so such an id adds a row per different size.
 
 Nulls: a null text has no words; a null source is a source, last in order; a null id is
 shuffled by the MD5 of the empty text. Repeated rows are documents of their own. An empty
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
-from .frames import positional, restored
+from .frames import copies, positional, restored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -136,12 +137,17 @@ def mix_sources(
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     place = F.shiftright(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), 32 - bits) if bits else F.lit(0).cast("long")
     rows = sized.join(targets.drop("n_docs", "weight"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    rows = rows.withColumn("order", order).withColumn("range", place)
-    sums = rows.groupBy("sid", "range").agg(F.sum("size").alias("n"))
+    # documents that share id, source and size take each other's places: they are one row with a
+    # count, so an id that many documents share (or lack) has a row per size in its range
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("equal")).withColumn("order", order).withColumn("range", place)
+    words = F.col("size") * F.col("equal")
+    sums = rows.groupBy("sid", "range").agg(F.sum(words).alias("n"))
     sums = sums.select("sid", "range", (F.sum("n").over(Window.partitionBy("sid").orderBy("range")) - F.col("n")).alias("ahead"))
     inner = Window.partitionBy("sid", "range").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("inner", F.sum("size").over(inner) - F.col("size")).join(sums, ["sid", "range"])
-    placed = materialize(placed.withColumn("start", F.col("ahead") + F.col("inner")).drop("ahead", "inner", "order", "range"), "placed")
+    placed = rows.withColumn("inner", F.sum(words).over(inner) - words).join(sums, ["sid", "range"])
+    placed = placed.withColumn("first", F.col("ahead") + F.col("inner")).drop("ahead", "inner", "order", "range")
+    placed = copies(placed, "equal", "copy", ["sid", "doc_id", "size"]).withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
+    placed = materialize(placed.drop("first", "copy"), "placed")
 
     low = F.col("pass") * F.col("source_size") + F.col("start")
     parts = placed.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
