@@ -6,9 +6,11 @@ count of each length matters for this, at most ``capacity`` numbers, so the plan
 a histogram; a combination is removed as often as the counts allow at once, and each removal
 uses up a length, so there are at most ``capacity`` combinations however many pieces there are.
 
-Pieces meet their places by rank within their length. Ranks come from two levels: row
-numbers within (length, part), and the counts of the parts before. A part holds about
-``PART_PIECES`` pieces; the windows over parts have a row per part of a length.
+Pieces meet their places by rank within their length. Equal rows (repeated rows, texts
+without an id) are one row with a count. Ranks come from two levels: running counts within
+(length, part), and the counts of the parts before. A part, by a hash of id, piece and token
+ids, holds about ``PART_PIECES`` rows, also where ids are null or repeat; the windows over
+parts have a row per part of a length.
 
 Nulls: a null text is an empty document (the end id only); a null id is an id like any other.
 Repeated rows are packed each. Only documents longer than ``capacity`` are cut. An empty
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
-from .frames import text_batches
+from .frames import copies, text_batches
 from .words import SLICE, Texts, mixed, ragged, slices
 
 CAPACITY = 4096
@@ -361,14 +363,17 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = spark.sparkContext.broadcast(places(minimum_bin_slack(counts, capacity)))
     parts = max(64, sum(counts.values()) // PART_PIECES)
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts))
-    rows = pieces.withColumn("part", part)
-    sums = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
+    # rows that are equal take any of their places, so they are ranked as one with a count
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    rows = pieces.groupBy(*names).agg(F.count("*").alias("n")).withColumn("part", part)
+    sums = rows.groupBy("length", "part").agg(F.sum("n").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     sums = sums.select("length", "part", ahead.alias("ahead"))
-    inner = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    inner = F.sum("n").over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     ranked = rows.withColumn("inner", inner).join(sums, ["length", "part"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("inner")).alias("rank"))
+    ranked = copies(ranked.withColumn("first", F.col("ahead") + F.col("inner")), "n", "copy", ["length", "first"])
+    ranked = ranked.select(*names, (F.col("first") + F.col("copy")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
