@@ -17,6 +17,7 @@ rows. Other columns are ignored. Ids are integers.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,7 +213,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         raise ValueError("a window must be as long as the period at least")
     buckets = repeats.buckets_for(docs, text_col)
     shared = materialize(repeats.shared_anchors(docs, anchors(window, period, cover), buckets, id_col, text_col), "anchors")
-    texts = repeats.by_document(docs, buckets, id_col, text_col)
+    # rows without an id are compared with nothing and meet no bucket
+    named = F.col(id_col).isNotNull()
+    texts = repeats.by_document(docs.where(named), buckets, id_col, text_col)
+    alone = repeats.by_document(docs.where(~named), buckets, id_col, text_col)
     sent = texts.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_windows_of(window, period, cover, buckets), repeats.PACKED)
     repeated = materialize(sent.groupBy("bucket").applyInArrow(_repeated_of(buckets), repeats.PACKED), "windows")
-    return texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_kept_of(window, with_text), RESULT)
+    kept = _kept_of(window, with_text)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = pa.table({"hashes": pa.array([], pa.binary()), "docs": pa.array([], pa.binary())})
+        for batch in batches:
+            yield from kept(pa.Table.from_batches([batch]), none).to_batches()
+
+    found = texts.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(kept, RESULT)
+    return found.unionByName(alone.mapInArrow(whole, RESULT))
