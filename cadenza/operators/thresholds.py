@@ -1,6 +1,6 @@
 """Threshold search over cumulative counts: one sort, no rescan per candidate.
 
-Scores are summed to different values first. The confusion at a candidate t is read from the
+Scores are summed to different values first, once for a search (``score_counts``). The confusion at a candidate t is read from the
 running count of rows below t, so the cost is that of sorting scores and candidates. Running
 counts and neighbours go by ranges of scores.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import clip01, meets
+from ..sources.scratch import materialize
 from .metrics import rates
 from .ranges import neighbours, sums_before
 
@@ -39,11 +40,9 @@ def midpoint_grid(df: DataFrame, score: str) -> DataFrame:
     return found.unionByName(none.join(found.limit(1).select(F.lit(1).alias("some")), F.lit(True), "left_anti"))
 
 
-def confusion_curve(df: DataFrame, label: str, score: str, grid: DataFrame, abstained: Column | None = None) -> DataFrame:
-    """Metrics of ``score >= threshold`` at every threshold of the grid.
-
-    Abstained rows are wrong at every threshold.
-    """
+def score_counts(df: DataFrame, label: str, score: str, abstained: Column | None = None) -> DataFrame:
+    """``at, p, n, ap, an``: rows of either class at each score, abstained ones apart; written,
+    so a search reads its rows once."""
     away = abstained if abstained is not None else F.lit(False)
     rows = df.select(F.col(label).alias("y"), F.col(score).alias("at"), away.alias("away"))
     sums = rows.groupBy("at").agg(
@@ -52,6 +51,19 @@ def confusion_curve(df: DataFrame, label: str, score: str, grid: DataFrame, abst
         F.count_if((F.col("y") == 1) & F.col("away")).alias("ap"),
         F.count_if((F.col("y") == 0) & F.col("away")).alias("an"),
     )
+    return materialize(sums, "score-counts")
+
+
+def confusion_curve(df: DataFrame, label: str, score: str, grid: DataFrame, abstained: Column | None = None) -> DataFrame:
+    """Metrics of ``score >= threshold`` at every threshold of the grid.
+
+    Abstained rows are wrong at every threshold.
+    """
+    return curve_of(score_counts(df, label, score, abstained), grid)
+
+
+def curve_of(sums: DataFrame, grid: DataFrame) -> DataFrame:
+    """The same from ``score_counts``."""
     zero = F.lit(0).cast("long")
     both = sums.withColumn("is_grid", F.lit(0)).unionByName(
         grid.select(F.col("threshold").alias("at"), *[zero.alias(c) for c in ("p", "n", "ap", "an")], F.lit(-1).alias("is_grid"))
@@ -101,7 +113,8 @@ def _by_tier(orders: dict[int, list[str]]) -> Column:
 
 def specificity_first(df: DataFrame, label: str, score: str, least_specificity: float = 0.70, least_recall: float = 0.0) -> DataFrame:
     """The threshold of a learned head: limits first, then balanced accuracy, in tiers."""
-    curve = tiered(confusion_curve(df, label, score, candidates(df, score)), least_specificity, least_recall)
+    sums = score_counts(df, label, score)
+    curve = tiered(curve_of(sums, candidates(sums, "at")), least_specificity, least_recall)
     key = _by_tier(
         {
             2: ["balanced_accuracy", "f1", "recall", "specificity"],
@@ -114,7 +127,8 @@ def specificity_first(df: DataFrame, label: str, score: str, least_specificity:
 
 def tuned_detector(df: DataFrame, label: str, score: str, least_specificity: float = 0.60, least_recall: float = 0.65, abstained: Column | None = None) -> DataFrame:
     """The threshold of the detector, abstentions counted as errors."""
-    curve = tiered(confusion_curve(df, label, score, midpoint_grid(df, score), abstained), least_specificity, least_recall)
+    sums = score_counts(df, label, score, abstained)
+    curve = tiered(curve_of(sums, midpoint_grid(sums, "at")), least_specificity, least_recall)
     key = _by_tier(
         {
             2: ["balanced_accuracy", "f1", "youden_j", "recall"],
@@ -127,13 +141,15 @@ def tuned_detector(df: DataFrame, label: str, score: str, least_specificity: flo
 
 def balanced_first(df: DataFrame, label: str, score: str) -> DataFrame:
     """Balanced accuracy, then Youden, F1, accuracy, and closeness to 0.5."""
-    curve = confusion_curve(df, label, score, midpoint_grid(df, score))
+    sums = score_counts(df, label, score)
+    curve = curve_of(sums, midpoint_grid(sums, "at"))
     return best(curve, F.struct(_r("balanced_accuracy").alias("a"), _r("youden_j").alias("b"), _r("f1").alias("c"), _r("accuracy").alias("d"), (-F.abs(F.col("threshold") - 0.5)).alias("e")))
 
 
 def youden(df: DataFrame, label: str, score: str) -> DataFrame:
     """The threshold with the largest recall + specificity - 1."""
-    return best(confusion_curve(df, label, score, candidates(df, score)), _r("youden_j"))
+    sums = score_counts(df, label, score)
+    return best(curve_of(sums, candidates(sums, "at")), _r("youden_j"))
 
 
 def f1_grid(spark, steps: int = 91, low: float = 0.05, step: float = 0.01) -> DataFrame:
