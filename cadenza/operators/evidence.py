@@ -1,7 +1,8 @@
 """Per-row evidence and intervals: merging, coverage, and the rollup to features.
 
-Intervals of an entity travel as an array of structs beside its rows (a few dozen at most),
-so coverage is a predicate on the array and needs no range join.
+Coverage and the largest covering confidence come from a sweep over places (``with_coverage``)
+that takes entities with any number of rows and intervals. ``with_intervals`` puts the
+intervals of an entity as an array beside its rows, for predicates on a few intervals.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import clip01
+from ..sources.scratch import materialize
+from .scans import swept
+from .series import top_mean
 
 #: Fixed groups of violation types.
 DYNAMIC = ("FACE_MOTION", "FACE_SCENE_DECOUPLING", "RIGID_BODY")
@@ -71,30 +75,36 @@ def covering_confidence(place: Column, spans: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(inside, lambda s: s["confidence"])), F.lit(0.0))
 
 
+def with_coverage(frames: DataFrame, intervals: DataFrame, entity: str, place: str, limit: int | None = None) -> DataFrame:
+    """Rows with in_any, in_major, in_critical, in_dynamic, in_boundary (whether such an interval
+    holds the place) and covering_confidence."""
+    severity, kind = F.col("severity"), F.col("violation_type")
+    kinds = {"in_any": F.lit(True), "in_major": severity == "MAJOR", "in_critical": severity == "CRITICAL", "in_dynamic": kind.isin(*DYNAMIC), "in_boundary": kind.isin(*BOUNDARY)}
+    return swept(frames, intervals, entity, place, kinds, limit=limit)
+
+
 def share(flag: Column) -> Column:
     """Mean of a flag (aggregate)."""
     return F.avg(flag.cast("double"))
 
 
 def timeline_features(frames: DataFrame, entity: str, place: str, score: str, flags: str) -> DataFrame:
-    """Rollup of rows with ``spans`` to the timeline features of an entity."""
-    at, spans = F.col(place), F.col("spans")
-    ranked = F.slice(F.reverse(F.array_sort(F.collect_list(score))), 1, 3)
+    """Rollup of rows ``with_coverage`` to the timeline features of an entity."""
+    top = top_mean(frames.select(entity, place, score), entity, score, place).select(F.col(entity).alias("__e"), clip01(F.col("top_mean")).alias("frame_anomaly_top3_mean"))
     out = frames.groupBy(entity).agg(
-        share(covered(at, spans)).alias("violation_span_fraction"),
-        share(covered(at, spans, severity="MAJOR")).alias("major_span_fraction"),
-        share(covered(at, spans, severity="CRITICAL")).alias("critical_span_fraction"),
-        share(covered(at, spans, DYNAMIC)).alias("dynamic_span_fraction"),
-        share(covered(at, spans, BOUNDARY)).alias("boundary_span_fraction"),
-        clip01(F.avg(covering_confidence(at, spans))).alias("confidence_weighted_span"),
+        share(F.col("in_any")).alias("violation_span_fraction"),
+        share(F.col("in_major")).alias("major_span_fraction"),
+        share(F.col("in_critical")).alias("critical_span_fraction"),
+        share(F.col("in_dynamic")).alias("dynamic_span_fraction"),
+        share(F.col("in_boundary")).alias("boundary_span_fraction"),
+        clip01(F.avg("covering_confidence")).alias("confidence_weighted_span"),
         clip01(F.max(score)).alias("frame_anomaly_max"),
-        clip01(F.aggregate(ranked, F.lit(0.0), lambda a, x: a + x) / F.size(ranked)).alias("frame_anomaly_top3_mean"),
         share(F.col(score) >= 0.45).alias("frame_anomaly_peak_fraction"),
         clip01(F.avg(score)).alias("frame_anomaly_mean"),
         clip01(F.stddev_pop(score)).alias("frame_anomaly_std"),
         share(F.size(flags) >= 2).alias("frame_multi_evidence_fraction"),
     )
-    return out
+    return out.join(top, F.col(entity).eqNullSafe(F.col("__e"))).drop("__e")
 
 
 def violation_features(intervals: DataFrame, entity: str) -> DataFrame:
@@ -124,7 +134,7 @@ def violation_features(intervals: DataFrame, entity: str) -> DataFrame:
 
 def forensic_features(frames: DataFrame, intervals: DataFrame, entity: str, place: str, score: str, flags: str) -> DataFrame:
     """All rollup features; an entity without intervals has zeros."""
-    by_time = timeline_features(with_intervals(frames, intervals, entity), entity, place, score, flags)
+    by_time = timeline_features(materialize(with_coverage(frames, intervals, entity, place), "coverage"), entity, place, score, flags)
     by_kind = violation_features(intervals, entity)
     return by_time.join(by_kind, entity, "left").na.fill(0.0)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import boxes, scalars
-from ..operators import evidence, scoring, series, spans
+from ..operators import evidence, scans, scoring, series, spans
 from .registry import query, rounded
 from .views import SC, TL, clip, scored, sig, table, timeline
 
@@ -130,8 +130,25 @@ def channel_deviation(spark: SparkSession, d: str) -> DataFrame:
 )
 def ema_smoothing(spark: SparkSession, d: str) -> DataFrame:
     """Running exponential smoothing, a row per observation."""
-    out = series.exponential_smoothing(timeline(spark, d), "v", ORDER, "x")
-    return rounded(out.select("v", F.posexplode("smoothed").alias("seq", "smoothed")).withColumn("seq", F.col("seq").cast("long")))
+    return rounded(scans.smoothed(timeline(spark, d), "v", ORDER, "x").select("v", "seq", "smoothed"))
+
+
+@query(
+    "WITH RECURSIVE b AS (SELECT l_orderkey AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, (l_partkey % 40)::INT AS x1, (l_suppkey % 30)::INT AS y1, (l_partkey % 40 + 2 + l_quantity % 23)::INT AS x2, (l_suppkey % 30 + 3 + l_linenumber * 4)::INT AS y2, l_discount::DOUBLE AS r FROM lineitem), "
+    "e AS (SELECT v, i, x1, y1, x2, y2, r FROM b WHERE i = 1 UNION ALL SELECT v, i, x1, y1, greatest(x1 + 1, least(x2, 64)), greatest(y1 + 1, least(y2, 48)), r FROM ("
+    "SELECT b.v, b.i, greatest(0, least(round_even(0.8::DOUBLE * e.x1 + 0.2::DOUBLE * b.x1, 0)::INT, 63)) AS x1, greatest(0, least(round_even(0.8::DOUBLE * e.y1 + 0.2::DOUBLE * b.y1, 0)::INT, 47)) AS y1, "
+    "round_even(0.8::DOUBLE * e.x2 + 0.2::DOUBLE * b.x2, 0)::INT AS x2, round_even(0.8::DOUBLE * e.y2 + 0.2::DOUBLE * b.y2, 0)::INT AS y2, 0.82::DOUBLE * e.r + 0.18::DOUBLE * b.r AS r FROM e JOIN b ON b.v = e.v AND b.i = e.i + 1)) "
+    "SELECT v, i, x1, y1, x2, y2, round(r, 6) AS reliability FROM e"
+)
+def box_smoothing(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes and their reliability smoothed along each order's lines, rounded at each step."""
+    c = F.col
+    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("v"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    rows = series.numbered(rows, "v", ["l_linenumber", "l_partkey", "l_suppkey"], "i").withColumn("i", (c("i") + 1).cast("long"))
+    x, y = c("l_partkey") % 40, c("l_suppkey") % 30
+    rows = rows.select("v", "i", *[e.cast("int").alias(n) for n, e in (("x1", x), ("y1", y), ("x2", x + 2 + c("l_quantity") % 23), ("y2", y + 3 + c("l_linenumber") * 4))], c("l_discount").cast("double").alias("reliability"))
+    out = scans.smoothed_boxes(rows, "v", ["i"], 64, 48)
+    return rounded(out.select("v", "i", *[c(f"s_{n}").alias(n) for n in ("x1", "y1", "x2", "y2", "reliability")]))
 
 
 _SPANS = f"""{TL}, f AS (SELECT v, seq, x FROM tl WHERE x > 0.5),
@@ -418,21 +435,15 @@ _COVER = f"""{_FOUND}, cv AS (SELECT t.v, t.seq, t.x,
 @query(f"WITH {_COVER} SELECT v, round(avg(any_v::INT), 6) AS covered, round(avg(maj::INT), 6) AS major, round(avg(dyn::INT), 6) AS dynamic, round(avg(bou::INT), 6) AS boundary FROM cv GROUP BY v")
 def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Part of an entity's observations that findings cover."""
-    rows = evidence.with_intervals(timeline(spark, d), findings(spark, d), "v")
-    at, s = F.col("seq"), F.col("spans")
-    return rounded(
-        rows.groupBy("v").agg(
-            evidence.share(evidence.covered(at, s)).alias("covered"), evidence.share(evidence.covered(at, s, severity="MAJOR")).alias("major"),
-            evidence.share(evidence.covered(at, s, evidence.DYNAMIC)).alias("dynamic"), evidence.share(evidence.covered(at, s, evidence.BOUNDARY)).alias("boundary"),
-        )
-    )
+    rows = evidence.with_coverage(timeline(spark, d), findings(spark, d), "v", "seq")
+    return rounded(rows.groupBy("v").agg(*[evidence.share(F.col(f"in_{c}")).alias(n) for n, c in (("covered", "any"), ("major", "major"), ("dynamic", "dynamic"), ("boundary", "boundary"))]))
 
 
 @query(f"WITH {_COVER} SELECT v, round(avg(conf), 5) AS confidence_span FROM cv GROUP BY v")
 def confidence_span(spark: SparkSession, d: str) -> DataFrame:
     """Mean of the largest covering confidence."""
-    rows = evidence.with_intervals(timeline(spark, d), findings(spark, d), "v")
-    return rounded(rows.groupBy("v").agg(F.avg(evidence.covering_confidence(F.col("seq"), F.col("spans"))).alias("confidence_span")), 5)
+    rows = evidence.with_coverage(timeline(spark, d), findings(spark, d), "v", "seq")
+    return rounded(rows.groupBy("v").agg(F.avg("covering_confidence").alias("confidence_span")), 5)
 
 
 def _n(*types: str) -> str:
