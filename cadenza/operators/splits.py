@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import manifest_tokens
+from ..sources.scratch import materialize
 from .graph import connected_components
 from .ranges import ranked
+from .scans import Step, ordered_scan
 
+#: Tokens that the name of a group spells out.
+NAMED = 64
 #: Splits in the order in which ties are decided.
 ORDER = ("validation", "test", "train")
 
@@ -19,12 +27,18 @@ def shuffled(key: Column, seed: int = 42) -> Column:
 
 def source_groups(manifest: DataFrame, name: str = "filename", original: str = "original") -> DataFrame:
     """``filename, source_primary, source_secondary, source_group``: files joined through shared
-    source tokens; a group's name is its sorted tokens joined by a bar."""
+    source tokens; a group's name is its sorted tokens joined by a bar, of groups with more than
+    ``NAMED`` the first of them, how many more there are, and a digest."""
     rows = manifest.select(name, manifest_tokens(F.col(original), F.col(name)).alias("tokens"))
     ids = rows.select(F.explode("tokens").alias("token")).distinct()
     edges = rows.select(F.col("tokens")[0].alias("u"), F.explode("tokens").alias("v"))
     parts = connected_components(edges)
-    named = parts.groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("node")), "|").alias("source_group"))
+    # the first tokens of each component; a larger one adds their number and a digest of all
+    nth = F.row_number().over(Window.partitionBy("component").orderBy("node"))
+    head = parts.withColumn("nth", nth).where(F.col("nth") <= NAMED).groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("node")), "|").alias("head"))
+    whole = parts.groupBy("component").agg(F.count("*").alias("n"), F.hex(F.bit_xor(F.xxhash64("node"))).alias("digest"))
+    rest = F.when(F.col("n") > NAMED, F.concat(F.lit("|+"), F.col("n") - NAMED, F.lit("#"), F.lower("digest"))).otherwise("")
+    named = head.join(whole, "component").select("component", F.concat("head", rest).alias("source_group"))
     found = ids.join(parts, ids["token"] == parts["node"]).join(named, "component").select("token", "source_group")
     out = rows.withColumn("token", F.col("tokens")[0]).join(found, "token")
     return out.select(name, F.get("tokens", F.lit(0)).alias("source_primary"), F.get("tokens", F.lit(1)).alias("source_secondary"), "source_group")
@@ -94,40 +108,63 @@ def capped_sample(df: DataFrame, key: str, label: str, per_class: int, seed: int
     return ranked(df, label, shuffled(F.col(key), seed), key).where(F.col("__r") <= per_class).drop("__n", "__r")
 
 
+def _dealing(total: tuple[str, str], validation: float, test: float) -> Callable[[], Step]:
+    """Deals runs of groups of one shape in order; the class counts of the splits are carried."""
+
+    def make() -> Step:
+        have: dict[str, list[int]] = {}
+        goal: dict[str, list[int]] = {}
+
+        def run(add: tuple[int, int], left: int) -> list[dict]:
+            out, start = [], 1
+            while left:
+                gain = {s: sum(abs(g - h - a) - abs(g - h) for g, h, a in zip(goal[s], have[s], add, strict=True)) for s in ORDER}
+                pick = min(ORDER, key=lambda s: (gain[s], ORDER.index(s)))
+                room = [(g - h) // a for g, h, a in zip(goal[pick], have[pick], add, strict=True) if a]
+                # below its target a split's gain stays the same, so it goes on winning
+                size = min(max(1, min(room)) if room else left, left)
+                have[pick] = [h + size * a for h, a in zip(have[pick], add, strict=True)]
+                if out and out[-1]["split"] == pick:
+                    out[-1]["last"] += size
+                else:
+                    out.append({"first": start, "last": start + size - 1, "split": pick})
+                start, left = start + size, left - size
+            return out
+
+        def step(first: np.ndarray, batch: pa.RecordBatch) -> list[pa.Array]:
+            dealt = []
+            columns = (batch.column(c).to_pylist() for c in (*total, "pos", "neg", "k"))
+            for new, pos_total, neg_total, pos, neg, k in zip(first.tolist(), *columns, strict=True):
+                if new:
+                    sums = (pos_total, neg_total)
+                    goal["validation"] = [max(1, round(t * validation)) for t in sums]
+                    goal["test"] = [max(1, round(t * test)) for t in sums]
+                    goal["train"] = [max(t - v - e, 0) for t, v, e in zip(sums, goal["validation"], goal["test"], strict=True)]
+                    have.update({s: [0, 0] for s in ORDER})
+                dealt.append(run((pos, neg), k))
+            return [pa.array(dealt, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("split", pa.string())])))]
+
+        return step
+
+    return make
+
+
 def group_split(df: DataFrame, group: str, label: str, validation: float = 0.2, test: float = 0.2, seed: int = 42) -> DataFrame:
     """``group, split``: groups, the largest first, each to the split that leaves the class
     counts of all splits nearest to their targets.
 
     The choice depends on all earlier ones. Groups are therefore summed to their class counts
-    first: all groups of one shape (size and class counts) form one run, runs are as many as
-    there are shapes, and the recursion goes over runs, dealing a run's groups in turn.
+    first: all groups of one shape (class counts) form one run, and an ordered scan over the
+    runs deals a run's groups in turn, carrying the class counts of the splits. A run gives a
+    few stretches of ranks; groups meet them by shape and by their rank in the shape.
     """
-    sums = df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    shapes = sums.groupBy("pos", "neg").agg(F.count(F.lit(1)).alias("k")).collect()
-    shapes.sort(key=lambda s: (-(s["pos"] + s["neg"]), s["pos"], s["neg"]))
-    total = [sum(s[c] * s["k"] for s in shapes) for c in ("pos", "neg")]
-    goal = {"validation": [max(1, round(t * validation)) for t in total], "test": [max(1, round(t * test)) for t in total]}
-    goal["train"] = [max(t - v - e, 0) for t, v, e in zip(total, goal["validation"], goal["test"], strict=True)]
-    have = {s: [0, 0] for s in ORDER}
-    dealt = []
-    for shape in shapes:
-        add = (shape["pos"], shape["neg"])
-        left, start = shape["k"], 1
-        while left:
-            gain = {s: sum(abs(g - h - a) - abs(g - h) for g, h, a in zip(goal[s], have[s], add, strict=True)) for s in ORDER}
-            pick = min(ORDER, key=lambda s: (gain[s], ORDER.index(s)))
-            room = [(g - h) // a for g, h, a in zip(goal[pick], have[pick], add, strict=True) if a]
-            # below its target a split's gain stays the same, so it goes on winning
-            step = max(1, min(room)) if room else left
-            step = min(step, left)
-            have[pick] = [h + step * a for h, a in zip(have[pick], add, strict=True)]
-            if dealt and dealt[-1][:2] == add and dealt[-1][4] == pick:
-                dealt[-1] = (*dealt[-1][:3], start + step - 1, pick)
-            else:
-                dealt.append((*add, start, start + step - 1, pick))
-            start, left = start + step, left - step
-    plan = df.sparkSession.createDataFrame(dealt or [], "pos long, neg long, first long, last long, split string")
-    w = Window.partitionBy("pos", "neg").orderBy(shuffled(F.col(group), seed), group)
-    ranked = sums.withColumn("nth", F.row_number().over(w))
-    same = (ranked["pos"] == plan["pos"]) & (ranked["neg"] == plan["neg"]) & ranked["nth"].between(plan["first"], plan["last"])
-    return ranked.join(F.broadcast(plan), same).select(group, "split")
+    sums = materialize(df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")), "groups")
+    shapes = sums.groupBy("pos", "neg").agg(F.count(F.lit(1)).alias("k"))
+    totals = sums.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("all_neg"))
+    # one row of totals beside each shape; all shapes are one sequence
+    runs = shapes.join(totals).withColumn("size", -(F.col("pos") + F.col("neg"))).withColumn("all", F.lit(0))
+    dealt = ordered_scan(runs, ["all"], ["size", "pos", "neg"], _dealing(("all_pos", "all_neg"), validation, test), "dealt array<struct<first:bigint,last:bigint,split:string>>")
+    plan = dealt.select(F.concat_ws(":", "pos", "neg").alias("__shape"), F.explode("dealt").alias("d")).select("__shape", "d.*")
+    named = sums.withColumn("shape", F.concat_ws(":", "pos", "neg")).select(group, "shape")
+    places = ranked(named, "shape", shuffled(F.col(group), seed), group)
+    return places.join(plan, (F.col("shape") == F.col("__shape")) & F.col("__r").between(F.col("first"), F.col("last"))).select(group, "split")

@@ -282,7 +282,22 @@ def stratified_cap(spark: SparkSession, d: str) -> DataFrame:
     return splits.capped_sample(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", 20)
 
 
-@query()
+def _gain(split: str) -> str:
+    """How much nearer its targets, or farther, the next group leaves a split."""
+    return " + ".join(f"abs(goal_{split}_{c} - r.{split}_{c} - o.{c}) - abs(goal_{split}_{c} - r.{split}_{c})" for c in ("pos", "neg"))
+
+
+@query(
+    f"WITH RECURSIVE {SC}, g AS (SELECT source || '/' || lang AS g, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM sc GROUP BY ALL), "
+    "o AS (SELECT *, row_number() OVER (ORDER BY pos + neg DESC, pos, neg, md5(g || ':42'), g) AS n FROM g), "
+    "t AS (SELECT *, greatest(0, tp - goal_validation_pos - goal_test_pos) AS goal_train_pos, greatest(0, tn - goal_validation_neg - goal_test_neg) AS goal_train_neg FROM ("
+    "SELECT sum(pos)::BIGINT AS tp, sum(neg)::BIGINT AS tn, " + ", ".join(f"greatest(1, round_even(sum({c}) * 0.2::DOUBLE, 0))::BIGINT AS goal_{s}_{c}" for s in ("validation", "test") for c in ("pos", "neg")) + " FROM g)), "
+    "r AS (SELECT 0::BIGINT AS n, ''::VARCHAR AS g, ''::VARCHAR AS split, " + ", ".join(f"0::BIGINT AS {s}_{c}" for s in ("validation", "test", "train") for c in ("pos", "neg")) + " UNION ALL "
+    "SELECT n, g, split, " + ", ".join(f"{s}_{c} + CASE WHEN split = '{s}' THEN {c} ELSE 0 END" for s in ("validation", "test", "train") for c in ("pos", "neg")) + " FROM ("
+    "SELECT o.n, o.g, o.pos, o.neg, r.validation_pos, r.validation_neg, r.test_pos, r.test_neg, r.train_pos, r.train_neg, "
+    f"CASE WHEN {_gain('validation')} <= least({_gain('test')}, {_gain('train')}) THEN 'validation' WHEN {_gain('test')} <= {_gain('train')} THEN 'test' ELSE 'train' END AS split "
+    "FROM r JOIN o ON o.n = r.n + 1 CROSS JOIN t)) SELECT g, split FROM r WHERE n > 0"
+)
 def group_split(spark: SparkSession, d: str) -> DataFrame:
     """Source and language groups dealt to splits by class balance."""
     rows = scored(spark, d).withColumn("g", F.concat_ws("/", "source", "lang"))
