@@ -6,12 +6,23 @@ projection: each row carries an array of configured scores that is then exploded
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .metrics import auc, rates, confusion
-from .ranges import sums_before
+from ..sources.scratch import materialize
+from .metrics import auc, counted, rates
+from .ranges import ranged
+
+#: Vectors of a range of scores, and rows whose vectors a task makes at once.
+VECTOR_ROWS = 20_000
+_VECTORS = 2000
+#: Parts of a range that holds one score.
+_PARTS = 64
 
 #: Default level weights and those of the level ablation (fixed values).
 DEFAULT = (0.14, 0.34, 0.02, 0.50)
@@ -43,7 +54,7 @@ def configured(df: DataFrame, label: str, scores: dict[str, Column]) -> DataFram
     return df.select(F.col(label).alias("y"), F.explode(each).alias("c")).select("c.config", "y", "c.s")
 
 
-def best_f1_by_config(rows: DataFrame, steps: int = 91) -> DataFrame:
+def best_f1_by_config(rows: DataFrame, steps: int = 91, weight: str | None = None) -> DataFrame:
     """The first fixed threshold with the largest F1 of each configuration.
 
     A row counts at the thresholds at or below its score, so counts per score bin are summed
@@ -54,7 +65,7 @@ def best_f1_by_config(rows: DataFrame, steps: int = 91) -> DataFrame:
     first = F.floor((F.col("s") - 0.05) / 0.01).cast("int")
     near = F.array(*[first + d for d in (1, 0, -1)])
     place = F.coalesce(F.get(F.filter(near, lambda k: (k >= 0) & (k < steps) & (F.lit(0.05) + k * F.lit(width) <= F.col("s"))), F.lit(0)), F.when(F.col("s") >= 0.9, steps - 1).otherwise(-1))
-    sums = rows.groupBy("config", place.alias("k")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    sums = rows.groupBy("config", place.alias("k")).agg(counted(F.col("y") == 1, weight).alias("p"), counted(F.col("y") == 0, weight).alias("n"))
     filled = sums.select("config").distinct().join(F.broadcast(grid)).join(sums, ["config", "k"], "left").na.fill(0, ["p", "n"])
     low = sums.where("k = -1").select("config", F.lit(-1).alias("k"), F.lit(0.0).alias("t"), "p", "n")
     down = Window.partitionBy("config").orderBy(F.desc("k"))
@@ -67,7 +78,8 @@ def best_f1_by_config(rows: DataFrame, steps: int = 91) -> DataFrame:
 
 def evaluated(rows: DataFrame) -> DataFrame:
     """AUC, best F1 with its threshold, and accuracy there, of each configuration."""
-    return auc(rows, "y", "s", ["config"]).join(best_f1_by_config(rows), "config")
+    sums = materialize(rows.groupBy("config", "s", "y").agg(F.count("*").alias("k")), "configured")
+    return auc(sums, "y", "s", ["config"], "k").join(best_f1_by_config(sums, weight="k"), "config")
 
 
 def level_ablation(df: DataFrame, label: str, levels: list[Column], configs: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
@@ -130,22 +142,86 @@ def poisson_cuts(most: int = 10) -> list[float]:
     return cuts
 
 
-def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, rounds: int = 200, seed: int = 0, groups: list[str] | None = None) -> DataFrame:
+def _multiplicities(keys: list[str], rounds: int, seed: int) -> np.ndarray:
+    """How often each row is drawn in each round (rows by rounds)."""
+    tails = [f":{r}:{seed}".encode() for r in range(1, rounds + 1)]
+    heads = (b"".join([md5(k + t).digest()[:8] for t in tails]) for k in map(str.encode, keys))
+    u = np.frombuffer(b"".join(heads), ">u8").reshape(len(keys), rounds) >> np.uint64(12)
+    return np.searchsorted(poisson_cuts(), u.astype(np.float64) / float(1 << 52), "right")
+
+
+def _vectors(rounds: int, seed: int, names: list[str]):
+    """Rows ``groups, s, y, key`` to one row per group and score of a batch: ``p, n``, the drawn
+    rows of either class by round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _VECTORS):
+                part = pa.Table.from_batches([batch.slice(lo, _VECTORS)])
+                times = _multiplicities([k or "" for k in part["__key"].to_pylist()], rounds, seed)
+                y = part["__y"].to_numpy()
+                found = part.select(names).append_column("__at", pa.array(np.arange(len(times)))).group_by(names, use_threads=False).aggregate([("__at", "list")])
+                lists = found["__at_list"].combine_chunks()
+                at, edges = lists.flatten().to_numpy(), lists.offsets.to_numpy()[:-1]
+                columns = []
+                for label in (1, 0):
+                    own = np.add.reduceat(times[at] * (y[at] == label)[:, None], edges, axis=0)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * rounds, pa.int32()), pa.array(own.ravel(), pa.int32())))
+                yield pa.RecordBatch.from_arrays([*(found[c].combine_chunks() for c in names), *columns], [*names, "p", "n"])
+
+    return run
+
+
+def _won(names: list[str], rounds: int):
+    """One range: by round, the drawn rows of either class, and the pairs inside it that are in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        s = table["s"].to_numpy()
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        edges = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))]))
+        p, n = (np.add.reduceat(table[c].combine_chunks().flatten().to_numpy().reshape(-1, rounds)[order].astype(np.int64), edges, axis=0) for c in ("p", "n"))
+        won = (p * (np.cumsum(n, axis=0) - 0.5 * n)).sum(axis=0)
+        each = [pa.array([x.tolist()]) for x in (p.sum(axis=0), n.sum(axis=0), won)]
+        return pa.table([*(table[c][:1] for c in names), *each], names=[*names, "p", "n", "won"])
+
+    return run
+
+
+def bootstrap_auc(df: DataFrame, key: str, label: str, score: str, rounds: int = 200, seed: int = 0, groups: list[str] | None = None, limit: int = VECTOR_ROWS) -> DataFrame:
     """Low, middle and high AUC of Poisson resamples (each row drawn 0, 1, 2, ... times by an
-    MD5 of its key, the round and the seed), so rounds are one grouped aggregation."""
+    MD5 of its key, the round and the seed).
+
+    A row carries its multiplicities of all rounds as one vector. Vectors of equal scores are
+    summed in tasks; one sort into ranges of scores serves all rounds, the running counts are
+    sums of vectors inside a range, and ranges are put together by their sums. A range of one
+    score, however many rows share it, is summed in parts.
+    """
     groups = groups or []
-    drawn = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("round").cast("string"), F.lit(str(seed))).cast("binary"))
-    u = F.conv(F.substring(drawn, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    cuts = poisson_cuts()
-    times = F.lit(len(cuts))
-    for k in reversed(range(len(cuts))):
-        times = F.when(u < cuts[k], k).otherwise(times)
-    rows = df.select(*groups, key, F.col(label).alias("y"), F.col(score).alias("s"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    rows = rows.withColumn("times", times).where("times > 0")
-    by = [*groups, "round"]
-    ties = rows.groupBy(*by, "s").agg(F.sum(F.when(F.col("y") == 1, F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("times")).otherwise(0)).alias("n"))
-    ties = sums_before(ties, "s", ["n"], by)
+    names = [*groups, "s"]
+    rows = df.select(*groups, F.col(score).cast("double").alias("s"), F.col(key).cast("string").alias("__key"), F.col(label).cast("int").alias("__y"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    summed = rows.mapInArrow(_vectors(rounds, seed, names), f"{fields}, p array<int>, n array<int>")
+    placed, many = ranged(summed, [F.col("s")], groups, limit)
+    placed = placed.withColumn("part", F.lit(0))
+    if many:
+        bounds = placed.groupBy(*groups, "__range").agg((F.count("*") > limit).alias("__tied"))
+        match = F.col("__range") == F.col("__of")
+        for g in groups:
+            match &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+        tied = bounds.where("__tied").select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col("__range").alias("__of"), "__tied")
+        placed = placed.join(tied, match, "left").withColumn("part", F.when(F.col("__tied"), F.pmod(F.xxhash64("p", "n"), F.lit(_PARTS))).otherwise(0).cast("int"))
+    by = [*groups, "__range", "part"]
+    placed = placed.select(*by, "s", "p", "n")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*by).schema)
+    sums = placed.groupBy(*by).applyInArrow(_won(by, rounds), f"{kinds}, p array<bigint>, n array<bigint>, won array<double>")
+    each = sums.select(*by, F.posexplode(F.arrays_zip("p", "n", "won")).alias("round", "x")).select(*by, "round", "x.*")
+    each = each.groupBy(*groups, "round", "__range").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("won").alias("won"), F.count("*").alias("parts"))
+    # the parts of one score win and lose among each other by halves
+    each = each.withColumn("won", F.when(F.col("parts") > 1, 0.5 * F.col("p") * F.col("n")).otherwise(F.col("won")))
+    ahead = Window.partitionBy(*groups, "round").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     pairs = F.sum("p") * F.sum("n").cast("double")
-    each = ties.groupBy(*by).agg(F.when(pairs > 0, F.sum(F.col("p") * (F.col("before_n") + 0.5 * F.col("n"))) / pairs).otherwise(0.5).alias("auc"))
+    each = each.groupBy(*groups, "round").agg(F.sum(F.col("p") + F.col("n")).alias("drawn"), F.when(pairs > 0, F.sum(F.col("won") + F.col("p") * F.col("before")) / pairs).otherwise(0.5).alias("auc"))
     at = lambda q: F.element_at(F.array_sort(F.collect_list("auc")), int(q * rounds) + 1)
-    return each.groupBy(*groups).agg(at(0.025).alias("low"), F.median("auc").alias("median"), at(0.975).alias("high"))
+    return each.where("drawn > 0").groupBy(*groups).agg(at(0.025).alias("low"), F.median("auc").alias("median"), at(0.975).alias("high"))

@@ -33,14 +33,19 @@ def rates(df: DataFrame, tp: str = "tp", tn: str = "tn", fp: str = "fp", fn: str
     return out.withColumn("balanced_accuracy", 0.5 * (r + s)).withColumn("youden_j", r + s - 1.0)
 
 
-def auc(df: DataFrame, label: str, score: str, groups: list[str] | None = None) -> DataFrame:
+def counted(condition: Column, weight: str | None = None) -> Column:
+    """Rows that meet a condition, or the sum of their weights (aggregate)."""
+    return F.count_if(condition) if weight is None else F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
+
+
+def auc(df: DataFrame, label: str, score: str, groups: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Area under the ROC curve by group; ties count half, and one class alone gives 0.5.
 
     Rows are summed by score first, so the running count sees different scores only; it runs
     in ranges of scores.
     """
     groups = groups or []
-    ties = df.groupBy(*groups, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    ties = df.groupBy(*groups, score).agg(counted(F.col(label) == 1, weight).alias("p"), counted(F.col(label) == 0, weight).alias("n"))
     ties = sums_before(ties, score, ["n"], groups)
     won = F.sum(F.col("p") * (F.col("before_n") + 0.5 * F.col("n")))
     pairs = F.sum("p") * F.sum("n").cast("double")
