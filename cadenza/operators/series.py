@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import TINY, clip01, logistic
+from ..sources.scratch import materialize
+from .quantiles import grouped_quantiles, with_quantile
 
 
 def ordered(entity: str, order: list[str]):
@@ -87,15 +89,17 @@ def difference_acceleration(df: DataFrame, entity: str, order: list[str], value:
 
 def dispersion(df: DataFrame, entity: str, value: str) -> DataFrame:
     """Per entity: median, median absolute deviation and their ratio."""
-    rows = df.withColumn("med", F.median(value).over(Window.partitionBy(entity)))
-    out = rows.groupBy(entity).agg(F.median(value).alias("median"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    rows = materialize(with_quantile(df.select(entity, value), entity, value, "median"), "medians")
+    away = grouped_quantiles(rows, [entity], F.abs(F.col(value) - F.col("median")), {"mad": 0.5}).withColumnRenamed(entity, "__e")
+    out = rows.groupBy(entity).agg(F.max("median").alias("median")).join(away, F.col(entity).eqNullSafe(F.col("__e"))).drop("__e")
     return out.withColumn("dispersion", F.col("mad") / (F.col("median") + TINY))
 
 
 def baseline_drift(df: DataFrame, entity: str, a: str, b: str, floor: float = 0.08) -> DataFrame:
     """Per entity: median distance of a / (b + floor) from its own median."""
-    rows = df.withColumn("r", F.col(a) / (F.col(b) + F.lit(floor))).withColumn("med", F.median("r").over(Window.partitionBy(entity)))
-    return rows.groupBy(entity).agg(F.median(F.abs(F.col("r") - F.col("med"))).alias("drift"))
+    rows = materialize(df.select(entity, (F.col(a) / (F.col(b) + F.lit(floor))).alias("r")), "ratios")
+    rows = with_quantile(rows, entity, "r", "med")
+    return grouped_quantiles(rows, [entity], F.abs(F.col("r") - F.col("med")), {"drift": 0.5})
 
 
 def valid_deviation(df: DataFrame, entity: str, order: list[str], value: str, valid: str, k: int, rise: tuple[float, float, float], away: tuple[float, float, float]) -> DataFrame:
@@ -106,7 +110,7 @@ def valid_deviation(df: DataFrame, entity: str, order: list[str], value: str, va
     """
     held = F.when(F.col(valid), F.col(value)).otherwise(0.0)
     rows = df.withColumn("held", held).withColumn("smoothed", smooth(F.col("held"), entity, order, k))
-    rows = rows.withColumn("baseline", F.median(F.when(F.col(valid), F.col("smoothed"))).over(Window.partitionBy(entity)))
+    rows = with_quantile(materialize(rows, "smoothed"), entity, F.when(F.col(valid), F.col("smoothed")), "baseline")
     gap = F.col("held") - F.col("baseline")
     score = F.lit(rise[0]) * logistic(F.greatest(gap, F.lit(0.0)), *rise[1:]) + F.lit(away[0]) * logistic(F.abs(gap), *away[1:])
     return rows.withColumn("deviation", F.when(F.col(valid), clip01(score)).otherwise(0.0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import boxes, scalars
-from ..operators import evidence, scans, scoring, series, spans
+from ..operators import evidence, quantiles, scans, scoring, series, spans
+from ..sources.scratch import materialize
 from .registry import query, rounded
 from .views import SC, TL, clip, scored, sig, table, timeline
 
@@ -23,7 +24,9 @@ def smooth_series(spark: SparkSession, d: str) -> DataFrame:
 def jitter_p88(spark: SparkSession, d: str) -> DataFrame:
     """88th percentile and mean of the absolute first difference."""
     tl = timeline(spark, d).withColumn("j", series.jitter(F.col("x"), "v", ORDER))
-    return rounded(tl.groupBy("v").agg(series.quantile(F.col("j"), 0.88).alias("p88"), F.avg("j").alias("mean")))
+    tl = materialize(tl.select("v", "j"), "jitter")
+    p88 = quantiles.grouped_quantiles(tl, ["v"], "j", {"p88": 0.88})
+    return rounded(p88.join(tl.groupBy("v").agg(F.avg("j").alias("mean")), "v"))
 
 
 @query(
@@ -99,7 +102,7 @@ def deviation_from_valid_median(spark: SparkSession, d: str) -> DataFrame:
     "SELECT u.v, CAST(coalesce(n, 0) AS BIGINT) AS reversals FROM (SELECT DISTINCT v FROM tl) u LEFT JOIN g ON u.v = g.v"
 )
 def sign_reversals(spark: SparkSession, d: str) -> DataFrame:
-    tl = timeline(spark, d).withColumn("z", F.col("x") - F.median("x").over(Window.partitionBy("v")))
+    tl = quantiles.with_quantile(timeline(spark, d), "v", "x", "middle").withColumn("z", F.col("x") - F.col("middle"))
     return series.sign_reversals(tl, "v", ORDER, "z")
 
 
