@@ -41,6 +41,7 @@ STABILITY = {
     "EDGE_INSTABILITY": Stability(0.72, (0.60, 0.09, 0.032), (0.12, 0.18, 0.07), (0.88, 0.10, 0.036), 2, 0.28, (0.54, 0.16, 0.86)),
 }
 TEXTURE_RELIABILITY = 0.60
+TEXTURE = Stability(TEXTURE_RELIABILITY, (0, 0, 0), (0, 0, 0), (0, 0, 0), 2, 0.28, (0.56, 0.16, 0.88))
 
 
 def _found(fires: Column, severity: Column, measured: Column, ratio: Column, confidence: Column) -> list[Column]:
@@ -100,6 +101,18 @@ def stability(frames: DataFrame, entity: str, order: list[str], reliability: str
     with the largest peak among the first ones is reported.
     """
     c = STABILITY[kind]
+    score = F.lit(c.jitter[0]) * logistic(F.coalesce(quantile(F.col("j"), 0.88), F.lit(0.0)), *c.jitter[1:])
+    return _steady(_deviating(frames, entity, order, reliability, value, c), entity, order[0], score, c)
+
+
+def stability_findings(frames: DataFrame, entity: str, order: list[str], reliability: str, value: str, kind: str) -> DataFrame:
+    """A row per finding of ``stability``: the first spans of deviation, each on its own."""
+    c = STABILITY[kind]
+    return _span_findings(_deviating(frames, entity, order, reliability, value, c), entity, order[0], c, kind)
+
+
+def _deviating(frames: DataFrame, entity: str, order: list[str], reliability: str, value: str, c: Stability) -> DataFrame:
+    """Rows with ``ok, n, j, off``: usable, usable rows of the entity, jitter, deviation."""
     ok = F.col(reliability) >= c.reliability
     rows = frames.select(entity, *order, ok.alias("ok"), F.when(ok, F.col(value)).otherwise(0.0).alias("x"))
     rows = rows.withColumn("s", smooth(F.col("x"), entity, order, 5))
@@ -107,8 +120,17 @@ def stability(frames: DataFrame, entity: str, order: list[str], reliability: str
     rows = rows.withColumn("j", jitter(F.col("s"), entity, order)).withColumn("med", F.median(F.when(F.col("ok"), F.col("s"))).over(whole)).withColumn("n", F.count_if("ok").over(whole))
     gap = F.col("x") - F.col("med")
     off = c.rise[0] * logistic(F.greatest(gap, F.lit(0.0)), *c.rise[1:]) + c.away[0] * logistic(F.abs(gap), *c.away[1:])
-    rows = rows.withColumn("off", F.when(F.col("ok") & (F.col("n") >= 4), clip01(off)).otherwise(0.0))
-    return _steady(rows, entity, order[0], F.lit(c.jitter[0]) * logistic(F.coalesce(quantile(F.col("j"), 0.88), F.lit(0.0)), *c.jitter[1:]), c)
+    return rows.withColumn("off", F.when(F.col("ok") & (F.col("n") >= 4), clip01(off)).otherwise(0.0))
+
+
+def _span_findings(rows: DataFrame, entity: str, place: str, c: Stability, kind: str) -> DataFrame:
+    """entity, violation_type, frame_start, frame_end and what was found, a row per span."""
+    spans = first_spans(sustained_spans(rows, entity, place, F.col("off") > FLAG, 2, 1, F.col("off")), entity, c.spans)
+    peak, (base, slope, most) = F.col("peak"), c.confidence
+    return spans.select(
+        entity, F.lit(kind).alias("violation_type"), F.col("start").alias("frame_start"), F.col("end").alias("frame_end"),
+        *_found(F.lit(True), F.when(peak < GRAVE_PEAK, "MINOR").otherwise("MAJOR"), peak, peak / c.expected, F.least(base + slope * peak, F.lit(most))),
+    )
 
 
 def _steady(rows: DataFrame, entity: str, place: str, score: Column, c: Stability) -> DataFrame:
@@ -126,6 +148,18 @@ def _steady(rows: DataFrame, entity: str, place: str, score: Column, c: Stabilit
 
 def texture(frames: DataFrame, entity: str, order: list[str], reliability: str, detail: str, asymmetry: str) -> DataFrame:
     """Fine detail and symmetry of a region that jump in time."""
+    p88 = lambda c: F.coalesce(quantile(F.col(c), 0.88), F.lit(0.0))
+    score = 0.62 * logistic(p88("ja"), 0.060, 0.022) + 0.38 * logistic(p88("jb"), 0.040, 0.016)
+    return _steady(_jumping(frames, entity, order, reliability, detail, asymmetry), entity, order[0], score, TEXTURE)
+
+
+def texture_findings(frames: DataFrame, entity: str, order: list[str], reliability: str, detail: str, asymmetry: str) -> DataFrame:
+    """A row per finding of ``texture``."""
+    return _span_findings(_jumping(frames, entity, order, reliability, detail, asymmetry), entity, order[0], TEXTURE, "FACE_TEXTURE")
+
+
+def _jumping(frames: DataFrame, entity: str, order: list[str], reliability: str, detail: str, asymmetry: str) -> DataFrame:
+    """Rows with ``ok, n, ja, jb, off``."""
     ok = F.col(reliability) >= TEXTURE_RELIABILITY
     rows = frames.select(entity, *order, ok.alias("ok"), *[F.when(ok, F.col(c)).otherwise(0.0).alias(n) for n, c in (("a", detail), ("b", asymmetry))])
     whole = Window.partitionBy(entity)
@@ -134,10 +168,7 @@ def texture(frames: DataFrame, entity: str, order: list[str], reliability: str,
         rows = rows.withColumn(f"s{n}", smooth(F.col(n), entity, order, 5))
         rows = rows.withColumn(f"j{n}", jitter(F.col(f"s{n}"), entity, order)).withColumn(f"m{n}", F.median(F.when(F.col("ok"), F.col(f"s{n}"))).over(whole))
     off = 0.54 * logistic(F.abs(F.col("a") - F.col("ma")), 0.060, 0.022) + 0.36 * logistic(F.abs(F.col("b") - F.col("mb")), 0.035, 0.015) + 0.10 * logistic(F.abs("a"), 0.24, 0.09)
-    rows = rows.withColumn("off", F.when(F.col("ok") & (F.col("n") >= 4), clip01(off)).otherwise(0.0))
-    p88 = lambda c: F.coalesce(quantile(F.col(c), 0.88), F.lit(0.0))
-    score = 0.62 * logistic(p88("ja"), 0.060, 0.022) + 0.38 * logistic(p88("jb"), 0.040, 0.016)
-    return _steady(rows, entity, order[0], score, Stability(TEXTURE_RELIABILITY, (0, 0, 0), (0, 0, 0), (0, 0, 0), 2, 0.28, (0.56, 0.16, 0.88)))
+    return rows.withColumn("off", F.when(F.col("ok") & (F.col("n") >= 4), clip01(off)).otherwise(0.0))
 
 
 def skin_tone(frames: DataFrame, entity: str, reliability: str, distance: str) -> DataFrame:

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import checks
-from .registry import query, rounded
+from ..operators import checks, detector, scoring
+from ..sources.scratch import materialize
+from . import timeline_queries
+from .registry import SQL, query, rounded, unrounded
 from .views import TL, clip, sig, timeline
 
 FS = f"""{TL}, fs AS (SELECT v, seq, 0.45::DOUBLE + 0.55::DOUBLE * ((seq * 7) % 11) / 10.0::DOUBLE AS rel, x AS a,
@@ -155,3 +157,87 @@ def check_boundary(spark: SparkSession, d: str) -> DataFrame:
     for k, c in enumerate("abc"):
         rows = rows.withColumn(f"x{k}", 9 * F.col(c))
     return rounded(checks.boundary(rows, "v", "rel", "b", ("x0", "x1", "x2"), "w", "a"))
+
+
+def _rows_sql(sql: str, kind: str, c: checks.Stability) -> str:
+    """SQL of the findings of a check, a row per span, from that of the check."""
+    head = unrounded(sql)[: unrounded(sql).index(", fs1 AS")]
+    peak = f"least({c.confidence[0]}::DOUBLE + {c.confidence[1]}::DOUBLE * peak, {c.confidence[2]}::DOUBLE)"
+    return f"SELECT v, '{kind}' AS violation_type, s0 AS frame_start, s1 AS frame_end, CASE WHEN peak < {checks.GRAVE_PEAK} THEN 'MINOR' ELSE 'MAJOR' END AS severity, peak AS measured_value, peak / {c.expected}::DOUBLE AS violation_ratio, {peak} AS confidence FROM ({head} SELECT * FROM nt WHERE nth <= {c.spans})"
+
+
+_STATIC = " UNION ALL ".join(
+    _rows_sql(SQL[name], kind, c)
+    for name, kind, c in (("check_color_drift", "COLOR_DRIFT", checks.STABILITY["COLOR_DRIFT"]), ("check_edge_stability", "EDGE_INSTABILITY", checks.STABILITY["EDGE_INSTABILITY"]), ("check_texture", "FACE_TEXTURE", checks.TEXTURE))
+)
+
+
+@query(f"SELECT v, violation_type, frame_start, frame_end, severity, round(measured_value, 6) AS measured_value, round(violation_ratio, 6) AS violation_ratio, round(confidence, 6) AS confidence FROM ({_STATIC})")
+def check_findings(spark: SparkSession, d: str) -> DataFrame:
+    """A row per finding of the checks of colour, edges and texture."""
+    rows = _signals(spark, d)
+    out = checks.stability_findings(rows, "v", ["seq"], "rel", "color", "COLOR_DRIFT").unionByName(checks.stability_findings(rows, "v", ["seq"], "rel", "b", "EDGE_INSTABILITY"))
+    return rounded(out.unionByName(checks.texture_findings(rows, "v", ["seq"], "rel", "detail", "asymmetry")))
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """Frames with a column per signal of the detector."""
+    a, b, c = (F.col(x) for x in "abc")
+    columns = {
+        "side": 0.3 * b, "light": b / 4.0, "color": a / 8.0, "detail": c / 4.0, "asymmetry": b / 6.0, "distance": 5 * b, "warp": a / 4.0, "x0": 9 * a, "x1": 9 * b, "x2": 9 * c,
+        "sharp": 10.0 + b, "back": 8.0 + a, "kurt": 30.0 + 20.0 * a, "wave": 0.6 + b / 10.0, "block": 0.3 + a / 10.0, "high": 5.0 + a, "back_high": 5.0 + b,
+    }
+    return frames(spark, d).withColumns(columns)
+
+
+SIGNALS = detector.Signals(
+    "rel", "a", "side", "c", ("a", "c", "b"), ("b", "a", "c"), "light", "color", "b", "detail", "asymmetry", "distance", "a", "b", "b", ("x0", "x1", "x2"), "warp", "a", "sharp", "back", "kurt", "wave", "block", "high", "back_high"
+)
+
+
+def _detection(spark: SparkSession, d: str) -> detector.Detection:
+    """The detector over timelines as frames; what is said of their motion is level 1."""
+    motion = timeline_queries.motion_levels(spark, d)
+    return detector.detect(materialize(_signals(spark, d), "frames"), motion, "v", ["seq"], SIGNALS)
+
+
+_CV = "stddev_pop({0}) / (avg({0}) + 1e-6)"
+_LEVELS = (
+    ", ".join(f"{name} AS ({unrounded(SQL[q])})" for name, q in (("ml", "l1_score"), ("gr", "check_gravity"), ("rb", "check_rigid_body"), ("li", "check_light_source"), ("sk", "check_skin_tone"), ("de", "check_decoupling"), ("co", "check_color_drift"), ("ed", "check_edge_stability"), ("te", "check_texture"), ("bo", "check_boundary")))
+    + f", {FS}, q0 AS (SELECT v, seq, rel, 10.0::DOUBLE + b AS sharp, 8.0::DOUBLE + a AS back, 30.0::DOUBLE + 20.0::DOUBLE * a AS kurt, 0.6::DOUBLE + b / 10.0::DOUBLE AS wave, 0.3::DOUBLE + a / 10.0::DOUBLE AS block, 5.0::DOUBLE + a AS high, 5.0::DOUBLE + b AS bhigh FROM fs), "
+    "q1 AS (SELECT q0.*, avg(sharp) OVER w AS ms, avg(seq::DOUBLE) OVER w AS mq, coalesce(covar_pop(seq::DOUBLE, sharp) OVER w / nullif(var_pop(seq::DOUBLE) OVER w, 0), 0) AS slope FROM q0 WINDOW w AS (PARTITION BY v)), "
+    f"fq AS (SELECT v, avg(rel) AS reliability, avg((rel >= 0.60)::INT) AS detected, avg((rel >= 0.50)::INT) AS frequency_support, {_CV.format('kurt')} AS lap_kurtosis_cv, avg(kurt) AS lap_kurtosis_mean, avg(wave) AS wavelet_detail_ratio, {_CV.format('wave')} AS wavelet_detail_ratio_cv, "
+    f"{_CV.format('sharp')} AS lap_var_temporal_cv, avg(sharp) / (avg(back) + 1e-6) AS lap_var_ratio, avg(block) AS block_lap_consistency, avg(high) / (avg(bhigh) + 1e-6) AS dct_hf_ratio, CASE WHEN count(*) >= 6 THEN stddev_pop(sharp - (ms + slope * (seq - mq))) / (avg(sharp) + 1e-6) ELSE 0 END AS lap_trend_residual_std FROM q1 GROUP BY v), "
+    "lv AS (SELECT fq.*, coalesce(ml.l1, 0) AS l1, coalesce(has_motion, false) AS has_motion, gr.severity AS gs, rb.severity AS rs, rb.support AS neck, li.severity AS ls, sk.severity AS ss, de.severity AS ds, gr.score AS g0, rb.score AS r0, li.score AS l0, sk.score AS s0, de.score AS d0, de.support AS scene, li.support AS lsup, sk.support AS ssup, "
+    "co.score AS c0, ed.score AS e0, te.score AS t0, seam_score AS seam, flicker_score AS color, warp_score AS warp, edge_score AS edge, (seam_support + flicker_support + warp_support + edge_support) / 4.0::DOUBLE AS bsup "
+    "FROM fq LEFT JOIN ml USING (v) JOIN gr USING (v) JOIN rb USING (v) JOIN li USING (v) JOIN sk USING (v) JOIN de USING (v) JOIN co USING (v) JOIN ed USING (v) JOIN te USING (v) JOIN bo USING (v)), "
+    f"p2 AS (SELECT *, {sig('greatest(r0, d0)', 0.52, 0.12)} * least(1.0, lsup / 0.40) AS lg, {sig('greatest(r0, d0)', 0.50, 0.14)} * least(1.0, ssup / 0.40) AS sg FROM lv), "
+    f"p3 AS (SELECT *, {clip('0.05 * g0 + 0.52 * r0 * (CASE WHEN neck > 0 THEN least(1.0, neck / 0.35) ELSE 0 END) + 0.06 * l0 * lg + 0.12 * s0 * sg + 0.25 * d0 * (CASE WHEN scene > 0 THEN least(1.0, scene / 0.35) ELSE 0 END)')} AS l2, "
+    f"{clip('0.12 * c0 + 0.18 * e0 + 0.70 * t0')} * (CASE WHEN reliability < 0.75 THEN greatest(0.35, reliability / 0.75) ELSE 1.0 END) AS l3, (seam >= 0.20)::INT + (color >= 0.15)::INT + (warp >= 0.40)::INT + (edge >= 0.15)::INT AS n, greatest(seam, color, edge) AS o FROM p2), "
+    "p4 AS (SELECT *, 0.46 * warp * (0.40 + 0.60 * o) + 0.20 * color + 0.18 * edge + 0.16 * seam AS z FROM p3), "
+    "p5 AS (SELECT *, (CASE WHEN n >= 3 THEN z + 0.04 * least(warp, o) WHEN n = 2 THEN z + 0.03 * least(warp, o) ELSE z * 0.88 END) + (CASE WHEN warp > 0.44 AND color < 0.10 AND edge < 0.10 AND seam < 0.18 THEN -0.06 ELSE 0 END) + (CASE WHEN seam > 0.55 AND warp < 0.28 AND color < 0.14 AND edge < 0.14 THEN -0.07 ELSE 0 END) "
+    "+ (CASE WHEN warp > 0.50 AND seam > 0.20 THEN 0.03 ELSE 0 END) + (CASE WHEN edge > 0.22 AND color > 0.15 AND (warp > 0.34 OR seam > 0.24) THEN 0.03 ELSE 0 END) + (CASE WHEN warp > 0.58 AND o > 0.18 THEN 0.02 ELSE 0 END) AS y FROM p4), "
+    f"p6 AS (SELECT *, {clip(clip('y') + ' * (CASE WHEN bsup > 0 THEN least(1.0, bsup / 0.35) ELSE 0 END)')} * (CASE WHEN bsup < 0.22 THEN 0.45 + 0.55 * least(1.0, bsup / 0.22) ELSE 1.0 END) AS l4, "
+    + " + ".join(f"(CASE WHEN {n} > 0 THEN {w}::DOUBLE * {sig(n, m, s)} ELSE 0 END)" for n, (w, m, s) in scoring.FREQUENCY.items())
+    + " AS f0, " + " + ".join(f"(CASE WHEN {n} > 0 THEN {w}::DOUBLE ELSE 0 END)" for n, (w, _, _) in scoring.FREQUENCY.items()) + " AS f1 FROM p5), "
+    f"p7 AS (SELECT *, CASE WHEN f1 > 0 THEN {clip('f0 / greatest(f1, 1e-6)')} * least(1.0, frequency_support / 0.40) ELSE 0 END AS l5, {clip('greatest(least(warp, greatest(color, edge)), least(seam, greatest(color, edge)), 0.75 * least(warp, seam))')} AS cor FROM p6), "
+    f"p8 AS (SELECT *, {clip('0.72 * l5 + 0.10 * l4 + 0.10 * (l5 * ' + clip('warp') + ') + 0.05 * l1 + 0.03 * cor + (CASE WHEN l5 > 0.55 AND warp > 0.35 THEN 0.03 ELSE 0 END) + (CASE WHEN lap_var_ratio > 1.45 AND lap_var_temporal_cv > 0.165 THEN 0.02 ELSE 0 END) - (CASE WHEN frequency_support < 0.35 THEN 0.05 ELSE 0 END) - (CASE WHEN reliability < 0.25 THEN 0.03 ELSE 0 END)')} AS score FROM p7), "
+    f"st AS ({_STATIC}), fd AS (SELECT v, 'FACE_MOTION' AS k, 'MAJOR' AS severity FROM p8 WHERE has_motion UNION ALL SELECT v, 'GRAVITY', gs FROM p8 WHERE gs IS NOT NULL UNION ALL SELECT v, 'RIGID_BODY', rs FROM p8 WHERE rs IS NOT NULL UNION ALL SELECT v, 'LIGHT_SOURCE', ls FROM p8 WHERE ls IS NOT NULL AND lg >= 0.45 "
+    "UNION ALL SELECT v, 'SKIN_TONE_MISMATCH', ss FROM p8 WHERE ss IS NOT NULL AND sg >= 0.45 UNION ALL SELECT v, 'FACE_SCENE_DECOUPLING', ds FROM p8 WHERE ds IS NOT NULL "
+    "UNION ALL SELECT st.v, violation_type, CASE WHEN has_motion OR rs IS NOT NULL THEN st.severity ELSE 'MINOR' END FROM st JOIN p8 ON st.v = p8.v WHERE has_motion OR rs IS NOT NULL OR (violation_type = 'FACE_TEXTURE' AND st.confidence >= 0.82 AND reliability >= 0.80) "
+    + " ".join(f"UNION ALL SELECT v, '{kind}', CASE WHEN {x} > {major} THEN 'MAJOR' ELSE 'MINOR' END FROM p8 WHERE {x} > {limit}" + (" AND n >= 2" if needs else "") for kind, x, limit, needs, major, *_ in scoring.BOUNDARY_RULES)
+    + "), tp AS (SELECT v, list_sort(list(DISTINCT k)) AS t, count(*) AS n_findings, count(*) FILTER (severity = 'MAJOR') AS n_major, count(*) FILTER (severity = 'MINOR') AS n_minor FROM fd GROUP BY v), "
+    "p9 AS (SELECT p8.* EXCLUDE (n), coalesce(t, []) AS t, coalesce(n_findings, 0) AS n_findings, coalesce(n_major, 0) AS n_major, coalesce(n_minor, 0) AS n_minor FROM p8 LEFT JOIN tp ON p8.v = tp.v), "
+    "pa AS (SELECT *, CASE WHEN detected < 0.22 AND reliability < 0.45 THEN 'weak_face_support' WHEN reliability < 0.35 THEN 'unreliable_face_roi' WHEN neck < 0.14 AND bsup < 0.14 THEN 'insufficient_face_context' "
+    f"WHEN NOT list_has_any(t, {list(scoring.DYNAMIC_TYPES)}) AND NOT list_has_any(t, {list(scoring.ARTIFACT_TYPES)}) AND greatest(l1, l2, l4) < 0.18 THEN 'unsupported_open_world_content' ELSE '' END AS reason FROM p9)"
+)
+
+
+@query(
+    f"WITH {_LEVELS} SELECT v, " + ", ".join(f"round({x}, 6) AS {x}" for x in ("l1", "l2", "l3", "l4", "l5", "reliability", "detected")) + ", round(bsup, 6) AS boundary_support, array_to_string(t, ',') AS types, n_findings, n_major, n_minor, round(score, 6) AS score, reason, "
+    "CASE WHEN reason <> '' THEN 'INCONCLUSIVE' WHEN score >= 0.42 THEN 'AI_GENERATED' ELSE 'AUTHENTIC' END AS verdict, CASE WHEN abs(score - 0.42) > 0.20 THEN 'HIGH' WHEN abs(score - 0.42) > 0.10 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM pa"
+)
+def detector_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """From frames through all checks, levels and findings to a verdict."""
+    out = rounded(_detection(spark, d).verdicts)
+    return out.withColumn("types", F.concat_ws(",", "types")).drop("note")

@@ -254,10 +254,15 @@ def frame_anomaly_l1(spark: SparkSession, d: str) -> DataFrame:
 )
 def l1_score(spark: SparkSession, d: str) -> DataFrame:
     """Motion level of an entity, with a bonus for sustained motion."""
+    return rounded(motion_levels(spark, d))
+
+
+def motion_levels(spark: SparkSession, d: str) -> DataFrame:
+    """v, l1, has_motion."""
     mo = motion(spark, d)
     held = spans.sustained_spans(mo, "v", "seq", F.greatest("mm", "cp") > 0.94, 2, 1).select("v").distinct().withColumn("has_motion", F.lit(True))
     out = mo.groupBy("v").agg(F.avg("anomaly").alias("m")).join(held, "v", "left").withColumn("has_motion", F.coalesce("has_motion", F.lit(False)))
-    return rounded(out.select("v", scoring.motion_score(F.col("m"), F.col("has_motion")).alias("l1"), "has_motion"))
+    return out.select("v", scoring.motion_score(F.col("m"), F.col("has_motion")).alias("l1"), "has_motion")
 
 
 #: Signals of an entity in [0, 1] that stand in for the checks of the levels.
