@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import check_queries, evaluation_queries, patch_queries, region_queries, timeline_queries  # noqa: F401  (they register themselves)
+from . import check_queries, evaluation_queries, image_queries, patch_queries, region_queries, timeline_queries  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "entity_anomaly_verdict"
