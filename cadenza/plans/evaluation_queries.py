@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
-from ..operators import ablation, evidence, graph, metrics, models, splits, thresholds
-from ..sources import ingest, sinks
+from ..operators import ablation, evidence, graph, metrics, models, scoring, splits, thresholds
+from ..sources import ingest, reports, sinks
 from .registry import query, rounded
 from .views import EV, LV, SC, TL, leveled, scored, table, timeline, vectors
 
@@ -545,7 +547,95 @@ def model_selection(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.selected(models.compare(rows, "y", {"length": "s", "short": "t"}), ["balanced_accuracy", "auc"]))
 
 
-@query()
+def _drawn(name: str, key: str = "doc_id", seed: int = 42) -> str:
+    """SQL of a normal number made of an MD5."""
+    digest = f"md5(concat_ws(':', CAST({key} AS VARCHAR), '{name}', '{seed}'))"
+    u = lambda at: f"((CAST('0x' || substr({digest}, {at}, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / {float(1 << 48)!r}::DOUBLE)"
+    return f"sqrt(-2.0::DOUBLE * ln({u(1)})) * cos({2.0 * math.pi!r}::DOUBLE * {u(13)})"
+
+
+def _synthetic(means: dict[str, tuple[float, float]]) -> str:
+    return ", ".join(f"least(greatest((CASE WHEN quality = 1 THEN {high!r}::DOUBLE ELSE {low!r}::DOUBLE END) + {_drawn(n)} * 0.15::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) AS {n}" for n, (low, high) in means.items())
+
+
+_MEANS = {f"f{k}": (0.4, 0.5 + 0.01 * k) for k in range(16)}
+
+
+@query(f"WITH s AS (SELECT doc_id, quality, {_synthetic(_MEANS)} FROM labels) SELECT doc_id, quality, " + ", ".join(f"round({n}, 6) AS {n}" for n in _MEANS) + " FROM s")
 def synthetic_features(spark: SparkSession, d: str) -> DataFrame:
-    """A synthetic feature table."""
-    return ingest.synthetic_features(spark, 400, {f"f{k}": (0.4, 0.5 + 0.01 * k) for k in range(16)})
+    """Synthetic features for each labelled document, drawn by its id."""
+    return rounded(ingest.synthetic_for(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality", _MEANS))
+
+
+_TCS = " + ".join(["0.0::DOUBLE", *(f"{w}::DOUBLE * {n}" for n, w in ingest.LEVEL_WEIGHTS.items())])
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, quality, {_synthetic(ingest.SYNTHETIC)} FROM labels), t AS (SELECT *, {_TCS} AS tcs, 'synthetic_' || lpad(CAST(doc_id AS VARCHAR), greatest(4, length(CAST(doc_id AS VARCHAR)))::INT, '0') AS name FROM s) "
+    "SELECT doc_id, name || '.mp4' AS filename, '' AS path, quality AS label, CASE WHEN quality = 1 THEN 'synthetic_ai' ELSE 'synthetic_auth' END AS category, name AS source_group, 'synthetic-smoke' AS track, "
+    "CASE WHEN tcs >= 0.39 THEN 'AI_GENERATED' ELSE 'AUTHENTIC' END AS verdict, round(tcs, 5) AS tcs_score, CASE WHEN abs(tcs - 0.39) > 0.20 THEN 'HIGH' WHEN abs(tcs - 0.39) > 0.10 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, "
+    + ", ".join(f"round({n}, 5) AS {n}" for n in ingest.SYNTHETIC) + " FROM t"
+)
+def synthetic_results(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic result rows with score and verdict for each labelled document."""
+    rows = ingest.synthetic_for(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality", ingest.SYNTHETIC)
+    return ingest.synthetic_results(rows, "doc_id", "quality", scoring.SMOKE_THRESHOLD)
+
+
+@query(
+    f"WITH {SC}, c AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE y = 1) AS positives, count(*) FILTER (WHERE y = 0) AS negatives, {_confusion('s >= 0.1')} FROM sc GROUP BY source), r AS (SELECT *, {RATES} FROM c), "
+    f"a AS (SELECT source, CASE WHEN min(y) = max(y) THEN 0 ELSE a.auc END AS auc FROM ({_auc('sc', 'source')}) a JOIN sc USING (source) GROUP BY source, a.auc) SELECT r.source, n, positives, negatives, round(auc, 6) AS auc, tp, tn, fp, fn, {_R} FROM r JOIN a ON r.source = a.source"
+)
+def generalization_report(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of each source as if it were a data set of its own."""
+    return rounded(reports.generalization(scored(spark, d), "source", "y", "s", CUT))
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows of labelled documents: some have a learned prediction, some an open one."""
+    c, s = F.col, F.col("s")
+    verdict = lambda t: F.when(s >= t, "AI_GENERATED").otherwise("AUTHENTIC")
+    learned, open_ = c("doc_id") % 2 == 0, c("doc_id") % 3 == 0
+    return scored(spark, d).select(
+        "doc_id", F.concat("source", F.lit(".mp4")).alias("file"), F.concat(F.lit("/"), "source").alias("path"), c("lang").alias("track"), F.lit("v1").alias("analysis_version"), verdict(0.1).alias("verdict"), F.lit("LOW").alias("confidence"),
+        F.when(learned, "bundle").otherwise("core").alias("decision_mode"), (s / 1.7).alias("decision_score"), F.lit(0.1).alias("decision_threshold"), verdict(0.2).alias("core_detector_verdict"), F.lit("HIGH").alias("core_detector_confidence"), (s / 3.1).alias("core_tcs_score"), F.lit(0.2).alias("core_threshold"),
+        F.when(learned, c("lang")).alias("bundle_track"), F.when(learned, "mlp").alias("bundle_model"), F.when(learned, s / 7.0).alias("bundle_probability"), F.when(learned, 0.5).alias("bundle_threshold"),
+        F.when(open_, "gbm").alias("open_model"), F.when(open_, s / 9.0).alias("open_probability"), F.when(open_, 0.25).alias("open_threshold"), F.lit("").alias("abstained_reason"), (s / 11.0).alias("l1_flow_score"), c("n_chars").alias("violations_count"),
+        (c("n_chars") / 7.0).alias("duration"), F.lit(25.0).alias("fps"), F.array(c("doc_id"), c("n_chars")).alias("suspicious_frames"),
+    )
+
+
+def _digits(x: str, n: int) -> str:
+    return f"coalesce(CAST(round({x}, {n}) AS VARCHAR), '')"
+
+
+_BATCH = {
+    "file": "source || '.mp4'", "path": "'/' || source", "track": "lang", "analysis_version": "'v1'", "verdict": "CASE WHEN s >= 0.1 THEN 'AI_GENERATED' ELSE 'AUTHENTIC' END", "confidence": "'LOW'", "decision_mode": "CASE WHEN doc_id % 2 = 0 THEN 'bundle' ELSE 'core' END",
+    "core_detector_verdict": "CASE WHEN s >= 0.2 THEN 'AI_GENERATED' ELSE 'AUTHENTIC' END", "core_detector_confidence": "'HIGH'", "decision_threshold": "'0.1'", "core_threshold": "'0.2'", "bundle_track": "CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END", "bundle_model": "CASE WHEN doc_id % 2 = 0 THEN 'mlp' ELSE '' END",
+    "bundle_threshold": "CASE WHEN doc_id % 2 = 0 THEN '0.5' ELSE '' END", "open_model": "CASE WHEN doc_id % 3 = 0 THEN 'gbm' ELSE '' END", "open_threshold": "CASE WHEN doc_id % 3 = 0 THEN '0.25' ELSE '' END", "violations_count": "CAST(n_chars AS VARCHAR)", "fps": "'25.0'", "suspicious_frames": "doc_id || ',' || n_chars",
+}
+
+
+@query(f"WITH {SC} SELECT " + ", ".join(f"{_BATCH.get(n, chr(39) * 2)} AS {n}" for n in reports.BATCH if n not in ("decision_score", "core_tcs_score", "bundle_probability", "open_probability", "l1_flow_score", "duration")) + f", doc_id, round(s / 1.7::DOUBLE, 4) AS decision_score, round(s / 3.1::DOUBLE, 4) AS core_tcs_score, round(CASE WHEN doc_id % 2 = 0 THEN s / 7.0::DOUBLE END, 4) AS bundle_probability, round(CASE WHEN doc_id % 3 = 0 THEN s / 9.0::DOUBLE END, 4) AS open_probability, round(s / 11.0::DOUBLE, 4) AS l1_flow_score, round(n_chars / 7.0::DOUBLE, 2) AS duration FROM sc")
+def batch_table(spark: SparkSession, d: str) -> DataFrame:
+    """The 45 columns of a batch table; numbers as numbers again, for comparison."""
+    rows = _results(spark, d)
+    out = reports.batch_rows(rows.withColumn("comparison_note", F.col("doc_id").cast("string")))
+    numbers = ("decision_score", "core_tcs_score", "bundle_probability", "open_probability", "l1_flow_score", "duration")
+    out = out.withColumn("doc_id", F.col("comparison_note").cast("long")).withColumn("comparison_note", F.lit(""))
+    return out.withColumns({n: F.col(n).try_cast("double") for n in numbers})
+
+
+@query(
+    f"WITH {SC} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'bundle' ELSE 'core' END AS mode, round(s / 1.7::DOUBLE, 4) AS score, round(s / 3.1::DOUBLE, 4) AS tcs_score, round(CASE WHEN doc_id % 2 = 0 THEN s / 7.0::DOUBLE END, 4) AS learned, round(CASE WHEN doc_id % 3 = 0 THEN s / 9.0::DOUBLE END, 4) AS open, doc_id % 2 = 0 AS has_learned, doc_id % 3 = 0 AS has_open FROM sc"
+)
+def decision_json(spark: SparkSession, d: str) -> DataFrame:
+    """Decision texts of results, read back."""
+    rows = _results(spark, d).select("doc_id", reports.decision_text(["file", "verdict", "track", "abstained_reason"]).alias("t"))
+    kind = "file string, verdict string, decision struct<mode:string,score:double,threshold:double,confidence:string>, core_detector struct<verdict:string,confidence:string,tcs_score:double,threshold:double>, learned_prediction struct<track:string,model:string,probability:double,threshold:double>, open_prediction struct<model:string,probability:double,threshold:double>"
+    t = F.from_json("t", kind)
+    rows = rows.withColumn("j", t)
+    return rows.select(
+        "doc_id", "j.decision.mode", "j.decision.score", "j.core_detector.tcs_score", F.col("j.learned_prediction.probability").alias("learned"), F.col("j.open_prediction.probability").alias("open"),
+        F.col("t").contains('"learned_prediction"').alias("has_learned"), F.col("t").contains('"open_prediction"').alias("has_open"),
+    )

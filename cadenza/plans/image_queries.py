@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import boxes
+from ..functions import boxes, colors
 from ..operators import images
 from .registry import query, rounded
 from .views import EV, vectors
@@ -83,3 +83,28 @@ def box_propagation(spark: SparkSession, d: str) -> DataFrame:
     pixels = vectors(spark, d).select("vec_id", box.alias("b"), "e").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(63))))
     pixels = pixels.select("vec_id", "b", (F.col("k") % 8).alias("x"), F.floor(F.col("k") / 8).alias("y"), (20 * F.get("e", F.col("k"))).alias("fx"), (20 * F.get("e", (F.col("k") * 5) % 64)).alias("fy"))
     return rounded(images.propagated_boxes(pixels, "vec_id", "x", "y", "fx", "fy", "b", 8, 8))
+
+
+_BGR = {"b": "floor(least(greatest(e[k + 1] * 400 + 128, 0), 255))", "g": "floor(least(greatest(e[(k * 5) % 64 + 1] * 400 + 128, 0), 255))", "r": "floor(least(greatest(e[(k * 11) % 64 + 1] * 400 + 128, 0), 255))"}
+
+
+def _lab_sql() -> str:
+    lin = {c: f"(CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)" for c in "rgb"}
+    ts = [f"({w[0]}::DOUBLE * {lin['r']} + {w[1]}::DOUBLE * {lin['g']} + {w[2]}::DOUBLE * {lin['b']}) / {white}::DOUBLE" for w, white in zip(colors.XYZ, colors.WHITE, strict=True)]
+    return ", ".join(f"CASE WHEN {t} > 0.008856 THEN pow({t}, {1.0 / 3.0!r}::DOUBLE) ELSE 7.787::DOUBLE * ({t}) + {16.0 / 116.0!r}::DOUBLE END AS {n}" for n, t in zip("xyz", ts, strict=True))
+
+
+@query(
+    f"WITH {EV}, px AS (SELECT vec_id, " + ", ".join(f"{x}::DOUBLE AS {n}" for n, x in _BGR.items()) + f" FROM ev, range(0, 64) q(k)), cs AS (SELECT vec_id, b, r, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS gray, {_lab_sql()} FROM px) "
+    "SELECT vec_id, round(avg(gray), 6) AS gray, round(avg((r - gray) * 0.713::DOUBLE + 128.0::DOUBLE), 6) AS cr, round(avg((b - gray) * 0.564::DOUBLE + 128.0::DOUBLE), 6) AS cb, "
+    "round(avg((116.0::DOUBLE * y - 16.0::DOUBLE) * 2.55::DOUBLE), 6) AS l, round(avg(500.0::DOUBLE * (x - y) + 128.0::DOUBLE), 6) AS a, round(avg(200.0::DOUBLE * (y - z) + 128.0::DOUBLE), 6) AS b FROM cs GROUP BY vec_id"
+)
+def color_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of each patch in grey, YCrCb and Lab."""
+    level = lambda k: F.floor(F.least(F.greatest(F.get("e", k) * 400 + 128, F.lit(0)), F.lit(255))).cast("double")
+    k = F.col("k")
+    rows = vectors(spark, d).select("vec_id", "e", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).select("vec_id", level(k).alias("blue"), level((k * 5) % 64).alias("green"), level((k * 11) % 64).alias("red"))
+    bgr = [F.col(c) for c in ("blue", "green", "red")]
+    y, cr, cb = colors.ycrcb(*bgr)
+    values = dict(zip(("gray", "cr", "cb", "l", "a", "b"), (y, cr, cb, *colors.lab(*bgr)), strict=True))
+    return rounded(rows.groupBy("vec_id").agg(*[F.avg(x).alias(n) for n, x in values.items()]))

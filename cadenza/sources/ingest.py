@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -34,11 +35,10 @@ def media_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
 
 
 def labelled_files(files: DataFrame) -> DataFrame:
-    """Adds filename, label and category by folder: ``ai`` is 1, ``authentic`` is 0, else a
-    path part that is one of the positive tokens makes it 1."""
-    parts = F.split(F.lower("path"), r"[/_.\- ]+")
+    """Adds filename, label and category by folder: ``ai`` is 1, ``authentic`` is 0, else one of
+    the positive tokens anywhere in the lower-cased path makes it 1."""
     folder = F.lower(F.try_element_at(F.split("path", "/"), F.lit(-2)))
-    token = F.arrays_overlap(parts, F.array(*[F.lit(t) for t in POSITIVE_TOKENS]))
+    token = F.lower("path").rlike("|".join(POSITIVE_TOKENS))
     label = F.when(folder == "ai", 1).when(folder == "authentic", 0).when(token, 1).otherwise(0)
     out = files.withColumn("filename", F.element_at(F.split("path", "/"), -1)).withColumn("label", label)
     return out.withColumn("category", category(F.col("path"), F.col("label")))
@@ -134,3 +134,41 @@ def synthetic_features(spark: SparkSession, rows: int, means: dict[str, tuple[fl
     for k, (name, (low, high)) in enumerate(means.items()):
         out = out.withColumn(name, clip01(F.when(F.col("label") == 1, high).otherwise(low) + F.randn(seed + k) * spread))
     return out
+
+
+def drawn(key: Column, name: str, seed: int) -> Column:
+    """A standard normal number made of the MD5 of a key, a name and a seed."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(name), F.lit(str(seed))))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(F.lit(2.0 * math.pi) * uniform(13))
+
+
+def synthetic_for(rows: DataFrame, key: str, label: str, means: dict[str, tuple[float, float]], spread: float = 0.15, seed: int = 42) -> DataFrame:
+    """Given rows with normal features held in [0, 1] around the mean of their class; the same
+    key always draws the same numbers, on any cluster."""
+    features = {n: clip01(F.when(F.col(label) == 1, high).otherwise(low) + drawn(F.col(key), n, seed) * spread) for n, (low, high) in means.items()}
+    return rows.withColumns(features)
+
+
+#: Means of either class of the synthetic features, and weights of the levels.
+SYNTHETIC = {
+    n: (0.30 + 0.01 * k, 0.55 + 0.01 * k)
+    for k, n in enumerate(
+        ["flow_score", "mean_divergence", "acceleration_anomaly", "flicker_score", "physics_score", "gravity_consistency", "rigid_body_score", "shadow_consistency", "semantic_score", "color_drift", "edge_stability", "texture_consistency", "ctcg_score", "ctcg_phase_coherence", "ctcg_ar_residual", "ctcg_spectral_anomaly", "ctcg_micro_jitter"]
+    )
+}
+LEVEL_WEIGHTS = {"flow_score": 0.28, "physics_score": 0.26, "semantic_score": 0.16, "ctcg_score": 0.30}
+
+
+def synthetic_results(features: DataFrame, key: str, label: str, threshold: float) -> DataFrame:
+    """Synthetic features with names, score, verdict, confidence and rounded values of a result row."""
+    name = F.concat(F.lit("synthetic_"), F.lpad(F.col(key).cast("string"), 4, "0"))
+    score = F.lit(0.0)
+    for feature, weight in LEVEL_WEIGHTS.items():
+        score = score + F.lit(weight) * F.col(feature)
+    gap = F.abs(score - threshold)
+    identity = [
+        F.concat(name, F.lit(".mp4")).alias("filename"), F.lit("").alias("path"), F.col(label).alias("label"), F.when(F.col(label) == 1, "synthetic_ai").otherwise("synthetic_auth").alias("category"), name.alias("source_group"), F.lit("synthetic-smoke").alias("track"),
+        F.when(score >= threshold, "AI_GENERATED").otherwise("AUTHENTIC").alias("verdict"), F.round(score, 5).alias("tcs_score"), F.when(gap > 0.20, "HIGH").when(gap > 0.10, "MEDIUM").otherwise("LOW").alias("confidence"),
+    ]
+    return features.select(key, *identity, *[F.round(n, 5).alias(n) for n in SYNTHETIC])
