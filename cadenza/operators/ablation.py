@@ -101,15 +101,21 @@ def level_intervals(df: DataFrame, key: str, label: str, levels: list[Column], c
 def leave_one_out(df: DataFrame, label: str, features: list[list[str]], weights: tuple[float, ...]) -> DataFrame:
     """AUC without each feature in turn; a level is the mean of its features, a missing one counts 0."""
 
-    def score(without: str | None) -> Column:
-        means = []
+    names = [c for group in features for c in group]
+
+    def score(without: Column) -> Column:
+        """The score without the feature of a number; one expression serves all numbers."""
+        means, first = [], 0
         for group in features:
-            kept = [F.lit(0.0), *(F.col(c) for c in group if c != without)]
-            means.append(sum(kept[1:], kept[0]) / F.lit(float(len(group))))
+            left = F.transform(F.array(*[F.col(c) for c in group]), lambda x, k, first=first: F.when(k + first == without, 0.0).otherwise(x))
+            means.append(F.aggregate(left, F.lit(0.0), lambda total, x: total + x) / F.lit(float(len(group))))
+            first += len(group)
         return weighted(means, weights)
 
-    names = [c for group in features for c in group]
-    out = auc(configured(df, label, {"none": score(None)} | {c: score(c) for c in names}), "y", "s", ["config"])
+    told = F.array(*[F.lit(n) for n in ("none", *names)])
+    each = F.transform(F.sequence(F.lit(-1), F.lit(len(names) - 1)), lambda k: F.struct(F.get(told, k + 1).alias("config"), score(k).alias("s")))
+    rows = df.select(F.col(label).alias("y"), F.explode(each).alias("c")).select("c.config", "y", "c.s")
+    out = auc(rows, "y", "s", ["config"])
     full = Window.partitionBy()
     base = F.max(F.when(F.col("config") == "none", F.col("auc"))).over(full)
     return out.withColumn("drop", base - F.col("auc"))

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
-from ..operators import ablation, evidence, graph, metrics, models, scoring, splits, thresholds
+from ..operators import ablation, evidence, graph, metrics, models, scoring, splits, thresholds, training
 from ..sources import ingest, reports, sinks
 from .registry import query, rounded
-from .views import EV, LV, SC, TL, leveled, scored, table, timeline, vectors
+from .views import EV, LEVEL_FEATURES, LV, SC, TL, leveled, scored, table, timeline, vectors
 
 CUT = 0.1
 
@@ -176,7 +176,7 @@ def _threshold(df: DataFrame) -> DataFrame:
 
 
 def _weighted(ws) -> str:
-    return " + ".join(f"{float(w)}::DOUBLE * f{4 * k}" for k, w in enumerate(ws))
+    return " + ".join(f"{float(w)}::DOUBLE * l{k}" for k, w in enumerate(ws))
 
 
 def _configs(scores: dict[str, str]) -> str:
@@ -195,7 +195,7 @@ _EVAL = (
 def level_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Each weighting of the levels."""
     lv = leveled(spark, d)
-    return rounded(ablation.level_ablation(lv, "y", [F.col(f"f{k}") for k in (0, 4, 8, 12)]))
+    return rounded(ablation.level_ablation(lv, "y", [F.col(f"l{k}") for k in range(4)]))
 
 
 _KEYED = ", ".join([LV, "cf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS config, vec_id, y, {_weighted(w)} AS s FROM lv" for n, w in ablation.LEVELS.items()) + ")"])
@@ -203,14 +203,14 @@ _KEYED = ", ".join([LV, "cf AS (" + " UNION ALL ".join(f"SELECT '{n}' AS config,
 
 def level_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Interval of the AUC of each weighting of the levels."""
-    return rounded(ablation.level_intervals(leveled(spark, d), "vec_id", "y", [F.col(f"f{k}") for k in (0, 4, 8, 12)]))
+    return rounded(ablation.level_intervals(leveled(spark, d), "vec_id", "y", [F.col(f"l{k}") for k in range(4)]))
 
 
-_GROUPS = [[f"f{k + j}" for j in range(4)] for k in (0, 4, 8, 12)]
+_GROUPS = LEVEL_FEATURES
 
 
 def _masked(without: str | None) -> str:
-    return " + ".join(f"{w}::DOUBLE * ((0.0::DOUBLE + " + " + ".join(c for c in g if c != without) + ") / 4.0::DOUBLE)" for w, g in zip(ablation.DEFAULT, _GROUPS, strict=True))
+    return " + ".join(f"{w}::DOUBLE * ((0.0::DOUBLE + " + " + ".join(c for c in g if c != without) + ") / 16.0::DOUBLE)" for w, g in zip(ablation.DEFAULT, _GROUPS, strict=True))
 
 
 @query(f"WITH {LV}, {_configs({'none': _masked(None)} | {c: _masked(c) for g in _GROUPS for c in g})}, au AS ({_auc('cf', 'config')}) SELECT config, round(auc, 6) AS auc, round((SELECT auc FROM au WHERE config = 'none') - auc, 6) AS \"drop\" FROM au")
@@ -218,9 +218,9 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ablation.leave_one_out(leveled(spark, d), "y", _GROUPS, ablation.DEFAULT))
 
 
-@query(f"WITH {LV}, {_configs({f'f{k}': f'f{k}' for k in range(16)})} SELECT config, round(auc, 6) AS auc FROM ({_auc('cf', 'config')})")
+@query(f"WITH {LV}, {_configs({f'f{k}': f'f{k}' for k in range(64)})} SELECT config, round(auc, 6) AS auc FROM ({_auc('cf', 'config')})")
 def submodule_auc(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ablation.single_features(leveled(spark, d), "y", [f"f{k}" for k in range(16)]))
+    return rounded(ablation.single_features(leveled(spark, d), "y", [f"f{k}" for k in range(64)]))
 
 
 @query(
@@ -230,7 +230,7 @@ def submodule_auc(spark: SparkSession, d: str) -> DataFrame:
 def weight_grid(spark: SparkSession, d: str) -> DataFrame:
     """The best weights of the simplex."""
     lv = leveled(spark, d)
-    return rounded(ablation.weight_search(lv, "y", [F.col(f"f{k}") for k in (0, 4, 8, 12)], 5))
+    return rounded(ablation.weight_search(lv, "y", [F.col(f"l{k}") for k in range(4)], 5))
 
 
 def _resampled(rows: str, key: str, config: str = "") -> str:
@@ -515,32 +515,52 @@ def _report(df: DataFrame, name: str) -> DataFrame:
     return rounded(metrics.auc(df, "y", "probability").withColumn("model", F.lit(name)).withColumn("rows", F.lit(df.count())))
 
 
+_FEATURES = [f"f{k}" for k in range(64)]
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to fit, three of four by a hash of the id, and the others, on which fits are judged."""
+    rows = leveled(spark, d).withColumn("__out", F.crc32(F.col("vec_id").cast("string").cast("binary")) % 4 == 0)
+    return rows.where(~F.col("__out")).drop("__out"), rows.where("__out").drop("__out")
+
+
 @query()
 def fit_logistic(spark: SparkSession, d: str) -> DataFrame:
-    """Fit and AUC on the rows it was fitted to."""
-    rows = leveled(spark, d)
-    x = models.feature_array([f"f{k}" for k in range(16)])
+    """Fit over all coordinates, and AUC on rows that weren't fitted."""
+    rows, others = _halves(spark, d)
+    x = models.feature_array(_FEATURES)
     model = models.fit_linear(rows, x, "y")
-    return _report(rows.withColumn("probability", models.linear_score(x, **model)), "linear")
+    return _report(others.withColumn("probability", models.linear_score(x, **model)), "linear")
 
 
 @query()
 def fit_gbt(spark: SparkSession, d: str) -> DataFrame:
-    rows = leveled(spark, d)
-    x = models.feature_array([f"f{k}" for k in range(16)])
+    rows, others = _halves(spark, d)
+    x = models.feature_array(_FEATURES)
     model = models.fit_gbt(rows, x, "y")
-    return _report(models.gbt_scored(model, rows, x, "probability"), "gbm")
+    return _report(models.gbt_scored(model, others, x, "probability"), "gbm")
 
 
 @query()
 def fit_mlp(spark: SparkSession, d: str) -> DataFrame:
-    rows = leveled(spark, d)
-    x = models.feature_array([f"f{k}" for k in range(16)])
-    model = models.fit_mlp(rows, x, "y", 16)
-    return _report(rows.withColumn("probability", models.mlp_score(x, [tuple(p) for p in model["layers"]])), "mlp")
+    """Mini-batch training of a perceptron; the snapshot with the best validation loss is judged."""
+    rows, others = _halves(spark, d)
+    x = models.feature_array(_FEATURES)
+    fitted = training.fit(rows.select("vec_id", x.alias("x"), F.col("y").cast("double").alias("y")), "vec_id", "x", "y", 64, (64, 32, 16), epochs=10)
+    return _report(others.withColumn("probability", models.mlp_score(x, fitted.score_layers())), "mlp")
 
 
-@query()
+def _chosen(score: str) -> str:
+    """SQL of the threshold of a score, limits first, and its AUC, over rows y, s."""
+    order = _pick({2: ["balanced_accuracy", "f1", "recall", "specificity"], 1: ["balanced_accuracy", "specificity", "f1", "recall"], 0: ["specificity", "recall", "balanced_accuracy"]}, 5)
+    rows = f"{SC.replace('sc AS', 'so AS')}, sc AS (SELECT * REPLACE ({score} AS s) FROM so)"
+    return f"WITH {_CAND.replace(SC, rows)}, {_curve()}, {_tiers(0.70, 0.0)} SELECT *, (SELECT auc FROM ({_auc('sc')})) AS auc FROM ti ORDER BY {order} LIMIT 1"
+
+
+@query(
+    f"WITH a AS ({_chosen('s')}), b AS ({_chosen('1.0::DOUBLE - s')}), u AS (SELECT 'length' AS model, * FROM a UNION ALL SELECT 'short', * FROM b) "
+    "SELECT model, round(threshold, 6) AS threshold, round(balanced_accuracy, 6) AS balanced_accuracy, round(specificity, 6) AS specificity, round(recall, 6) AS recall, round(f1, 6) AS f1, round(auc, 6) AS auc FROM u ORDER BY round(balanced_accuracy, 12) DESC, round(auc, 12) DESC, model LIMIT 1"
+)
 def model_selection(spark: SparkSession, d: str) -> DataFrame:
     """The better of two scores by balanced accuracy, then AUC."""
     rows = scored(spark, d).withColumn("t", F.lit(1.0) - F.col("s"))

@@ -46,12 +46,21 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 EV = "ev AS (SELECT vec_id, label, label % 2 AS y, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
+#: Features of each of the four levels: the coordinates in four runs.
+LEVEL_FEATURES = [[f"f{16 * k + j}" for j in range(16)] for k in range(4)]
+
+
 def leveled(spark: SparkSession, folder: str) -> DataFrame:
-    """vec_id, y, f0 to f15: the first 16 coordinates moved to [0, 1]."""
-    return vectors(spark, folder).select("vec_id", "y", *[clip01(F.col("e")[k] + 0.5).alias(f"f{k}") for k in range(16)])
+    """vec_id, y, f0 to f63: the coordinates moved to [0, 1], and l0 to l3: the mean of each
+    level's features."""
+    out = vectors(spark, folder).select("vec_id", "y", *[clip01(F.col("e")[k] + 0.5).alias(f"f{k}") for k in range(64)])
+    return out.select("*", *[(sum((F.col(c) for c in names[1:]), F.col(names[0])) / 16.0).alias(f"l{k}") for k, names in enumerate(LEVEL_FEATURES)])
 
 
-LV = EV + ", lv AS (SELECT vec_id, y, " + ", ".join(f"least(greatest(e[{k + 1}] + 0.5::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) AS f{k}" for k in range(16)) + " FROM ev)"
+LV = (
+    EV + ", lf AS (SELECT vec_id, y, " + ", ".join(f"least(greatest(e[{k + 1}] + 0.5::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) AS f{k}" for k in range(64)) + " FROM ev), "
+    "lv AS (SELECT *, " + ", ".join("(" + " + ".join(names) + f") / 16.0::DOUBLE AS l{k}" for k, names in enumerate(LEVEL_FEATURES)) + " FROM lf)"
+)
 
 #: Pixels of the 8 by 8 patch.
 PX = EV + ", px AS (SELECT vec_id, label, k // 8 AS r, k % 8 AS c, e[k + 1] AS x FROM (SELECT vec_id, label, e, unnest(range(0, 64)) AS k FROM ev))"
