@@ -105,12 +105,12 @@ def leave_one_out(df: DataFrame, label: str, features: list[list[str]], weights:
 
     def score(without: Column) -> Column:
         """The score without the feature of a number; one expression serves all numbers."""
-        means, first = [], 0
-        for group in features:
-            left = F.transform(F.array(*[F.col(c) for c in group]), lambda x, k, first=first: F.when(k + first == without, 0.0).otherwise(x))
-            means.append(F.aggregate(left, F.lit(0.0), lambda total, x: total + x) / F.lit(float(len(group))))
-            first += len(group)
-        return weighted(means, weights)
+        def mean(group: list[str], first: int) -> Column:
+            left = F.transform(F.array(*[F.col(c) for c in group]), lambda x, k: F.when(k + first == without, 0.0).otherwise(x))
+            return F.aggregate(left, F.lit(0.0), lambda total, x: total + x) / F.lit(float(len(group)))
+
+        starts = [sum(map(len, features[:k])) for k in range(len(features))]
+        return weighted([mean(group, first) for group, first in zip(features, starts, strict=True)], weights)
 
     told = F.array(*[F.lit(n) for n in ("none", *names)])
     each = F.transform(F.sequence(F.lit(-1), F.lit(len(names) - 1)), lambda k: F.struct(F.get(told, k + 1).alias("config"), score(k).alias("s")))
