@@ -141,19 +141,20 @@ class Bundle:
         return self.score(df, name).withColumn("prediction", (F.col("probability") >= self.selected_threshold).cast("int"))
 
 
-def _vectors(df: DataFrame, features: Column, label: str) -> DataFrame:
-    return df.select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
+def _vectors(df: DataFrame, features: Column, label: str, of: str | None) -> DataFrame:
+    """The rows to fit: all, or those that meet a condition (SQL text)."""
+    return (df if of is None else df.where(of)).select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
 
 
-def fit_linear(df: DataFrame, features: Column, label: str, decay: float = 1e-4, epochs: int = 100) -> dict:
+def fit_linear(df: DataFrame, features: Column, label: str, decay: float = 1e-4, epochs: int = 100, of: str | None = None) -> dict:
     """Weights and bias of a logistic regression with an L2 penalty."""
-    model = LogisticRegression(regParam=decay, maxIter=epochs, standardization=False).fit(_vectors(df, features, label))
+    model = LogisticRegression(regParam=decay, maxIter=epochs, standardization=False).fit(_vectors(df, features, label, of))
     return {"weights": [float(w) for w in model.coefficients], "bias": float(model.intercept)}
 
 
-def fit_gbt(df: DataFrame, features: Column, label: str, rounds: int = 300, depth: int = 3, rate: float = 0.03, seed: int = 42):
+def fit_gbt(df: DataFrame, features: Column, label: str, rounds: int = 300, depth: int = 3, rate: float = 0.03, seed: int = 42, of: str | None = None):
     """Boosted trees."""
-    return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(_vectors(df, features, label))
+    return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(_vectors(df, features, label, of))
 
 
 def gbt_scored(model, df: DataFrame, features: Column, out: str) -> DataFrame:
@@ -208,7 +209,7 @@ def _gradients(state, drop: tuple[float, ...], turn: int):
     return run
 
 
-def fit_mlp(df: DataFrame, features: Column, label: str, size: int, hidden: tuple[int, ...] = (64, 32, 16), epochs: int = 200, rate: float = 0.008, momentum: float = 0.92, decay: float = 1e-4, drop: tuple[float, ...] = (0.12, 0.08), seed: int = 42) -> dict:
+def fit_mlp(df: DataFrame, features: Column, label: str, size: int, hidden: tuple[int, ...] = (64, 32, 16), epochs: int = 200, rate: float = 0.008, momentum: float = 0.92, decay: float = 1e-4, drop: tuple[float, ...] = (0.12, 0.08), seed: int = 42, of: str | None = None) -> dict:
     """A ReLU perceptron by full-batch gradient steps with momentum, dropout, L2 and a cosine rate.
 
     Each step is one job: tasks sum gradients over their rows, Spark adds the tasks' sums.
@@ -218,7 +219,7 @@ def fit_mlp(df: DataFrame, features: Column, label: str, size: int, hidden: tupl
     layers = [[rng.normal(size=(b, a)) * np.sqrt(2 / a), np.zeros(b)] for a, b in zip(widths, widths[1:], strict=False)]
     speed = [[np.zeros_like(w), np.zeros_like(b)] for w, b in layers]
     spark = df.sparkSession
-    rows = materialize(df.select(features.alias("x"), F.col(label).cast("double").alias("y")), "mlp-rows")
+    rows = materialize((df if of is None else df.where(of)).select(features.alias("x"), F.col(label).cast("double").alias("y")), "mlp-rows")
     sc = spark.sparkContext
     for turn in range(epochs):
         state = sc.broadcast(layers)

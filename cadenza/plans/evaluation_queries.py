@@ -518,36 +518,42 @@ def _report(df: DataFrame, name: str) -> DataFrame:
 _FEATURES = [f"f{k}" for k in range(64)]
 
 
-def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Rows to fit, three of four by a hash of the id, and the others, on which fits are judged."""
-    rows = leveled(spark, d).withColumn("__out", F.crc32(F.col("vec_id").cast("string").cast("binary")) % 4 == 0)
-    return rows.where(~F.col("__out")).drop("__out"), rows.where("__out").drop("__out")
+#: Rows that are fitted, three of four by a hash of the id, and the others, on which fits are judged.
+_FITTED, _JUDGED = "crc32(cast(vec_id AS string)) % 4 <> 0", "crc32(cast(vec_id AS string)) % 4 = 0"
 
 
 @query()
 def fit_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Fit over all coordinates, and AUC on rows that weren't fitted."""
-    rows, others = _halves(spark, d)
+    rows = leveled(spark, d)
     x = models.feature_array(_FEATURES)
-    model = models.fit_linear(rows, x, "y")
-    return _report(others.withColumn("probability", models.linear_score(x, **model)), "linear")
+    model = models.fit_linear(rows, x, "y", of=_FITTED)
+    return _report(rows.where(_JUDGED).withColumn("probability", models.linear_score(x, **model)), "linear")
 
 
 @query()
 def fit_gbt(spark: SparkSession, d: str) -> DataFrame:
-    rows, others = _halves(spark, d)
+    rows = leveled(spark, d)
     x = models.feature_array(_FEATURES)
-    model = models.fit_gbt(rows, x, "y")
-    return _report(models.gbt_scored(model, others, x, "probability"), "gbm")
+    model = models.fit_gbt(rows, x, "y", of=_FITTED)
+    return _report(models.gbt_scored(model, rows.where(_JUDGED), x, "probability"), "gbm")
 
 
 @query()
 def fit_mlp(spark: SparkSession, d: str) -> DataFrame:
-    """Mini-batch training of a perceptron; the snapshot with the best validation loss is judged."""
-    rows, others = _halves(spark, d)
+    rows = leveled(spark, d)
     x = models.feature_array(_FEATURES)
-    fitted = training.fit(rows.select("vec_id", x.alias("x"), F.col("y").cast("double").alias("y")), "vec_id", "x", "y", 64, (64, 32, 16), epochs=10)
-    return _report(others.withColumn("probability", models.mlp_score(x, fitted.score_layers())), "mlp")
+    model = models.fit_mlp(rows, x, "y", 64, of=_FITTED)
+    return _report(rows.where(_JUDGED).withColumn("probability", models.mlp_score(x, [tuple(p) for p in model["layers"]])), "mlp")
+
+
+@query()
+def fit_minibatch(spark: SparkSession, d: str) -> DataFrame:
+    """Mini-batch training of a perceptron; the snapshot with the least validation loss is judged."""
+    rows = leveled(spark, d)
+    x = models.feature_array(_FEATURES)
+    fitted = training.fit(rows.where(_FITTED).select("vec_id", x.alias("x"), F.col("y").cast("double").alias("y")), "vec_id", "x", "y", 64, (64, 32, 16), epochs=10)
+    return _report(rows.where(_JUDGED).withColumn("probability", models.mlp_score(x, fitted.score_layers())), "mlp")
 
 
 def _chosen(score: str) -> str:
