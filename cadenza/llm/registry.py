@@ -51,11 +51,44 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), f AS (SELECT s, list_sort(list(DISTINCT doc_id)) AS ids FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT g.doc_id, i, CASE WHEN ids[1] = g.doc_id THEN ids[2] ELSE ids[1] END AS other FROM g JOIN f ON g.s = f.s),
+r AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM m),
+x AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r)
+SELECT doc_id, CAST(min(i) - 1 AS INTEGER) AS start_word, CAST(max(i) + 49 AS INTEGER) AS end_word, CAST(max(i) - min(i) + 50 AS INTEGER) AS n_words,
+       min(other) AS other_doc_id, min(other) < doc_id AS repeats_earlier
+FROM x GROUP BY doc_id, run
+"""
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors over all embeddings."""
     return forest.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+rc(node, component) USING KEY (node) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION SELECT p.a, min(rc.component) FROM rc JOIN p ON rc.node = p.b JOIN recurring.rc AS me ON me.node = p.a WHERE rc.component < me.component GROUP BY p.a
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component AS component_id, vec_id = component AS kept
+FROM v JOIN rc ON vec_id = node LEFT JOIN n ON vec_id = n.a
+"""
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -256,4 +289,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op13_source_divergence": OP13_SQL}
