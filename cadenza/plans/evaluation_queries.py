@@ -625,8 +625,8 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select(
         "doc_id", F.concat("source", F.lit(".mp4")).alias("file"), F.concat(F.lit("/"), "source").alias("path"), c("lang").alias("track"), F.lit("v1").alias("analysis_version"), verdict(0.1).alias("verdict"), F.lit("LOW").alias("confidence"),
         F.when(learned, "bundle").otherwise("core").alias("decision_mode"), (s / 1.7).alias("decision_score"), F.lit(0.1).alias("decision_threshold"), verdict(0.2).alias("core_detector_verdict"), F.lit("HIGH").alias("core_detector_confidence"), (s / 3.1).alias("core_tcs_score"), F.lit(0.2).alias("core_threshold"),
-        F.when(learned, c("lang")).alias("bundle_track"), F.when(learned, "mlp").alias("bundle_model"), F.when(learned, s / 7.0).alias("bundle_probability"), F.when(learned, 0.5).alias("bundle_threshold"),
-        F.when(open_, "gbm").alias("open_model"), F.when(open_, s / 9.0).alias("open_probability"), F.when(open_, 0.25).alias("open_threshold"), F.lit("").alias("abstained_reason"), (s / 11.0).alias("l1_flow_score"), c("n_chars").alias("violations_count"),
+        F.when(learned, c("lang")).alias("bundle_track"), F.when(learned, "mlp").alias("bundle_model"), F.when(learned, s / 7.1).alias("bundle_probability"), F.when(learned, 0.5).alias("bundle_threshold"),
+        F.when(open_, "gbm").alias("open_model"), F.when(open_, s / 9.1).alias("open_probability"), F.when(open_, 0.25).alias("open_threshold"), F.lit("").alias("abstained_reason"), (s / 11.1).alias("l1_flow_score"), c("n_chars").alias("violations_count"),
         (c("n_chars") / 7.0).alias("duration"), F.lit(25.0).alias("fps"), F.array(c("doc_id"), c("n_chars")).alias("suspicious_frames"),
     )
 
@@ -642,7 +642,7 @@ _BATCH = {
 }
 
 
-@query(f"WITH {SC} SELECT " + ", ".join(f"{_BATCH.get(n, chr(39) * 2)} AS {n}" for n in reports.BATCH if n not in ("decision_score", "core_tcs_score", "bundle_probability", "open_probability", "l1_flow_score", "duration")) + f", doc_id, round(s / 1.7::DOUBLE, 4) AS decision_score, round(s / 3.1::DOUBLE, 4) AS core_tcs_score, round(CASE WHEN doc_id % 2 = 0 THEN s / 7.0::DOUBLE END, 4) AS bundle_probability, round(CASE WHEN doc_id % 3 = 0 THEN s / 9.0::DOUBLE END, 4) AS open_probability, round(s / 11.0::DOUBLE, 4) AS l1_flow_score, round(n_chars / 7.0::DOUBLE, 2) AS duration FROM sc")
+@query(f"WITH {SC} SELECT " + ", ".join(f"{_BATCH.get(n, chr(39) * 2)} AS {n}" for n in reports.BATCH if n not in ("decision_score", "core_tcs_score", "bundle_probability", "open_probability", "l1_flow_score", "duration")) + f", doc_id, round(s / 1.7::DOUBLE, 4) AS decision_score, round(s / 3.1::DOUBLE, 4) AS core_tcs_score, round(CASE WHEN doc_id % 2 = 0 THEN s / 7.1::DOUBLE END, 4) AS bundle_probability, round(CASE WHEN doc_id % 3 = 0 THEN s / 9.1::DOUBLE END, 4) AS open_probability, round(s / 11.1::DOUBLE, 4) AS l1_flow_score, round(n_chars / 7.1::DOUBLE, 2) AS duration FROM sc")
 def batch_table(spark: SparkSession, d: str) -> DataFrame:
     """The 45 columns of a batch table; numbers as numbers again, for comparison."""
     rows = _results(spark, d)
@@ -653,7 +653,7 @@ def batch_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SC} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'bundle' ELSE 'core' END AS mode, round(s / 1.7::DOUBLE, 4) AS score, round(s / 3.1::DOUBLE, 4) AS tcs_score, round(CASE WHEN doc_id % 2 = 0 THEN s / 7.0::DOUBLE END, 4) AS learned, round(CASE WHEN doc_id % 3 = 0 THEN s / 9.0::DOUBLE END, 4) AS open, doc_id % 2 = 0 AS has_learned, doc_id % 3 = 0 AS has_open FROM sc"
+    f"WITH {SC} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'bundle' ELSE 'core' END AS mode, round(s / 1.7::DOUBLE, 4) AS score, round(s / 3.1::DOUBLE, 4) AS tcs_score, round(CASE WHEN doc_id % 2 = 0 THEN s / 7.1::DOUBLE END, 4) AS learned, round(CASE WHEN doc_id % 3 = 0 THEN s / 9.1::DOUBLE END, 4) AS open, doc_id % 2 = 0 AS has_learned, doc_id % 3 = 0 AS has_open FROM sc"
 )
 def decision_json(spark: SparkSession, d: str) -> DataFrame:
     """Decision texts of results, read back."""
