@@ -627,7 +627,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
         F.when(learned, "bundle").otherwise("core").alias("decision_mode"), (s / 1.7).alias("decision_score"), F.lit(0.1).alias("decision_threshold"), verdict(0.2).alias("core_detector_verdict"), F.lit("HIGH").alias("core_detector_confidence"), (s / 3.1).alias("core_tcs_score"), F.lit(0.2).alias("core_threshold"),
         F.when(learned, c("lang")).alias("bundle_track"), F.when(learned, "mlp").alias("bundle_model"), F.when(learned, s / 7.1).alias("bundle_probability"), F.when(learned, 0.5).alias("bundle_threshold"),
         F.when(open_, "gbm").alias("open_model"), F.when(open_, s / 9.1).alias("open_probability"), F.when(open_, 0.25).alias("open_threshold"), F.lit("").alias("abstained_reason"), (s / 11.1).alias("l1_flow_score"), c("n_chars").alias("violations_count"),
-        (c("n_chars") / 7.0).alias("duration"), F.lit(25.0).alias("fps"), F.array(c("doc_id"), c("n_chars")).alias("suspicious_frames"),
+        (c("n_chars") / 7.1).alias("duration"), F.lit(25.0).alias("fps"), F.array(c("doc_id"), c("n_chars")).alias("suspicious_frames"),
     )
 
 
