@@ -76,9 +76,10 @@ def mlp_score(features: Column, layers: list[tuple[list[list[float]], list[float
 
 
 def noisy(features: Column, key: Column, turn: int, spread: float) -> Column:
-    """The features with Gaussian noise drawn from a hash of key, turn and place (Box-Muller)."""
-    unit = lambda k, part: (F.pmod(F.xxhash64(key, F.lit(turn), k, F.lit(part)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return F.transform(features, lambda x, k: x + F.lit(spread) * F.sqrt(F.lit(-2.0) * F.log(unit(k, 0))) * F.cos(F.lit(2 * np.pi) * unit(k, 1)))
+    """The features with Gaussian noise drawn from the MD5 of key, turn and place (Box-Muller)."""
+    digest = lambda k: F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(turn)), k.cast("string")))
+    unit = lambda k, at: (F.conv(F.substring(digest(k), at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return F.transform(features, lambda x, k: x + F.lit(spread) * F.sqrt(F.lit(-2.0) * F.log(unit(k, 1))) * F.cos(F.lit(2 * np.pi) * unit(k, 13)))
 
 
 def averaged_over_noise(features: Column, key: Column, score, times: int = 5, spread: float = 0.006) -> Column:

@@ -493,7 +493,13 @@ def mlp_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_coordinates(spark, d).select("vec_id", models.mlp_score(F.col("x"), layers).alias("probability")))
 
 
-@query()
+_UNIT = "((CAST('0x' || substr(md5(concat_ws(':', CAST(vec_id AS VARCHAR), CAST(t AS VARCHAR), CAST(k AS VARCHAR))), {}, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+
+
+@query(
+    f"WITH {EV}, ns AS (SELECT vec_id, t, k, e[k + 1] + CASE WHEN t = 0 THEN 0.0::DOUBLE ELSE 0.006::DOUBLE * sqrt(-2.0::DOUBLE * ln({_UNIT.format(1)})) * cos(2.0::DOUBLE * pi() * {_UNIT.format(13)}) END AS x FROM ev, range(0, 5) a(t), range(0, 64) b(k)), "
+    f"sc AS (SELECT vec_id, t, sum(({_W}::DOUBLE[])[k + 1] * x) + 0.1::DOUBLE AS z FROM ns GROUP BY vec_id, t) SELECT vec_id, round(sum({_SIGM.format('z')}) / 5.0::DOUBLE, 6) AS probability FROM sc GROUP BY vec_id"
+)
 def tta_score(spark: SparkSession, d: str) -> DataFrame:
     """Scores averaged over noisy copies."""
     score = lambda x: models.linear_score(x, _W, 0.1)
