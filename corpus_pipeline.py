@@ -16,29 +16,50 @@ from cadenza.sources.scratch import materialize
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Label each document with its language; those without any letter go.
 
-    The language column of the result is the predicted one.
+    The language column of the result is the predicted one. A null or empty text has no letter
+    and goes. A null id isn't held out from learning; repeated rows are learned once and stay
+    each. Ties between languages go to the first by code point. Without labelled texts nothing is
+    identified and all rows go; an empty table gives none. Other columns stay as they are.
     """
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.keep_identified(docs, model)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the row with the smallest id stays."""
+    """Of equal normalised texts the row with the smallest id stays.
+
+    A null text equals an empty one; null ids come last; of rows that repeat both id and text one
+    stays. An empty table gives no rows. Other columns stay as they are.
+    """
     return exact.drop_exact_duplicates(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked SimHash fingerprints the document with the smallest id stays."""
+    """Of each group of linked SimHash fingerprints the document with the smallest id stays.
+
+    Texts without words (null ones too) share the fingerprint zero and are linked like others.
+    Null ids come last; rows that repeat id and fingerprint stay or go together. An empty table
+    gives no rows. Other columns stay as they are.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the source mix: a row for each pass that reaches a document's first word."""
+    """Documents by the source mix: a row for each pass that reaches a document's first word.
+
+    A null source is a source, last in order; null texts have no words and go. Null ids are
+    shuffled as the empty text; repeated rows are documents of their own. An empty table gives no
+    rows. Other columns stay as they are.
+    """
     return mixing.mixed_documents(docs, mixing.mix_sources(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their places in sequences."""
+    """Pieces of at most 4096 tokens with their places in sequences.
+
+    A null text is a document of the end id only; null ids are ids like any other; repeated rows
+    are packed each, and equal pieces take each other's places. An empty table gives no rows.
+    """
     return packing.packed(docs, tokenizer_path())
 
 
