@@ -38,8 +38,8 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked SimHash fingerprints the document with the smallest id stays.
 
     Texts without words (null ones too) share the fingerprint zero and are linked like others.
-    Null ids come last; rows that repeat id and fingerprint stay or go together. An empty table
-    gives no rows. Other columns stay as they are.
+    Null ids come last; of rows that repeat id and fingerprint one stays. An empty table gives no
+    rows. Other columns stay as they are.
     """
     return simhash.drop_near_duplicates(docs)
 
