@@ -289,17 +289,24 @@ def _gain(split: str) -> str:
     return " + ".join(f"abs(goal_{split}_{c} - r.{split}_{c} - o.{c}) - abs(goal_{split}_{c} - r.{split}_{c})" for c in ("pos", "neg"))
 
 
-@query(
-    f"WITH RECURSIVE {SC}, g AS (SELECT source || '/' || lang AS g, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM sc GROUP BY ALL), "
-    "o AS (SELECT *, row_number() OVER (ORDER BY pos + neg DESC, pos, neg, md5(g || ':42'), g) AS n FROM g), "
-    "t AS (SELECT *, greatest(0, tp - goal_validation_pos - goal_test_pos) AS goal_train_pos, greatest(0, tn - goal_validation_neg - goal_test_neg) AS goal_train_neg FROM ("
-    "SELECT sum(pos)::BIGINT AS tp, sum(neg)::BIGINT AS tn, " + ", ".join(f"greatest(1, round_even(sum({c}) * 0.2::DOUBLE, 0))::BIGINT AS goal_{s}_{c}" for s in ("validation", "test") for c in ("pos", "neg")) + " FROM g)), "
-    "r AS (SELECT 0::BIGINT AS n, ''::VARCHAR AS g, ''::VARCHAR AS split, " + ", ".join(f"0::BIGINT AS {s}_{c}" for s in ("validation", "test", "train") for c in ("pos", "neg")) + " UNION ALL "
-    "SELECT n, g, split, " + ", ".join(f"{s}_{c} + CASE WHEN split = '{s}' THEN {c} ELSE 0 END" for s in ("validation", "test", "train") for c in ("pos", "neg")) + " FROM ("
-    "SELECT o.n, o.g, o.pos, o.neg, r.validation_pos, r.validation_neg, r.test_pos, r.test_neg, r.train_pos, r.train_neg, "
-    f"CASE WHEN {_gain('validation')} <= least({_gain('test')}, {_gain('train')}) THEN 'validation' WHEN {_gain('test')} <= {_gain('train')} THEN 'test' ELSE 'train' END AS split "
-    "FROM r JOIN o ON o.n = r.n + 1 CROSS JOIN t)) SELECT g, split FROM r WHERE n > 0"
-)
+def _dealt(groups: str) -> str:
+    """SQL, recursive, of ``r``: the groups of a table ``g, pos, neg`` with their splits, from n = 1."""
+    return (
+        f"g AS ({groups}), o AS (SELECT *, row_number() OVER (ORDER BY pos + neg DESC, pos, neg, md5(CAST(g AS VARCHAR) || ':42'), g) AS n FROM g), "
+        "t AS (SELECT *, greatest(0, tp - goal_validation_pos - goal_test_pos) AS goal_train_pos, greatest(0, tn - goal_validation_neg - goal_test_neg) AS goal_train_neg FROM ("
+        "SELECT sum(pos)::BIGINT AS tp, sum(neg)::BIGINT AS tn, " + ", ".join(f"greatest(1, round_even(sum({c}) * 0.2::DOUBLE, 0))::BIGINT AS goal_{s}_{c}" for s in ("validation", "test") for c in ("pos", "neg")) + " FROM g)), "
+        "r AS (SELECT 0::BIGINT AS n, (SELECT min(g) FROM g) AS g, ''::VARCHAR AS split, " + ", ".join(f"0::BIGINT AS {s}_{c}" for s in ("validation", "test", "train") for c in ("pos", "neg")) + " UNION ALL "
+        "SELECT n, g, split, " + ", ".join(f"{s}_{c} + CASE WHEN split = '{s}' THEN {c} ELSE 0 END" for s in ("validation", "test", "train") for c in ("pos", "neg")) + " FROM ("
+        "SELECT o.n, o.g, o.pos, o.neg, r.validation_pos, r.validation_neg, r.test_pos, r.test_neg, r.train_pos, r.train_neg, "
+        f"CASE WHEN {_gain('validation')} <= least({_gain('test')}, {_gain('train')}) THEN 'validation' WHEN {_gain('test')} <= {_gain('train')} THEN 'test' ELSE 'train' END AS split "
+        "FROM r JOIN o ON o.n = r.n + 1 CROSS JOIN t))"
+    )
+
+
+_CLASSES = "count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg"
+
+
+@query(f"WITH RECURSIVE {SC}, {_dealt(f"SELECT source || '/' || lang AS g, {_CLASSES} FROM sc GROUP BY ALL")} SELECT g, split FROM r WHERE n > 0")
 def group_split(spark: SparkSession, d: str) -> DataFrame:
     """Source and language groups dealt to splits by class balance."""
     rows = scored(spark, d).withColumn("g", F.concat_ws("/", "source", "lang"))
@@ -317,6 +324,18 @@ def official_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.official_split(rows, given, "o_orderkey", "pair", "y").select("o_orderkey", "split", "strategy")
 
 
+@query(
+    f"WITH RECURSIVE w AS (SELECT o_orderkey, o_custkey % 50 AS pair, (o_orderkey % 2)::INT AS y FROM orders), {_dealt(f'SELECT pair AS g, {_CLASSES} FROM w GROUP BY pair')} "
+    "SELECT o_orderkey, split, 'source_connected_group_split' AS strategy FROM w JOIN r ON r.g = w.pair AND r.n > 0"
+)
+def leaking_official_split(spark: SparkSession, d: str) -> DataFrame:
+    """A given split of orders that parts pairs, and so gives way to one made of whole pairs."""
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("pair"), (F.col("o_orderkey") % 2).cast("int").alias("y"))
+    k = F.col("o_orderkey") % 3
+    given = rows.select("o_orderkey", F.when(k == 0, "train").when(k == 1, "validation").otherwise("test").alias("split"))
+    return splits.official_split(rows, given, "o_orderkey", "pair", "y").select("o_orderkey", "split", "strategy")
+
+
 @query(
     "WITH m AS (SELECT l_orderkey AS k, CASE l_returnflag WHEN 'A' THEN ' Train' WHEN 'N' THEN 'VAL' ELSE 'test' END AS split, CAST(l_orderkey AS VARCHAR) AS i FROM lineitem WHERE l_linenumber = 1) "
     "SELECT doc_id, CASE lower(trim(split)) WHEN 'val' THEN 'validation' ELSE lower(trim(split)) END AS split FROM documents JOIN m ON CAST(i AS BIGINT) = doc_id AND CAST(i AS BIGINT) < (SELECT count(*) FROM documents)"
