@@ -162,7 +162,9 @@ LEVEL_WEIGHTS = {"flow_score": 0.28, "physics_score": 0.26, "semantic_score": 0.
 
 def synthetic_results(features: DataFrame, key: str, label: str, threshold: float) -> DataFrame:
     """Synthetic features with names, score, verdict, confidence and rounded values of a result row."""
-    name = F.concat(F.lit("synthetic_"), F.lpad(F.col(key).cast("string"), 4, "0"))
+    digits = F.col(key).cast("string")
+    # padding to a fixed length would cut longer keys, and two files would share a name
+    name = F.concat(F.lit("synthetic_"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")))
     score = F.lit(0.0)
     for feature, weight in LEVEL_WEIGHTS.items():
         score = score + F.lit(weight) * F.col(feature)

@@ -90,3 +90,10 @@ def test_spent_tables_are_deleted(spark):
     with pytest.raises(Exception, match="[Ee]xist|FILE"):
         spark.read.parquet(path).count()
     assert kept.count() == 5
+
+
+def test_names_of_long_keys_are_whole(spark):
+    keys = [0, 7, 9999, 10000, 38461, 38462, 123456789012, None]
+    rows = ingest.synthetic_for(spark.createDataFrame([(k, 1) for k in keys], "doc_id long, quality int"), "doc_id", "quality", ingest.SYNTHETIC)
+    got = {r["doc_id"]: (r["filename"], r["source_group"]) for r in ingest.synthetic_results(rows, "doc_id", "quality", 0.39).collect()}
+    assert got == {k: (f"synthetic_{k:04d}.mp4", f"synthetic_{k:04d}") for k in keys if k is not None} | {None: (None, None)}
