@@ -259,8 +259,9 @@ def l1_score(spark: SparkSession, d: str) -> DataFrame:
 
 def motion_levels(spark: SparkSession, d: str) -> DataFrame:
     """v, l1, has_motion."""
-    mo = motion(spark, d)
-    held = spans.sustained_spans(mo, "v", "seq", F.greatest("mm", "cp") > 0.94, 2, 1).select("v").distinct().withColumn("has_motion", F.lit(True))
+    # read twice, so it is written
+    mo = materialize(motion(spark, d).select("v", "seq", "anomaly", (F.greatest("mm", "cp") > 0.94).alias("moves")), "motion")
+    held = spans.sustained_spans(mo, "v", "seq", F.col("moves"), 2, 1).select("v").distinct().withColumn("has_motion", F.lit(True))
     out = mo.groupBy("v").agg(F.avg("anomaly").alias("m")).join(held, "v", "left").withColumn("has_motion", F.coalesce("has_motion", F.lit(False)))
     return out.select("v", scoring.motion_score(F.col("m"), F.col("has_motion")).alias("l1"), "has_motion")
 
