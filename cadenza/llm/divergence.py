@@ -1,14 +1,14 @@
 """Audit of the sources of each language: how far their term distributions lie apart.
 
-Terms are exploded from whole texts and counted per (language, source). A language keeps the
+Terms are taken from whole texts and counted per (language, source). A language keeps the
 terms that stand in enough of its documents; the groups of a language meet its vocabulary, so
 that a term a group never uses counts as zero there; a self-join on language and term brings
 the sources of a language together, term by term. Terms that set a source apart from its
 language, and its distances to the other sources, are ranked per source.
 
-Each row's terms are sorted before they are exploded, so the first of a run of equal terms
-counts the document and no shuffle by document is needed; sums start inside the tasks. Groups
-meet their vocabulary on (language, share of the vocabulary), so a language that holds most
+Tasks read texts in Arrow batches and count the terms of each row, all and different ones, so
+no shuffle by document is needed and only counts move; a task holds a bounded number of them.
+Groups meet their vocabulary on (language, share of the vocabulary), so a language that holds most
 rows doesn't fall into one task, and totals of groups travel with that join instead of
 meeting every term again. A ranking of terms keeps its first rows in each task before they
 move. Distances are summed for one order of two sources and read both ways.
@@ -25,19 +25,25 @@ its terms in one array. Other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import discard, materialize
 
-#: Letters: all characters but those of ASCII that aren't letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of UTF-8 text: capitals of ASCII to small letters, what else of ASCII isn't a letter to
+#: a space. All bytes of other characters are above ASCII and stay, so terms stand between spaces.
+_BYTES = bytes(k if k > 127 or chr(k).isalpha() else 32 for k in range(256)).lower()
+#: Terms of groups that a task counts before it gives the counts out.
+HELD_TERMS = 200_000
 LEAST_DOCS = 30
 TOP_TERMS = 50
 SCALE = 1_000_000_000
 SMOOTHING = 5
 #: Parts of each language's vocabulary, which its groups meet one by one.
 SHARES = 256
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -46,14 +52,35 @@ def term_counts(docs: DataFrame) -> DataFrame:
     ``n`` counts occurrences, ``docs`` the rows that hold the term.
     """
     blank = F.lit("")
-    rows = docs.select(
-        F.coalesce("lang", blank).alias("lang"),
-        F.coalesce("source", blank).alias("source"),
-        F.sort_array(F.regexp_extract_all(F.translate(F.coalesce("text", blank), _UPPER, _LOWER), F.lit(TERM), F.lit(0))).alias("terms"),
-    )
-    first = F.transform("terms", lambda t, k: F.struct(t.alias("term"), (~t.eqNullSafe(F.get("terms", k - 1))).cast("int").alias("first")))
-    rows = rows.select("lang", "source", F.explode_outer(first).alias("t"))
-    return rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count("*").alias("n"), F.coalesce(F.sum("t.first"), F.lit(0)).alias("docs"))
+    rows = docs.select(F.coalesce("lang", blank).alias("lang"), F.coalesce("source", blank).alias("source"), F.coalesce("text", blank).cast("binary").alias("text"))
+    counts = rows.mapInArrow(_counts, "lang string, source string, term binary, n long, docs long")
+    return counts.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the terms of a task's texts, given out whenever ``HELD_TERMS`` are held."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            names = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in (lang, source)]
+            numbers = [pa.array(x, pa.int64()) for x in (n.values(), [docs[t] for t in n])]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(n, pa.binary()), *numbers], ["lang", "source", "term", "n", "docs"])
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            before = len(n)
+            terms = text.as_py().translate(_BYTES).split()
+            n.update(terms or [None])
+            docs.update(set(terms))
+            size += len(n) - before
+            if size > HELD_TERMS:
+                yield from given()
+                size = 0
+    yield from given()
 
 
 def _probability(n: Column, total: Column, terms: Column) -> Column:

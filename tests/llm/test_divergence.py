@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cadenza.llm import divergence
@@ -87,3 +88,22 @@ def test_rows_of_a_source_ranked_in_tasks_first(spark):
     docs = spark.createDataFrame([(k, "a b c", "en", "s") for k in range(50)], "doc_id long, text string, lang string, source string")
     plan = divergence.source_divergence(docs)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_terms_are_counted_inside_tasks(spark, monkeypatch):
+    """A task moves a row per group and term, not more, and gives counts out when it holds many."""
+    rows = [(lang, source, f"aB ab É{k % 3} 日本 é".encode()) for k in range(500) for lang, source in (("en", "a"), ("fr", ""))] + [("en", "a", b" 12 ")] * 3
+    batch = pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r, strict=True)) for r in rows])
+    want = {(lang, source, t.encode()): (500 * n, 500) for lang, source in (("en", "a"), ("fr", "")) for t, n in (("ab", 2), ("É", 1), ("日本", 1), ("é", 1))} | {("en", "a", None): (3, 0)}
+    got = [tuple(r.values()) for b in divergence._counts(iter([batch])) for r in b.to_pylist()]
+    assert len(got) == len(want) and {r[:3]: r[3:] for r in got} == want
+    monkeypatch.setattr(divergence, "HELD_TERMS", 3)
+    sums = defaultdict(lambda: (0, 0))
+    for b in divergence._counts(iter([batch, batch.slice(0, 0)])):
+        assert b.num_rows <= 7
+        for *key, n, docs in (r.values() for r in b.to_pylist()):
+            sums[tuple(key)] = sums[tuple(key)][0] + n, sums[tuple(key)][1] + docs
+    assert sums == want
+    docs = spark.createDataFrame([(1, "x", "en", "a")], "doc_id long, text string, lang string, source string")
+    plan = divergence.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "sort_array" not in plan
